@@ -17,9 +17,11 @@ def append_embeddings(embeddings: DataFrame, path):
 def write_collection(collection: DataFrame, path, *, mode="append", partition_by=()):
     """Vector collection. Partition by `cell` for probing or by `ministry` for filters.
 
-    Rows are clustered by the partition columns before the write only through
-    the writer's own local sort, so one large cell is written by many tasks.
+    Rebalancing gathers the rows of a partition value into few files; AQE
+    splits a value too large for one task.
     """
+    if partition_by:
+        collection = collection.hint("rebalance", *partition_by)
     collection.write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 

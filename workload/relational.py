@@ -7,18 +7,10 @@ from corpusqa.operators import entities as ent
 from corpusqa.operators import evidence as ev
 from corpusqa.operators import profiles as pr
 
-from .views import aliases_of_registry_sql, strip_sql, view, with_views
+from .registry import registry
+from .views import aliases_of_registry_sql, strip_sql, table, view, with_views
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(name, sql=None):
-    def add(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLES[name] = sql
-        return fn
-    return add
+QUERIES, ORACLES, query = registry()
 
 
 def asked(spark, sf_dir):
@@ -320,7 +312,6 @@ from requests q left join ot o on o.mp_name = q.mp and o.ministry = q.ministry
      left join mt m on m.mp_name = q.mp left join mt5 m5 on m5.mp_name = q.mp
      left join dt d on d.ministry = q.ministry left join dt5 d5 on d5.ministry = q.ministry""")
 def evidence_packets(spark, sf_dir):
-    from .views import table
     frames = {t: table(spark, sf_dir, t) for t in ("supplier", "nation", "region")}
     sql = REQUESTS
     for t in frames:
