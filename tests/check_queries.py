@@ -1,4 +1,4 @@
-"""Run registered queries against their SQL: python tests/check_queries.py [sf] [name ...]"""
+"""Run registered queries against their SQL: python tests/check_queries.py [sf] [name or module ...]"""
 
 import os
 import sys
@@ -22,7 +22,7 @@ def main():
     oracles = entry.oracle_sql()
     bad = 0
     for name, fn in entry.queries().items():
-        if wanted and not any(w in name for w in wanted):
+        if wanted and name not in wanted and fn.__module__.split(".")[-1] not in wanted:
             continue
         try:
             t0 = time.time()
