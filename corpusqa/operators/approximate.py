@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
-from .dense import QUERY_BLOCK, block_topk
+from .dense import QUERY_BLOCK, dense_topk
 
 # Vectors per cell that suffice to place the centroids.
 TRAIN_PER_CELL = 256
@@ -105,4 +105,4 @@ def read_ivf(spark, path) -> IvfIndex:
 def ivf_topk(index: IvfIndex, queries: DataFrame, k=schemas.TOP_K, *, nprobe=8, block=QUERY_BLOCK) -> DataFrame:
     """As `dense_topk`, over the `nprobe` cells nearest to each query."""
     probing = nearest_cells(queries.where(F.col("embedding").isNotNull()), index.centroids, nprobe)
-    return block_topk(index.collection, probing, k, block=block, cell_col="cell", probes_col="cells")
+    return dense_topk(index.collection, probing, k, block=block, cell_col="cell", probes_col="cells")

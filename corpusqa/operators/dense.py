@@ -1,36 +1,24 @@
 """Exact dense top-k under metadata filters.
 
-A batch of query vectors is sent to the executors once. Each task walks its
-share of the collection in Arrow batches, scores a batch with one matrix
-product, and keeps only the best `k` rows per query, so pairs are never
-materialised and the shuffle carries `k` rows per query and task whatever the
-size of the collection. The scan reads ids, vectors and filter columns only;
-`attach_chunks` fetches the wide columns of the winners afterwards.
-
-Queries beyond one block run block after block, each block's result written to
-shared storage before the next starts, so memory never grows with the batch.
+A batch of chunks is scored against a block of queries with one matrix product.
+The scan reads ids, vectors and filter columns only; `attach_chunks` fetches the
+wide columns of the winners afterwards.
 """
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 from .. import schemas
-from ..functions import text as tx
-from ..session import broadcast_within, scratch_path
-from .documents import members_filter
+from .topk import SCORE_DIGITS, in_blocks, scan_topk
 
 # Queries scored per pass over the collection.
 QUERY_BLOCK = 1024
-# Scores are compared after rounding, as the order of a sum is not fixed.
-SCORE_DIGITS = 9
-# Above this many distinct filters no predicate is pushed into the scan.
-MAX_PUSHED_FILTERS = 32
 
 
-def dense_topk(chunks: DataFrame, queries: DataFrame, k=schemas.TOP_K, *, block=QUERY_BLOCK) -> DataFrame:
+def dense_topk(
+    chunks: DataFrame, queries: DataFrame, k=schemas.TOP_K, *, block=QUERY_BLOCK, cell_col=None, probes_col=None
+) -> DataFrame:
     """The `k` chunks with the largest inner product for every query.
 
     `chunks` has `chunk_id` and `embedding`, plus `members` and `ministry`
@@ -38,208 +26,49 @@ def dense_topk(chunks: DataFrame, queries: DataFrame, k=schemas.TOP_K, *, block=
     optionally `names` (any of them in `members`) and `ministry` (equal); a
     null or empty filter is not checked. Filters apply before ranking. Ties
     go to the smaller id. Returns `(query_id, chunk_id, score, rank)`.
-    """
-    return block_topk(chunks, queries, k, block=block)
-
-
-def rank_by_score(scored: DataFrame, k, by="query_id", tie="chunk_id") -> DataFrame:
-    """Keep the `k` best rows per query. The limit also runs before the shuffle."""
-    window = Window.partitionBy(by).orderBy(F.desc("score"), F.asc(tie))
-    return scored.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
-
-def attach_chunks(topk: DataFrame, chunks: DataFrame, *, max_broadcast=1_000_000) -> DataFrame:
-    """Join the winners to the columns of the chunk table.
-
-    The winners number queries times `k`; while that is small they are
-    broadcast and the chunk table is not shuffled.
+    With `cell_col`, a query sees only the chunks whose cell is in its array
+    `probes_col`.
     """
-    return chunks.join(broadcast_within(topk, max_broadcast), "chunk_id")
-
-
-def block_topk(chunks, queries, k, *, block=QUERY_BLOCK, cell_col=None, probes_col=None) -> DataFrame:
-    """Score queries in blocks; with `cell_col`, a query sees only the cells it probes."""
-    fields = [f for f in ("query_id", "embedding", "names", "ministry", probes_col) if f in queries.columns]
+    fields = [c for c in ("query_id", "embedding", "names", "ministry", probes_col) if c in queries.columns]
     queries = queries.select(*fields).where(F.col("embedding").isNotNull())
-    first = queries.limit(block + 1).collect()
-    if len(first) <= block:
-        return _scan(chunks, first, queries.schema, k, cell_col, probes_col)
-
-    spark = queries.sparkSession
-    source = scratch_path(spark, "queries")
-    parts = -(-queries.count() // (block // 2))
-    spread = queries.withColumn("_part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
-    spread.repartition("_part").write.partitionBy("_part").parquet(source)
-    out = scratch_path(spark, "topk")
-    stored = spark.read.schema(spread.schema).parquet(source)
-    for part in range(parts):
-        rows = stored.where(F.col("_part") == part).drop("_part")
-        # Hash parts hold about half a block; a larger one is taken in slices.
-        offset = 0
-        while True:
-            batch = rows.orderBy("query_id").offset(offset).limit(block).collect()
-            if not batch:
-                break
-            _scan(chunks, batch, queries.schema, k, cell_col, probes_col).write.mode("append").parquet(out)
-            offset += block
-    return spark.read.parquet(out)
-
-
-def _scan(chunks, rows, schema, k, cell_col, probes_col):
-    """One pass over the collection for at most one block of query rows."""
-    spark = chunks.sparkSession
-    id_type = schema["query_id"].dataType
-    chunk_id_type = chunks.schema["chunk_id"].dataType
-    filters, filter_of = _distinct_filters(rows)
-    filtered = any(f != ((), None) for f in filters)
-
-    columns = ["chunk_id", "embedding"]
-    if filtered:
-        columns += ["members", "ministry"]
-    if cell_col:
-        columns.append(cell_col)
-    source = chunks.where(F.col("embedding").isNotNull())
-    if filtered:
-        source = source.where(_pushed(filters))
-    if cell_col:
-        cells = sorted({c for row in rows for c in row[probes_col]})
-        source = source.where(F.col(cell_col).isin(cells))
-
-    payload = {
-        "ids": [row["query_id"] for row in rows],
-        "vectors": np.asarray([row["embedding"] for row in rows], dtype=np.float64),
-        "filters": filters,
-        "filter_of": filter_of,
-        "probes": [list(row[probes_col]) for row in rows] if cell_col else None,
-    }
-    out = T.StructType([
-        T.StructField("query_id", id_type),
-        T.StructField("chunk_id", chunk_id_type),
-        T.StructField("score", T.DoubleType()),
-    ])
-    if not rows:
-        return spark.createDataFrame([], out).withColumn("rank", F.lit(1))
-    scorer = _scorer(
-        spark.sparkContext.broadcast(payload), k, filtered, cell_col,
-        to_arrow_type(id_type), to_arrow_type(chunk_id_type),
-    )
-    return rank_by_score(source.select(*columns).mapInArrow(scorer, out), k)
-
-
-def _distinct_filters(rows):
-    """Distinct filters of a block and the filter number of each query."""
-    seen, filter_of = {}, []
-    for row in rows:
-        values = row.asDict()
-        key = (tuple(values.get("names") or ()), values.get("ministry") or None)
-        filter_of.append(seen.setdefault(key, len(seen)))
-    return list(seen), filter_of
-
-
-def _pushed(filters):
-    """Union of the filters as a scan predicate; true when one lets everything pass."""
-    if len(filters) > MAX_PUSHED_FILTERS or ((), None) in filters:
-        return F.lit(True)
-    return tx.any_of([
-        tx.all_of(
-            ([members_filter(names)] if names else [])
-            + ([F.col("ministry") == F.lit(ministry)] if ministry else [])
-        )
-        for names, ministry in filters
-    ])
-
-
-def _scorer(block, k, filtered, cell_col, id_type, chunk_id_type):
-    """Arrow-batch function that keeps the best `k` chunks per query of one task."""
-
-    def score(batches):
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
-        data = block.value
-        vectors = data["vectors"]
-        count, dim = vectors.shape
-        filter_of = np.asarray(data["filter_of"])
-        best_score = np.full((count, k), -np.inf)
-        best_id = np.empty((count, k), dtype=object)
-        by_cell = {}
-        for q, cells in enumerate(data["probes"] or []):
-            for c in cells:
-                by_cell.setdefault(c, []).append(q)
-
-        def passes(batch):
-            """Boolean matrix: filter number by row."""
-            members, ministry = batch.column("members"), batch.column("ministry")
-            masks = []
-            for names, wanted in data["filters"]:
-                mask = np.ones(batch.num_rows, dtype=bool)
-                if names:
-                    hit = np.zeros(batch.num_rows, dtype=bool)
-                    for name in names:
-                        found = pc.fill_null(pc.match_substring(members, name), False)
-                        hit |= found.to_numpy(zero_copy_only=False)
-                    mask &= hit
-                if wanted:
-                    same = pc.fill_null(pc.equal(ministry, wanted), False)
-                    mask &= same.to_numpy(zero_copy_only=False)
-                masks.append(mask)
-            return np.stack(masks)
-
-        def merge(queries, scores, ids):
-            """Fold scores into the running best lists. Rows come sorted by id,
-            so among equal scores the first ones are the ones to keep."""
-            room = best_score[queries, -1]
-            top = scores.max(axis=1)
-            for i in np.nonzero((top >= room) & (top > -np.inf))[0]:
-                q, row = queries[i], scores[i]
-                keep = np.nonzero((row >= room[i]) & (row > -np.inf))[0]
-                if len(keep) > k:
-                    cut = np.partition(row[keep], -k)[-k]
-                    above, equal = keep[row[keep] > cut], keep[row[keep] == cut]
-                    keep = np.concatenate([above, equal[: k - len(above)]])
-                old = best_score[q] > -np.inf
-                all_scores = np.concatenate([best_score[q][old], row[keep]])
-                all_ids = np.concatenate([best_id[q][old], ids[keep]])
-                pick = sorted(range(len(all_scores)), key=lambda j: (-all_scores[j], all_ids[j]))[:k]
-                best_score[q, : len(pick)] = all_scores[pick]
-                best_id[q, : len(pick)] = all_ids[pick]
-
-        everyone = np.arange(count)
-        for batch in batches:
-            rows = batch.num_rows
-            if rows == 0:
-                continue
-            batch = batch.sort_by("chunk_id")
-            vector = batch.column("embedding")
-            lengths = pc.list_value_length(vector).to_numpy(zero_copy_only=False)
-            if not (lengths == dim).all():
-                raise ValueError(f"every vector must have length {dim}")
-            flat = vector.flatten().to_numpy(zero_copy_only=False)
-            matrix = flat.reshape(rows, dim).astype(np.float64)
-            ids = np.array(batch.column("chunk_id").to_pylist(), dtype=object)
-            allowed = passes(batch) if filtered else None
-            if cell_col:
-                cell = batch.column(cell_col).to_numpy(zero_copy_only=False)
-                parts = [(np.asarray(by_cell[c]), np.nonzero(cell == c)[0]) for c in np.unique(cell) if c in by_cell]
-            else:
-                parts = [(everyone, None)]
-            for queries, index in parts:
-                part = matrix if index is None else matrix[index]
-                part_ids = ids if index is None else ids[index]
-                scores = np.round(vectors[queries] @ part.T, SCORE_DIGITS) + 0.0
-                if filtered:
-                    gate = allowed if index is None else allowed[:, index]
-                    scores[~gate[filter_of[queries]]] = -np.inf
-                merge(queries, scores, part_ids)
-
-        q, slot = np.nonzero(best_score > -np.inf)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([data["ids"][i] for i in q], type=id_type),
-                pa.array(best_id[q, slot].tolist(), type=chunk_id_type),
-                pa.array(best_score[q, slot], type=pa.float64()),
-            ],
-            names=["query_id", "chunk_id", "score"],
-        )
-
-    return score
+    columns = [c for c in ("chunk_id", "embedding", "members", "ministry", cell_col) if c in chunks.columns]
+    source = chunks.select(*columns).where(F.col("embedding").isNotNull())
+
+    def search(rows):
+        pruned = source
+        probed = {}
+        if cell_col:
+            for number, row in enumerate(rows):
+                for cell in row[probes_col]:
+                    probed.setdefault(cell, []).append(number)
+            pruned = source.where(F.col(cell_col).isin(sorted(probed)))
+        payload = {
+            "vectors": np.asarray([row["embedding"] for row in rows], dtype=np.float64),
+            "cell_col": cell_col,
+            "probed": {cell: np.asarray(numbers) for cell, numbers in probed.items()},
+        }
+        return scan_topk(pruned, rows, queries.schema["query_id"].dataType, k, _inner_products, payload)
+
+    return in_blocks(queries, block, search)
+
+
+def _inner_products(data, batch):
+    """Scores of a batch, in one part, or in one part per probed cell."""
+    import pyarrow.compute as pc
+
+    vectors = data["vectors"]
+    dim = vectors.shape[1]
+    column = batch.column("embedding")
+    if pc.min_max(pc.list_value_length(column)).as_py() != {"min": dim, "max": dim}:
+        raise ValueError(f"every vector must have length {dim}")
+    matrix = column.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dim).astype(np.float64)
+    if not data["cell_col"]:
+        parts = [(np.arange(len(vectors)), None)]
+    else:
+        cell = batch.column(data["cell_col"]).to_numpy(zero_copy_only=False)
+        parts = [(data["probed"][c], np.nonzero(cell == c)[0]) for c in np.unique(cell) if c in data["probed"]]
+    for queries, index in parts:
+        part = matrix if index is None else matrix[index]
+        # Adding zero turns a negative zero into a plain one.
+        yield queries, index, np.round(vectors[queries] @ part.T, SCORE_DIGITS) + 0.0

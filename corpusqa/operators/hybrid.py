@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
-from .dense import dense_topk, rank_by_score
+from .dense import dense_topk
 from .lexical import bm25_topk
+from .topk import SCORE_DIGITS, rank_by_score
 
 
 def reciprocal_rank_fusion(legs, k=schemas.TOP_K, *, rrf_k=schemas.RRF_K) -> DataFrame:
     """Fuse ranked lists: a chunk scores the sum of `1 / (rrf_k + rank)` over its lists."""
     ranked = reduce(DataFrame.unionByName, [leg.select("query_id", "chunk_id", "rank") for leg in legs])
     share = F.lit(1.0) / (F.lit(rrf_k) + F.col("rank"))
-    fused = ranked.groupBy("query_id", "chunk_id").agg(F.round(F.sum(share), 9).alias("score"))
+    fused = ranked.groupBy("query_id", "chunk_id").agg(F.round(F.sum(share), SCORE_DIGITS).alias("score"))
     return rank_by_score(fused, k)
 
 

@@ -1,30 +1,74 @@
 """BM25 ranking (Robertson and Zaragoza, 2009) over chunk text.
 
 Two forms give the same result. A stored index holds postings sorted by term,
-so a query reads only the row groups of its terms. Without an index, chunks are
-scanned and their tokens meet the query terms in a map-side join before any
-counting, so only matching tokens are shuffled.
+so a query reads only the row groups of its terms. Without an index the chunk
+table is scanned, and no token is shuffled: a first pass counts in how many
+chunks each query term occurs, a second scores and keeps the best rows per task.
 
-A common term costs rows, not skew: counts and scores are grouped by chunk as
-well, which spreads the term over all tasks.
+A common term costs work in proportion to its occurrences and nothing else: no
+join or grouping is keyed by term alone.
 """
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import text as tx
-from .dense import SCORE_DIGITS, rank_by_score
-from .documents import request_matches
+from .topk import SCORE_DIGITS, in_blocks, scan_topk
 
 # The usual BM25 parameters.
 K1 = 1.2
 B = 0.75
 
-# Above this many (query, term) rows the joins run as shuffle joins.
-MAX_BROADCAST_TERMS = 1_000_000
+# Queries scored per pass over the collection.
+QUERY_BLOCK = 1024
+# Entries of the score matrix held at once by a task.
+SCORE_CELLS = 4_000_000
+
+
+@dataclass
+class ChunkScan:
+    """A chunk table as a source of term counts."""
+
+    chunks: DataFrame
+
+    def statistics(self, terms):
+        """Number of chunks, mean length, and chunks per query term, in one pass."""
+        words = self.chunks.select(tx.terms(F.col("text")).alias("terms"))
+        wanted = self.chunks.sparkSession.sparkContext.broadcast(terms)
+
+        def count(batches):
+            import pyarrow as pa
+
+            value_set = pa.array(wanted.value, type=pa.string())
+            found = np.zeros(len(value_set), dtype=np.int64)
+            chunks = length = 0
+            for batch in batches:
+                rows, numbers, lengths = _lookup(batch.column("terms"), value_set)
+                chunks, length = chunks + batch.num_rows, length + int(lengths.sum())
+                pairs = np.unique(rows * len(value_set) + numbers)
+                found += np.bincount(pairs % max(len(value_set), 1), minlength=len(value_set))
+            present = np.nonzero(found)[0]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([-2, -1, *present], type=pa.int32()), pa.array([chunks, length, *found[present]], type=pa.int64())],
+                names=["term_no", "n"],
+            )
+
+        counted = words.mapInArrow(count, "term_no int, n bigint").groupBy("term_no").agg(F.sum("n").alias("n"))
+        totals = {row["term_no"]: row["n"] for row in counted.collect()}
+        chunks = totals.pop(-2, 0)
+        length = totals.pop(-1, 0)
+        return chunks, length / max(chunks, 1), totals
+
+    def hits(self, terms):
+        """`(chunk_id, dl, terms, tfs)` and metadata; every term once per occurrence."""
+        words = tx.terms(F.col("text"))
+        return self.chunks.select(
+            "chunk_id", words.alias("terms"), *[c for c in ("members", "ministry") if c in self.chunks.columns]
+        )
 
 
 @dataclass
@@ -36,123 +80,135 @@ class Bm25Index:
     stats: DataFrame
     metadata: DataFrame
 
-    def matching(self, terms: DataFrame) -> DataFrame:
-        return self.postings.join(terms, "term")
+    def statistics(self, terms):
+        stats = self.stats.first()
+        numbers = self._numbered(terms)
+        found = self.frequencies.join(F.broadcast(numbers), "term").select("term_no", "df").collect()
+        return stats["n"], stats["avgdl"], {row["term_no"]: row["df"] for row in found}
+
+    def hits(self, terms):
+        """Matching postings gathered by chunk; a chunk has at most the terms of one block."""
+        matching = self.postings.join(F.broadcast(self._numbered(terms)), "term")
+        gathered = matching.groupBy("chunk_id").agg(
+            F.first("dl").alias("dl"), F.collect_list("term").alias("terms"), F.collect_list("tf").alias("tfs")
+        )
+        return gathered.join(self.metadata, "chunk_id") if len(self.metadata.columns) > 1 else gathered
 
-    def document_frequencies(self, terms: DataFrame) -> DataFrame:
-        return self.frequencies.join(terms, "term")
+    def _numbered(self, terms):
+        rows = [(i, t) for i, t in enumerate(terms)]
+        return self.postings.sparkSession.createDataFrame(rows, "term_no int, term string")
 
     def write(self, path):
         """Store the index. Range partitioning on (term, chunk) splits long postings lists."""
-        sorted_postings = self.postings.repartitionByRange("term", "chunk_id")
-        sorted_postings.sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
         spark = self.postings.sparkSession
+        sorted_postings = self.postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id")
+        sorted_postings.write.mode("overwrite").parquet(f"{path}/postings")
         stored = spark.read.parquet(f"{path}/postings")
         frequencies = stored.groupBy("term").agg(F.count("*").alias("df"))
-        frequencies.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(
-            f"{path}/frequencies"
-        )
+        frequencies.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/frequencies")
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")
         self.metadata.write.mode("overwrite").parquet(f"{path}/metadata")
         return read_bm25_index(spark, path)
 
 
-@dataclass
-class ChunkScan:
-    """The same interface straight over a chunk table."""
-
-    chunks: DataFrame
-    metadata: DataFrame
-
-    @property
-    def stats(self):
-        words = F.size(tx.terms(F.col("text")))
-        return self.chunks.agg(F.count("*").alias("n"), F.avg(words).alias("avgdl"))
-
-    def matching(self, terms: DataFrame) -> DataFrame:
-        return _count_terms(_tokens(self.chunks).join(terms, "term"))
-
-    def document_frequencies(self, terms: DataFrame) -> DataFrame:
-        # Counting on `tf` keeps this plan equal to the scoring one up to the
-        # shuffle, so the shuffled counts are computed once and reused.
-        return self.matching(terms).groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
-
-
-def _tokens(chunks):
-    """`(chunk_id, dl, term)`, one row per token. An outer explode does not
-    make Catalyst add a size filter, which would run the term pattern twice."""
-    words = chunks.select("chunk_id", tx.terms(F.col("text")).alias("terms"))
-    return words.select("chunk_id", F.size("terms").alias("dl"), F.explode_outer("terms").alias("term"))
-
-
-def _count_terms(tokens):
-    return tokens.groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
-
-
-def _metadata(chunks):
-    return chunks.select("chunk_id", *[c for c in ("members", "ministry") if c in chunks.columns])
-
-
 def bm25_scan(chunks: DataFrame) -> ChunkScan:
-    return ChunkScan(chunks, _metadata(chunks))
+    return ChunkScan(chunks)
 
 
 def bm25_index(chunks: DataFrame) -> Bm25Index:
     """Postings, term frequencies and corpus statistics of a chunk table."""
-    postings = _count_terms(_tokens(chunks).where(F.col("term").isNotNull()))
+    words = chunks.select("chunk_id", tx.terms(F.col("text")).alias("terms"))
+    # An outer explode adds no size filter, which would run the term pattern twice.
+    tokens = words.select("chunk_id", F.size("terms").alias("dl"), F.explode_outer("terms").alias("term"))
+    postings = (
+        tokens.where(F.col("term").isNotNull())
+        .groupBy("term", "chunk_id", "dl").agg(F.count("*").cast("int").alias("tf"))
+    )
     frequencies = postings.groupBy("term").agg(F.count("*").alias("df"))
-    words = F.size(tx.terms(F.col("text")))
-    stats = chunks.agg(F.count("*").alias("n"), F.avg(words).alias("avgdl"))
-    return Bm25Index(postings, frequencies, stats, _metadata(chunks))
+    stats = words.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avgdl"))
+    metadata = chunks.select("chunk_id", *[c for c in ("members", "ministry") if c in chunks.columns])
+    return Bm25Index(postings, frequencies, stats, metadata)
 
 
 def read_bm25_index(spark, path) -> Bm25Index:
     return Bm25Index(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "frequencies", "stats", "metadata")])
 
 
-def query_terms(queries: DataFrame, col="query") -> DataFrame:
-    """Distinct terms of each query."""
-    return queries.select("query_id", F.explode(F.array_distinct(tx.terms(F.col(col)))).alias("term"))
-
+def bm25_topk(source, queries: DataFrame, k=schemas.TOP_K, *, block=QUERY_BLOCK) -> DataFrame:
+    """The `k` best chunks per query: `(query_id, chunk_id, score, rank)`.
 
-def bm25_scores(index, queries: DataFrame) -> DataFrame:
-    """`(query_id, chunk_id, score)` of every chunk that shares a term with a query.
-
-    `queries` has `query_id` and `query`, and may carry the filters of
-    `dense_topk`. Corpus statistics cover the whole collection even so.
+    `source` is a `ChunkScan` or a `Bm25Index`. `queries` has `query_id` and
+    `query`, and may carry the filters of `dense_topk`. Corpus statistics cover
+    the whole collection even so. Chunks that share no term are not returned.
     """
     filters = [c for c in ("names", "ministry") if c in queries.columns]
-    wanted = query_terms(queries)
-    small = wanted.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS
-    mark = F.broadcast if small else (lambda df: df)
-
-    distinct = mark(wanted.select("term").distinct())
-    n, avgdl = index.stats.select("n").scalar(), index.stats.select("avgdl").scalar()
-    idf = F.log(F.lit(1.0) + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = wanted.join(index.document_frequencies(distinct), "term").select("query_id", "term", idf.alias("idf"))
-
-    tf = F.col("tf").cast("double")
-    gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / avgdl))
-    hits = index.matching(distinct).select("term", "chunk_id", gain.alias("gain"))
-    if filters:
-        # Metadata joins the postings, before they fan out over queries. The
-        # result is partitioned by chunk, which the final grouping reuses.
-        hits = hits.join(index.metadata, "chunk_id")
-        weights = weights.join(_requests(queries), "query_id")
-    pairs = hits.join(mark(weights), "term")
-    if filters:
-        pairs = pairs.where(request_matches())
-    return pairs.groupBy("query_id", "chunk_id").agg(
-        F.round(F.sum(F.col("idf") * F.col("gain")), SCORE_DIGITS).alias("score")
-    )
-
-
-def _requests(queries):
-    names = F.col("names") if "names" in queries.columns else F.lit(None).cast("array<string>")
-    wanted = F.col("ministry") if "ministry" in queries.columns else F.lit(None).cast("string")
-    return queries.select("query_id", names.alias("names"), wanted.alias("wanted_ministry"))
-
-
-def bm25_topk(index, queries: DataFrame, k=schemas.TOP_K) -> DataFrame:
-    """The `k` best chunks per query: `(query_id, chunk_id, score, rank)`."""
-    return rank_by_score(bm25_scores(index, queries), k)
+    queries = queries.select("query_id", F.array_distinct(tx.terms(F.col("query"))).alias("terms"), *filters)
+
+    def search(rows):
+        terms = sorted({t for row in rows for t in row["terms"] or ()})
+        chunks, mean_length, found = source.statistics(terms)
+        number = {t: i for i, t in enumerate(terms)}
+        idf = np.zeros(len(terms))
+        for term_no, df in found.items():
+            idf[term_no] = np.log(1 + (chunks - df + 0.5) / (df + 0.5))
+        # Queries of each term, term after term.
+        users = [[] for _ in terms]
+        for q, row in enumerate(rows):
+            for t in row["terms"] or ():
+                users[number[t]].append(q)
+        payload = {
+            "terms": terms,
+            "idf": idf,
+            "avgdl": mean_length,
+            "queries": len(rows),
+            "starts": np.cumsum([0] + [len(u) for u in users]),
+            "users": np.asarray([q for u in users for q in u], dtype=np.int64),
+        }
+        return scan_topk(source.hits(terms), rows, queries.schema["query_id"].dataType, k, _bm25, payload)
+
+    return in_blocks(queries, block, search)
+
+
+def _lookup(column, value_set):
+    """Row and term numbers of the tokens in the value set, and all row lengths."""
+    import pyarrow.compute as pc
+
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    numbers = pc.fill_null(pc.index_in(column.flatten(), value_set=value_set), -1).to_numpy(zero_copy_only=False)
+    rows = np.repeat(np.arange(len(lengths)), lengths)
+    known = numbers >= 0
+    return rows[known], numbers[known].astype(np.int64), lengths
+
+
+def _bm25(data, batch):
+    """Scores of a batch in parts of bounded size; no shared term scores `-inf`."""
+    import pyarrow as pa
+
+    value_set = pa.array(data["terms"], type=pa.string())
+    rows, numbers, lengths = _lookup(batch.column("terms"), value_set)
+    width, vocabulary = data["queries"], max(len(value_set), 1)
+    if "tfs" in batch.schema.names:
+        lengths = batch.column("dl").to_numpy(zero_copy_only=False).astype(np.float64)
+        tf, pairs = batch.column("tfs").flatten().to_numpy(zero_copy_only=False), rows * vocabulary + numbers
+    else:
+        pairs, tf = np.unique(rows * vocabulary + numbers, return_counts=True)
+    rows, numbers = pairs // vocabulary, pairs % vocabulary
+    gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[rows] / data["avgdl"])) * data["idf"][numbers]
+
+    everyone = np.arange(width)
+    step = max(SCORE_CELLS // width, 1)
+    bounds = np.searchsorted(rows, np.arange(0, batch.num_rows + step, step))
+    for part, (low, high) in enumerate(zip(bounds[:-1], bounds[1:])):
+        if low == high:
+            continue
+        index = np.arange(part * step, min((part + 1) * step, batch.num_rows))
+        # Every match counts for each query that uses the term.
+        fan_out = data["starts"][numbers[low:high] + 1] - data["starts"][numbers[low:high]]
+        offset = np.arange(fan_out.sum()) - np.repeat(np.cumsum(fan_out) - fan_out, fan_out)
+        users = data["users"][np.repeat(data["starts"][numbers[low:high]], fan_out) + offset]
+        place = users * len(index) + np.repeat(rows[low:high] - part * step, fan_out)
+        size = width * len(index)
+        sums = np.bincount(place, weights=np.repeat(gain[low:high], fan_out), minlength=size)
+        # A present term has a positive weight, so zero means no shared term.
+        scores = np.where(sums > 0, np.round(sums, SCORE_DIGITS), -np.inf)
+        yield everyone, index, scores.reshape(width, len(index))

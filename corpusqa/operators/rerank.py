@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions import text as tx
-from .dense import rank_by_score
+from .topk import SCORE_DIGITS, rank_by_score
 
 
 def coverage_score(query="query", text="text") -> Column:
@@ -15,7 +15,7 @@ def coverage_score(query="query", text="text") -> Column:
     scorer that needs no model and stays in Catalyst."""
     wanted = F.array_distinct(tx.terms(F.col(query)))
     found = F.size(F.array_intersect(wanted, tx.terms(F.col(text))))
-    return F.when(F.size(wanted) > 0, F.round(found / F.size(wanted), 9)).otherwise(F.lit(0.0))
+    return F.when(F.size(wanted) > 0, F.round(found / F.size(wanted), SCORE_DIGITS)).otherwise(F.lit(0.0))
 
 
 def rerank(candidates: DataFrame, scorer=None, n=schemas.RERANK_TOP_N) -> DataFrame:

@@ -5,11 +5,13 @@ from pyspark.sql import DataFrame
 from .. import schemas
 from ..operators import evaluation as ev
 from ..operators.approximate import IvfIndex, ivf_topk
-from ..operators.dense import attach_chunks, dense_topk
+from ..operators.dense import dense_topk
 from ..operators.embedding import embed_queries
 from ..operators.entities import resolve_requests
 from ..operators.hybrid import hybrid_topk
 from ..operators.lexical import bm25_topk
+from ..operators.topk import attach_chunks
+from ..session import write_and_read
 
 
 def search(queries, collection, k=schemas.TOP_K, *, mode="dense", lexical=None, nprobe=8):
@@ -47,8 +49,10 @@ def retrieve(
         rows = resolve_requests(rows, aliases)
     embedded = embed_queries(rows, model_factory)
     chunks = collection.collection if isinstance(collection, IvfIndex) else collection
-    topk = search(embedded, collection, k, **options)
-    return attach_chunks(topk, chunks.drop("embedding", "cell"))
+    # The result is a few rows per query. Written once, it spares every later
+    # use the search, and its exact number is known.
+    topk = write_and_read(search(embedded, collection, k, **options), "topk")
+    return attach_chunks(topk, chunks.drop("embedding", "cell"), bound=topk.count())
 
 
 def run_eval(cases: DataFrame, collection, model_factory, *, aliases: DataFrame, k=schemas.TOP_K, **options):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
+from ..session import spread
 
 
 def conform(df: DataFrame, schema: T.StructType = schemas.CORPUS) -> DataFrame:
@@ -33,6 +34,8 @@ def read_corpus(spark: SparkSession, path, *, rename=None, limit=None, order_col
     if limit is not None:
         order = order_cols or [F.col("_metadata.file_path"), F.col("_metadata.row_index")]
         df = df.orderBy(*order).limit(limit)
+    else:
+        df = spread(df)
     for source, target in (rename or {}).items():
         df = df.withColumnRenamed(source, target)
     return conform(df)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from corpusqa import session
 from corpusqa.operators import approximate as ann
-from corpusqa.operators import dense, embedding, hybrid, lexical, prompts
+from corpusqa.operators import dense, embedding, hybrid, lexical, prompts, topk
 from corpusqa.operators import evaluation as ev
 from corpusqa.operators import rerank as rr
 from corpusqa.operators.evidence import source_rows as display_rows
@@ -53,7 +53,9 @@ def passages(spark, sf_dir):
 
 
 def hashed_collection(spark, sf_dir):
-    return view(spark, sf_dir, "doc_chunks").drop("doc_id").join(hashed_documents(spark, sf_dir), "chunk_id")
+    """The vector collection of all documents, stored as the index step stores it."""
+    vectors_ = hashed_documents(spark, sf_dir)
+    return session.write_and_read(doc_chunks(spark, sf_dir).join(vectors_, "chunk_id"), "collection")
 
 
 def doc_chunks(spark, sf_dir):
@@ -261,8 +263,9 @@ kept as (select * from (select *, row_number() over (partition by query_id order
 
 def bm25_candidates(spark, sf_dir):
     chunks = doc_chunks(spark, sf_dir)
-    top = lexical.bm25_topk(lexical.bm25_scan(chunks), passages(spark, sf_dir))
-    return dense.attach_chunks(top, chunks).join(passages(spark, sf_dir), "query_id")
+    queries = passages(spark, sf_dir)
+    top = retrieve.search(queries, None, mode="lexical", lexical=lexical.bm25_scan(chunks))
+    return topk.attach_chunks(top, chunks, bound=queries.count() * 10).join(queries, "query_id")
 
 
 @query("source_rows", TOP_BM25 + f"""

@@ -2,13 +2,17 @@
 
 from functools import lru_cache
 
-from pyspark.sql import functions as F
-
 from corpusqa.functions.text import WHITESPACE
+from corpusqa.session import spread
+
+
+# Tables that grow with the data and may come as a single file.
+LARGE = {"documents", "lineitem", "orders"}
 
 
 def table(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(scan) if name in LARGE else scan
 
 
 SQL = {
@@ -101,7 +105,3 @@ name_map as (select mpName name, arg_max(canonical, first_seen) canonical
              from registry join numbers using (mpNo) group by mpName),
 alias_map as (select canonical, list_sort(list_distinct(list_concat(list(name), [canonical]))) aliases
               from name_map group by canonical)"""
-
-
-def spread(df, *cols):
-    return df.select(*[F.col(c) for c in cols])
