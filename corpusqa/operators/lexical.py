@@ -25,7 +25,7 @@ B = 0.75
 
 # Queries scored per pass over the collection.
 QUERY_BLOCK = 1024
-# Entries of the score matrix held at once by a task.
+# Entries of the score matrix, and of the matches behind it, held at once by a task.
 SCORE_CELLS = 4_000_000
 
 
@@ -196,14 +196,16 @@ def _bm25(data, batch):
     gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[rows] / data["avgdl"])) * data["idf"][numbers]
 
     everyone = np.arange(width)
-    step = max(SCORE_CELLS // width, 1)
+    uses = np.diff(data["starts"])[numbers]
+    per_row = np.bincount(rows, weights=uses, minlength=1).max()
+    step = max(SCORE_CELLS // int(max(width, per_row)), 1)
     bounds = np.searchsorted(rows, np.arange(0, batch.num_rows + step, step))
     for part, (low, high) in enumerate(zip(bounds[:-1], bounds[1:])):
         if low == high:
             continue
         index = np.arange(part * step, min((part + 1) * step, batch.num_rows))
         # Every match counts for each query that uses the term.
-        fan_out = data["starts"][numbers[low:high] + 1] - data["starts"][numbers[low:high]]
+        fan_out = uses[low:high]
         offset = np.arange(fan_out.sum()) - np.repeat(np.cumsum(fan_out) - fan_out, fan_out)
         users = data["users"][np.repeat(data["starts"][numbers[low:high]], fan_out) + offset]
         place = users * len(index) + np.repeat(rows[low:high] - part * step, fan_out)

@@ -1,9 +1,9 @@
 """Profiles per member, per ministry and per pair, for all keys at once.
 
-Counts are first aggregated at the finest grain any breakdown needs (key,
-term, session, type, ministry). A key that holds a large share of the rows is
-then spread over many groups and combined map-side, and every breakdown is a
-roll-up of that much smaller table.
+Every breakdown counts at the finest grain it needs and rolls up from there. A
+key that holds a large share of the rows is spread over many groups, which are
+combined map-side before any shuffle. The questions-to-members join feeds
+several breakdowns; where it is large, pass it as a stored table.
 """
 
 from pyspark.sql import DataFrame, Window
@@ -18,16 +18,8 @@ def newest_first():
 
 
 def fine_counts(rows: DataFrame, keys) -> DataFrame:
-    """Row counts per key, term, session and type, with the latest question."""
-    return rows.groupBy(*keys, "lok_no", "session_no", "type").agg(
-        F.count("*").alias("n"),
-        F.max(F.struct("date", "ques_no")).alias("latest"),
-    )
-
-
-def count_by(fine: DataFrame, keys, by) -> DataFrame:
-    """Roll the fine counts up to `keys` and `by`: `(keys..., key, n, latest)`."""
-    return fine.groupBy(*keys, by.alias("key")).agg(F.sum("n").alias("n"), F.max("latest").alias("latest"))
+    """Row counts per key, term, session and type."""
+    return rows.groupBy(*keys, "lok_no", "session_no", "type").agg(F.count("*").alias("n"))
 
 
 def breakdowns(fine: DataFrame, keys) -> DataFrame:
@@ -59,19 +51,23 @@ def breakdowns(fine: DataFrame, keys) -> DataFrame:
     )
 
 
-def top_categories(fine: DataFrame, keys, by, *, n=schemas.TOP_CATEGORIES, tie="latest") -> DataFrame:
+def top_categories(rows: DataFrame, keys, by, *, n=schemas.TOP_CATEGORIES, tie="latest") -> DataFrame:
     """The `n` most frequent values of `by` per key, as `(rank, key, count)` rows.
 
     With `tie="latest"` equal counts keep the order in which the values first
     appear among the newest questions, else they sort by name.
     """
-    order = [F.desc("n")] + ([F.desc("latest")] if tie == "latest" else []) + [F.asc("key")]
-    window = Window.partitionBy(*keys).orderBy(*order)
+    measures = [F.count("*").alias("count")]
+    order = [F.desc("count")]
+    if tie == "latest":
+        measures.append(F.max(F.struct("date", "ques_no")).alias("latest"))
+        order.append(F.desc("latest"))
+    window = Window.partitionBy(*keys).orderBy(*order, F.asc("key"))
     return (
-        count_by(fine, keys, F.col(by))
+        rows.groupBy(*keys, F.col(by).alias("key")).agg(*measures)
         .withColumn("rank", F.row_number().over(window))
         .where(F.col("rank") <= n)
-        .select(*keys, "rank", "key", F.col("n").alias("count"))
+        .select(*keys, "rank", "key", "count")
     )
 
 
@@ -117,10 +113,9 @@ def member_profiles(asked: DataFrame, *, top_q=schemas.TOP_QUESTIONS, top_n=sche
     Duplicate links count twice, in the total as in every breakdown.
     """
     keys = ["mp_name"]
-    fine = fine_counts(asked, ["mp_name", "ministry"])
-    top = _fold(top_categories(fine, keys, "ministry", n=top_n), keys, ["key", "count"], "by_ministry")
+    top = _fold(top_categories(asked, keys, "ministry", n=top_n), keys, ["key", "count"], "by_ministry")
     recent = _fold_recent(recent_questions(asked, keys, n=top_q), keys)
-    return breakdowns(fine, keys).join(top, keys).join(recent, keys)
+    return breakdowns(fine_counts(asked, keys), keys).join(top, keys).join(recent, keys)
 
 
 def ministry_profiles(
@@ -129,7 +124,7 @@ def ministry_profiles(
     """One row per ministry. Counts use `questions`; only the members use the join."""
     keys = ["ministry"]
     named = questions.where(F.col("ministry").isNotNull())
-    links = fine_counts(asked.where(F.col("ministry").isNotNull()), ["mp_name", "ministry"])
+    links = asked.where(F.col("ministry").isNotNull())
     top = _fold(top_categories(links, keys, "mp_name", n=top_n, tie="name"), keys, ["key", "count"], "top_mps")
     recent = _fold_recent(recent_questions(named, keys, n=top_q), keys)
     none = F.array().cast("array<struct<key:string,count:bigint>>")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from corpusqa import session
 from corpusqa.operators import documents as docs
 from corpusqa.operators import entities as ent
 from corpusqa.operators import evidence as ev
@@ -17,6 +18,11 @@ def asked(spark, sf_dir):
     return ent.asked_questions(view(spark, sf_dir, "questions"), view(spark, sf_dir, "question_mps"))
 
 
+def stored_asked(spark, sf_dir):
+    """The join as a stored table, for profiles that read it several times."""
+    return session.write_and_read(asked(spark, sf_dir), "asked")
+
+
 def latest_first():
     return [F.desc("ord1"), F.desc("ord2"), F.desc("ord3")]
 
@@ -143,13 +149,9 @@ def breakdown_rows(profile, key):
     return profile.select(key, F.inline(entries))
 
 
-def member_fine(spark, sf_dir):
-    return pr.fine_counts(asked(spark, sf_dir), ["mp_name", "ministry"])
-
-
 @query("member_profile_breakdowns", breakdown_sql("asked", "mp_name"))
 def member_profile_breakdowns(spark, sf_dir):
-    return breakdown_rows(pr.breakdowns(member_fine(spark, sf_dir), ["mp_name"]), "mp_name")
+    return breakdown_rows(pr.breakdowns(pr.fine_counts(asked(spark, sf_dir), ["mp_name"]), ["mp_name"]), "mp_name")
 
 
 @query("member_profile_top_ministries", PROFILES + """
@@ -158,7 +160,7 @@ select mp_name, rank, ministry as key, count from (
          row_number() over (partition by mp_name order by count(*) desc, max(date || lpad(cast(ques_no as varchar), 12, '0')) desc, ministry) as rank
   from asked group by mp_name, ministry) where rank <= 15""")
 def member_profile_top_ministries(spark, sf_dir):
-    return pr.top_categories(member_fine(spark, sf_dir), ["mp_name"], "ministry")
+    return pr.top_categories(asked(spark, sf_dir), ["mp_name"], "ministry")
 
 
 RECENT_SQL = """
@@ -184,7 +186,7 @@ select ministry, rank, mp_name as key, count from (
          row_number() over (partition by ministry order by count(*) desc, mp_name) as rank
   from asked group by ministry, mp_name) where rank <= 15""")
 def ministry_profile_top_members(spark, sf_dir):
-    return pr.top_categories(member_fine(spark, sf_dir), ["ministry"], "mp_name", tie="name")
+    return pr.top_categories(asked(spark, sf_dir), ["ministry"], "mp_name", tie="name")
 
 
 @query("ministry_profile_recent", PROFILES + RECENT_SQL.format(keys="ministry", rest="", source="questions"))
@@ -272,7 +274,7 @@ ot as (select a.mp_name, a.ministry, '=== OVERLAP: ' || a.mp_name || ' × ' || a
 
 @query("member_profile_text", PROFILES + "," + text_ctes("", 10) + " select mp_name, body as profile from mt")
 def member_profile_text(spark, sf_dir):
-    return pr.member_profiles(asked(spark, sf_dir)).select("mp_name", ev.member_text().alias("profile"))
+    return pr.member_profiles(stored_asked(spark, sf_dir)).select("mp_name", ev.member_text().alias("profile"))
 
 
 @query("ministry_profile_text", PROFILES + "," + text_ctes("", 10) + " select ministry, body as profile from dt")
@@ -317,7 +319,7 @@ def evidence_packets(spark, sf_dir):
     for t in frames:
         sql = sql.replace(f"from {t}", "from {" + t + "}").replace(f"join {t} ", "join {" + t + "} ")
     requests = spark.sql(sql, **frames)
-    rows = asked(spark, sf_dir)
+    rows = stored_asked(spark, sf_dir)
     return ev.evidence_packets(
         requests, pr.member_profiles(rows), pr.ministry_profiles(view(spark, sf_dir, "questions"), rows),
         pr.overlap_profiles(rows),

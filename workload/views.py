@@ -10,6 +10,7 @@ from corpusqa.session import spread
 LARGE = {"documents", "lineitem", "orders"}
 
 
+@lru_cache(maxsize=64)
 def table(spark, sf_dir, name):
     scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return spread(scan) if name in LARGE else scan
