@@ -73,16 +73,21 @@ def chunk_documents(
     """One row per chunk: `chunk_id`, `chunk_no`, the chunk text and all other columns.
 
     `df` has `qa_id` and the text. Ids are `qa_id#chunk_no`, so a rerun gives
-    the same ones. `counts` adds the tokens of a chunk and those it repeats.
+    the same ones; where `qa_id` is empty a digest of the text stands for it,
+    so documents without an id stay apart. `counts` adds the tokens of a chunk
+    and those it repeats.
     """
     rest = [c for c in df.columns if c != text_col]
+    key = F.when(F.col("qa_id") == "", F.md5(text_col)).otherwise(F.col("qa_id"))
+    # An outer explode adds no size filter, which would run the splitter twice.
     out = (
         df.where(F.col(text_col).isNotNull())
-        .withColumn("_chunks", split_text(size, overlap)(F.col(text_col)))
-        .select(*rest, F.posexplode("_chunks").alias("chunk_no", "_chunk"))
+        .withColumns({"_key": key, "_chunks": split_text(size, overlap)(F.col(text_col))})
+        .select("_key", *rest, F.posexplode_outer("_chunks").alias("chunk_no", "_chunk"))
+        .where(F.col("chunk_no").isNotNull())
     )
     extra = [F.col("_chunk.n_tokens"), F.col("_chunk.n_repeated")] if counts else []
-    chunk_id = F.concat("qa_id", F.lit("#"), F.col("chunk_no").cast("string"))
+    chunk_id = F.concat("_key", F.lit("#"), F.col("chunk_no").cast("string"))
     return out.select(chunk_id.alias("chunk_id"), "chunk_no", *rest, F.col("_chunk.text").alias("text"), *extra)
 
 

@@ -47,7 +47,7 @@ def clean_question_fields(df: DataFrame) -> DataFrame:
 
 def keyed_questions(df: DataFrame) -> DataFrame:
     """Rows whose three key numbers are present; `type` may be null."""
-    return df.na.drop(subset=["lok_no", "session_no", "ques_no"])
+    return df.where(tx.all_of([F.col(c).isNotNull() for c in ("lok_no", "session_no", "ques_no")]))
 
 
 def member_array(df: DataFrame, col="members") -> Column:

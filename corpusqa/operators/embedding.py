@@ -5,7 +5,6 @@ import re
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,14 +14,17 @@ from .. import schemas
 
 def embed(
     df: DataFrame, model_factory, *, id_col="chunk_id", text_col="text",
-    prefix=schemas.PASSAGE_PREFIX, batch_size=schemas.EMBED_BATCH, normalize=True,
+    prefix=schemas.PASSAGE_PREFIX, batch_size=schemas.EMBED_BATCH, normalize=True, keep=(),
 ) -> DataFrame:
-    """`(id, embedding)` of every text.
+    """`(id, embedding)` of every text, with the columns named in `keep`.
 
     `model_factory()` runs once per task and returns a function from a list of
     texts to a matrix with one row each. Vectors are unit length and float32.
     """
-    schema = T.StructType([df.schema[id_col], T.StructField("embedding", T.ArrayType(T.FloatType(), False))])
+    columns = list(dict.fromkeys([id_col, *keep]))
+    schema = T.StructType(
+        [df.schema[c] for c in columns] + [T.StructField("embedding", T.ArrayType(T.FloatType(), False))]
+    )
 
     def run(frames):
         model = model_factory()
@@ -33,9 +35,9 @@ def embed(
                 if normalize:
                     length = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
                     vectors = np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 0)
-                yield pd.DataFrame({id_col: part[id_col].to_numpy(), "embedding": list(vectors.astype(np.float32))})
+                yield part[columns].assign(embedding=list(vectors.astype(np.float32)))
 
-    return df.select(id_col, text_col).where(F.col(text_col).isNotNull()).mapInPandas(run, schema)
+    return df.select(*dict.fromkeys([*columns, text_col])).where(F.col(text_col).isNotNull()).mapInPandas(run, schema)
 
 
 def embed_queries(queries: DataFrame, model_factory, **options) -> DataFrame:

@@ -93,8 +93,11 @@ def latest_questions(corpus: DataFrame, order_cols) -> DataFrame:
 
 def build_questions(corpus: DataFrame, order_cols) -> DataFrame:
     """The `questions` table."""
-    latest = clean_question_fields(latest_questions(corpus, order_cols))
-    return latest.select("lok_no", "session_no", "ques_no", "type", "date", "ministry", "subject")
+    return questions_of(latest_questions(corpus, order_cols))
+
+
+def questions_of(latest: DataFrame) -> DataFrame:
+    return clean_question_fields(latest).select("lok_no", "session_no", "ques_no", "type", "date", "ministry", "subject")
 
 
 def _with_canonical(rows, names):
@@ -107,7 +110,10 @@ def build_links(corpus: DataFrame, names: DataFrame, order_cols) -> DataFrame:
 
     Repeated names on one question stay repeated.
     """
-    latest = latest_questions(corpus, order_cols)
+    return links_of(latest_questions(corpus, order_cols), names)
+
+
+def links_of(latest: DataFrame, names: DataFrame) -> DataFrame:
     mentions = latest.select(*KEY, F.explode(member_array(latest)).alias("mp"))
     return _with_canonical(mentions, names).select("lok_no", "session_no", "ques_no", "type", "mp_name")
 

@@ -15,12 +15,19 @@ def unindexed_chunks(chunks: DataFrame, collection: DataFrame, *, granularity="c
     `granularity="document"` skips every chunk of a document that has any
     chunk indexed; by chunk, a half-indexed document is completed.
     """
-    key = {"chunk": "chunk_id", "document": "qa_id"}[granularity]
-    return chunks.join(collection.select(key), key, "left_anti")
+    if granularity == "document":
+        # A document has many chunks; one row for each is enough.
+        return chunks.join(collection.select("qa_id").distinct(), "qa_id", "left_anti")
+    if granularity != "chunk":
+        raise ValueError(f"unknown granularity {granularity}")
+    return chunks.join(collection.select("chunk_id"), "chunk_id", "left_anti")
 
 
 def with_embeddings(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """Chunks paired with their vectors; those without a vector drop out."""
+    """Chunks paired with their vectors; those without a vector drop out.
+
+    `embeddings` holds one row per chunk id, as the embedding step writes it.
+    """
     return chunks.join(embeddings.select("chunk_id", "embedding"), "chunk_id")
 
 

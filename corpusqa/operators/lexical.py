@@ -1,9 +1,10 @@
 """BM25 ranking (Robertson and Zaragoza, 2009) over chunk text.
 
 Two forms give the same result. A stored index holds postings sorted by term,
-so a query reads only the row groups of its terms. Without an index the chunk
-table is scanned, and no token is shuffled: a first pass counts in how many
-chunks each query term occurs, a second scores and keeps the best rows per task.
+so queries with rare terms read only the row groups of these; queries with
+common terms scan its tokenised documents. Without an index the chunk table is
+scanned, and no token is shuffled: a first pass counts in how many chunks each
+query term occurs, a second scores and keeps the best rows per task.
 
 A common term costs work in proportion to its occurrences and nothing else: no
 join or grouping is keyed by term alone.
@@ -23,6 +24,8 @@ from .topk import SCORE_DIGITS, in_blocks, scan_topk
 K1 = 1.2
 B = 0.75
 
+# A stored index gathers postings up to this many per chunk of the collection.
+MAX_GATHERED_SHARE = 0.25
 # Queries scored per pass over the collection.
 QUERY_BLOCK = 1024
 # Entries of the score matrix, and of the matches behind it, held at once by a task.
@@ -37,7 +40,7 @@ class ChunkScan:
 
     def statistics(self, terms):
         """Number of chunks, mean length, and chunks per query term, in one pass."""
-        words = self.chunks.select(tx.terms(F.col("text")).alias("terms"))
+        words = _documents(self.chunks).select("terms")
         wanted = self.chunks.sparkSession.sparkContext.broadcast(terms)
 
         def count(batches):
@@ -63,22 +66,20 @@ class ChunkScan:
         length = totals.pop(-1, 0)
         return chunks, length / max(chunks, 1), totals
 
-    def hits(self, terms):
-        """`(chunk_id, dl, terms, tfs)` and metadata; every term once per occurrence."""
-        words = tx.terms(F.col("text"))
-        return self.chunks.select(
-            "chunk_id", words.alias("terms"), *[c for c in ("members", "ministry") if c in self.chunks.columns]
-        )
+    def hits(self, terms, chunks, found):
+        """`(chunk_id, terms)` and metadata; every term once per occurrence."""
+        return _documents(self.chunks)
 
 
 @dataclass
 class Bm25Index:
-    """Postings `(term, chunk_id, tf, dl)`, `(term, df)`, one-row stats, and metadata."""
+    """Postings `(term, chunk_id, tf, dl)`, `(term, df)`, one-row stats, and the
+    documents `(chunk_id, terms)` with their metadata."""
 
     postings: DataFrame
     frequencies: DataFrame
     stats: DataFrame
-    metadata: DataFrame
+    documents: DataFrame
 
     def statistics(self, terms):
         stats = self.stats.first()
@@ -86,13 +87,21 @@ class Bm25Index:
         found = self.frequencies.join(F.broadcast(numbers), "term").select("term_no", "df").collect()
         return stats["n"], stats["avgdl"], {row["term_no"]: row["df"] for row in found}
 
-    def hits(self, terms):
-        """Matching postings gathered by chunk; a chunk has at most the terms of one block."""
+    def hits(self, terms, chunks, found):
+        """What to score: matching postings gathered by chunk, or all documents.
+
+        Rare terms touch few postings, which are cheap to gather. Where the
+        terms of a block match more postings than a share of the chunks, a scan
+        of the documents reads more but shuffles nothing.
+        """
+        if sum(found.values()) > MAX_GATHERED_SHARE * chunks:
+            return self.documents
         matching = self.postings.join(F.broadcast(self._numbered(terms)), "term")
         gathered = matching.groupBy("chunk_id").agg(
             F.first("dl").alias("dl"), F.collect_list("term").alias("terms"), F.collect_list("tf").alias("tfs")
         )
-        return gathered.join(self.metadata, "chunk_id") if len(self.metadata.columns) > 1 else gathered
+        metadata = self.documents.drop("terms")
+        return gathered.join(metadata, "chunk_id") if len(metadata.columns) > 1 else gathered
 
     def _numbered(self, terms):
         rows = [(i, t) for i, t in enumerate(terms)]
@@ -107,17 +116,22 @@ class Bm25Index:
         frequencies = stored.groupBy("term").agg(F.count("*").alias("df"))
         frequencies.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/frequencies")
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")
-        self.metadata.write.mode("overwrite").parquet(f"{path}/metadata")
+        self.documents.write.mode("overwrite").parquet(f"{path}/documents")
         return read_bm25_index(spark, path)
 
 
+def _documents(chunks):
+    metadata = [c for c in ("members", "ministry") if c in chunks.columns]
+    return chunks.select("chunk_id", tx.terms(F.col("text")).alias("terms"), *metadata)
+
+
 def bm25_scan(chunks: DataFrame) -> ChunkScan:
     return ChunkScan(chunks)
 
 
 def bm25_index(chunks: DataFrame) -> Bm25Index:
     """Postings, term frequencies and corpus statistics of a chunk table."""
-    words = chunks.select("chunk_id", tx.terms(F.col("text")).alias("terms"))
+    words = _documents(chunks)
     # An outer explode adds no size filter, which would run the term pattern twice.
     tokens = words.select("chunk_id", F.size("terms").alias("dl"), F.explode_outer("terms").alias("term"))
     postings = (
@@ -126,12 +140,11 @@ def bm25_index(chunks: DataFrame) -> Bm25Index:
     )
     frequencies = postings.groupBy("term").agg(F.count("*").alias("df"))
     stats = words.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avgdl"))
-    metadata = chunks.select("chunk_id", *[c for c in ("members", "ministry") if c in chunks.columns])
-    return Bm25Index(postings, frequencies, stats, metadata)
+    return Bm25Index(postings, frequencies, stats, words)
 
 
 def read_bm25_index(spark, path) -> Bm25Index:
-    return Bm25Index(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "frequencies", "stats", "metadata")])
+    return Bm25Index(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "frequencies", "stats", "documents")])
 
 
 def bm25_topk(source, queries: DataFrame, k=schemas.TOP_K, *, block=QUERY_BLOCK) -> DataFrame:
@@ -164,7 +177,7 @@ def bm25_topk(source, queries: DataFrame, k=schemas.TOP_K, *, block=QUERY_BLOCK)
             "starts": np.cumsum([0] + [len(u) for u in users]),
             "users": np.asarray([q for u in users for q in u], dtype=np.int64),
         }
-        return scan_topk(source.hits(terms), rows, queries.schema["query_id"].dataType, k, _bm25, payload)
+        return scan_topk(source.hits(terms, chunks, found), rows, queries.schema["query_id"].dataType, k, _bm25, payload)
 
     return in_blocks(queries, block, search)
 

@@ -33,7 +33,9 @@ def chunk_step(corpus: DataFrame, path, **chunking) -> DataFrame:
 def embed_step(chunks: DataFrame, path, model_factory, **options) -> DataFrame:
     spark = chunks.sparkSession
     done = read_or_empty(spark, path, schemas.EMBEDDINGS)
-    writers.append_embeddings(embed(inc.pending_chunks(chunks, done), model_factory, **options), path)
+    # Copies that share an id are embedded once, and pairing stays one to one.
+    pending = inc.pending_chunks(chunks.select("chunk_id", "text"), done).dropDuplicates(["chunk_id"])
+    writers.append_embeddings(embed(pending, model_factory, **options), path)
     return spark.read.schema(schemas.EMBEDDINGS).parquet(path)
 
 

@@ -6,6 +6,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Settings for a cluster, on top of its own sizing of executors. Scans of vectors
+# hold a constant amount of memory per task, so larger splits mean fewer partial
+# results; Arrow batches count rows, so documents of megabytes want fewer of them.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256MB",
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.files.maxPartitionBytes": "512MB",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.session.timeZone": "UTC",
+}
+
 
 def local_session(cpus=8, **conf):
     """A session for tests and the benchmark. On a cluster, use the one it gives."""

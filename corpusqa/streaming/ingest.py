@@ -16,7 +16,6 @@ from ..operators.chunking import corpus_to_chunks
 from ..operators.embedding import embed
 from ..plans.ingest import read_or_empty
 from ..sources.readers import conform
-from ..session import write_and_read
 
 COLLECTION = T.StructType(schemas.CHUNKS.fields + [schemas.EMBEDDINGS["embedding"]])
 STORED = T.StructType(COLLECTION.fields + [T.StructField("batch_id", T.LongType())])
@@ -30,9 +29,7 @@ def ingest_batch(corpus: DataFrame, batch_id: int, target, model_factory, *, ski
         # Only earlier batches count, so that a repeated batch is whole again.
         known = read_or_empty(spark, target, STORED).where(F.col("batch_id") < batch_id)
         chunks = inc.unindexed_chunks(chunks, known)
-    # Written once: the vectors and the texts both read it.
-    chunks = write_and_read(chunks, "batch")
-    ready = inc.with_embeddings(chunks, embed(chunks, model_factory))
+    ready = embed(chunks, model_factory, keep=schemas.CHUNKS.fieldNames())
     ready.select(*COLLECTION.fieldNames()).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
 
 

@@ -134,11 +134,12 @@ TEXTS = [
 
 
 @pytest.mark.parametrize("block", [1024, 2])
-@pytest.mark.parametrize("stored", [False, True])
-def test_bm25_equals_brute_force(spark, data, block, stored):
+@pytest.mark.parametrize("stored", [None, "documents", "postings"])
+def test_bm25_equals_brute_force(spark, data, block, stored, monkeypatch):
     rows, chunks = data
     source = lexical.bm25_scan(chunks)
     if stored:
+        monkeypatch.setattr(lexical, "MAX_GATHERED_SHARE", 100 if stored == "postings" else 0)
         source = lexical.bm25_index(chunks).write(scratch_path(spark, "test-bm25"))
     queries = spark.createDataFrame(TEXTS, "query_id int, query string, names array<string>, ministry string")
     assert by_query(lexical.bm25_topk(source, queries, 10, block=block)) == bm25_truth(rows, TEXTS, 10)

@@ -7,6 +7,7 @@ from corpusqa.operators import documents as docs
 from corpusqa.operators import entities as ent
 from corpusqa.operators import evidence as ev
 from corpusqa.operators import profiles as pr
+from corpusqa.plans import metadata
 
 from .registry import registry
 from .views import aliases_of_registry_sql, strip_sql, table, view, with_views
@@ -324,3 +325,18 @@ def evidence_packets(spark, sf_dir):
         requests, pr.member_profiles(rows), pr.ministry_profiles(view(spark, sf_dir, "questions"), rows),
         pr.overlap_profiles(rows),
     )
+
+
+@query("build_metadata", with_views("corpus", "registry") + "," + aliases_of_registry_sql() + "," + LATEST + f"""
+select 'questions' as name, count(*) as rows from winners
+union all select 'question_mps', count(*) from {MENTIONS.replace('SOURCE', 'winners')} x
+union all select 'counted', count(*) from corpus""")
+def build_metadata(spark, sf_dir):
+    root = session.scratch_path(spark, "metadata")
+    counts = metadata.build_metadata(view(spark, sf_dir, "corpus"), view(spark, sf_dir, "registry"), latest_first(), root)
+    tables = [
+        spark.read.parquet(f"{root}/{t}").agg(F.lit(t).alias("name"), F.count("*").alias("rows"))
+        for t in ("questions", "question_mps")
+    ]
+    return tables[0].unionByName(tables[1]).unionByName(
+        counts.select(F.lit("counted").alias("name"), F.col("questions").alias("rows")))

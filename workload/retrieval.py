@@ -54,8 +54,8 @@ def passages(spark, sf_dir):
 
 def hashed_collection(spark, sf_dir):
     """The vector collection of all documents, stored as the index step stores it."""
-    vectors_ = hashed_documents(spark, sf_dir)
-    return session.write_and_read(doc_chunks(spark, sf_dir).join(vectors_, "chunk_id"), "collection")
+    chunks = doc_chunks(spark, sf_dir)
+    return session.write_and_read(embedding.embed(chunks, MODEL, keep=chunks.columns), "collection")
 
 
 def doc_chunks(spark, sf_dir):
