@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions import text as tx
@@ -108,15 +109,18 @@ class Bm25Index:
         return self.postings.sparkSession.createDataFrame(rows, "term_no int, term string")
 
     def write(self, path):
-        """Store the index. Range partitioning on (term, chunk) splits long postings lists."""
-        spark = self.postings.sparkSession
-        sorted_postings = self.postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id")
-        sorted_postings.write.mode("overwrite").parquet(f"{path}/postings")
-        stored = spark.read.parquet(f"{path}/postings")
-        frequencies = stored.groupBy("term").agg(F.count("*").alias("df"))
-        frequencies.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/frequencies")
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        """Store the index. Range partitioning on (term, chunk) splits long postings lists.
+
+        Documents are tokenised and stored first; the rest is built from them.
+        """
+        spark = self.documents.sparkSession
         self.documents.write.mode("overwrite").parquet(f"{path}/documents")
+        built = _index_of(spark.read.parquet(f"{path}/documents"))
+        ranged = built.postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id")
+        ranged.write.mode("overwrite").parquet(f"{path}/postings")
+        frequencies = _frequencies(spark.read.parquet(f"{path}/postings"))
+        frequencies.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/frequencies")
+        built.stats.write.mode("overwrite").parquet(f"{path}/stats")
         return read_bm25_index(spark, path)
 
 
@@ -131,16 +135,50 @@ def bm25_scan(chunks: DataFrame) -> ChunkScan:
 
 def bm25_index(chunks: DataFrame) -> Bm25Index:
     """Postings, term frequencies and corpus statistics of a chunk table."""
-    words = _documents(chunks)
-    # An outer explode adds no size filter, which would run the term pattern twice.
-    tokens = words.select("chunk_id", F.size("terms").alias("dl"), F.explode_outer("terms").alias("term"))
-    postings = (
-        tokens.where(F.col("term").isNotNull())
-        .groupBy("term", "chunk_id", "dl").agg(F.count("*").cast("int").alias("tf"))
-    )
-    frequencies = postings.groupBy("term").agg(F.count("*").alias("df"))
-    stats = words.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avgdl"))
-    return Bm25Index(postings, frequencies, stats, words)
+    return _index_of(_documents(chunks))
+
+
+def _index_of(documents):
+    postings = _postings(documents)
+    stats = documents.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avgdl"))
+    return Bm25Index(postings, _frequencies(postings), stats, documents)
+
+
+def _frequencies(postings):
+    return postings.groupBy("term").agg(F.count("*").alias("df"))
+
+
+def _postings(documents):
+    """Terms counted per document. All tokens of a document are in one row, so
+    this needs no shuffle."""
+
+    def count(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            column = batch.column("terms")
+            lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            words = pc.dictionary_encode(column.flatten())
+            size = max(len(words.dictionary), 1)
+            rows = np.repeat(np.arange(len(lengths)), lengths)
+            pairs, tf = np.unique(rows * size + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            row = pairs // size
+            yield pa.RecordBatch.from_arrays(
+                [
+                    words.dictionary.take(pa.array(pairs % size)),
+                    batch.column("chunk_id").take(pa.array(row)),
+                    pa.array(lengths[row], type=pa.int32()),
+                    pa.array(tf, type=pa.int32()),
+                ],
+                names=["term", "chunk_id", "dl", "tf"],
+            )
+
+    schema = T.StructType([
+        T.StructField("term", T.StringType()), documents.schema["chunk_id"],
+        T.StructField("dl", T.IntegerType()), T.StructField("tf", T.IntegerType()),
+    ])
+    return documents.select("chunk_id", "terms").mapInArrow(count, schema)
 
 
 def read_bm25_index(spark, path) -> Bm25Index:

@@ -3,6 +3,7 @@
 from corpusqa.operators import evidence as ev
 from corpusqa.operators import entities as ent
 from corpusqa.operators import profiles as pr
+from corpusqa.plans.evidence import evidence_for
 
 Q = "lok_no int, session_no int, ques_no int, type string, date string, ministry string, subject string"
 L = "lok_no int, session_no int, ques_no int, type string, mp_name string"
@@ -131,6 +132,8 @@ def test_evidence_packets(spark):
     assert got[1] == "\n\n".join([OVERLAP, five, POWER])
     assert got[3] == POWER and got[6] == POWER
     assert got[4] is None and got[5] is None and got[7] is None
+    questions, asked = tables(spark)
+    assert {r["query_id"]: r["evidence"] for r in evidence_for(requests, questions, asked).collect()} == got
     # Half of four is below the minimum of three.
     few = {r["query_id"]: r["evidence"] for r in ev.evidence_packets(requests, *profiles(spark, 4), top_q=4).collect()}
     assert few[1] == "\n\n".join([OVERLAP, MEMBER_A, POWER])

@@ -8,6 +8,7 @@ from corpusqa.operators import entities as ent
 from corpusqa.operators import evidence as ev
 from corpusqa.operators import profiles as pr
 from corpusqa.plans import metadata
+from corpusqa.plans.evidence import evidence_for
 
 from .registry import registry
 from .views import aliases_of_registry_sql, strip_sql, table, view, with_views
@@ -320,11 +321,7 @@ def evidence_packets(spark, sf_dir):
     for t in frames:
         sql = sql.replace(f"from {t}", "from {" + t + "}").replace(f"join {t} ", "join {" + t + "} ")
     requests = spark.sql(sql, **frames)
-    rows = stored_asked(spark, sf_dir)
-    return ev.evidence_packets(
-        requests, pr.member_profiles(rows), pr.ministry_profiles(view(spark, sf_dir, "questions"), rows),
-        pr.overlap_profiles(rows),
-    )
+    return evidence_for(requests, view(spark, sf_dir, "questions"), stored_asked(spark, sf_dir))
 
 
 @query("build_metadata", with_views("corpus", "registry") + "," + aliases_of_registry_sql() + "," + LATEST + f"""
