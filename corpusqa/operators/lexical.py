@@ -191,6 +191,8 @@ def bm25_topk(source, queries: DataFrame, k=schemas.TOP_K, *, block=QUERY_BLOCK)
     `source` is a `ChunkScan` or a `Bm25Index`. `queries` has `query_id` and
     `query`, and may carry the filters of `dense_topk`. Corpus statistics cover
     the whole collection even so. Chunks that share no term are not returned.
+    A scan tokenises the collection twice per block of queries; for many
+    blocks, or repeated use, store an index.
     """
     filters = [c for c in ("names", "ministry") if c in queries.columns]
     queries = queries.select("query_id", F.array_distinct(tx.terms(F.col("query"))).alias("terms"), *filters)

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as tx
-from ..session import scratch_path
+from ..session import scratch_path, write_and_read
 from .documents import members_filter
 
 # Scores are compared after rounding, as the order of a sum is not fixed.
@@ -41,10 +41,12 @@ def attach_chunks(topk: DataFrame, chunks: DataFrame, *, bound=None) -> DataFram
 
     `bound` is an upper bound on the winners, queries times `k`, where the
     caller knows it. While it is small they are broadcast and the chunk table
-    is not shuffled.
+    is not shuffled. Should rows share an id, one of them gives the columns.
     """
-    small = bound is not None and bound <= MAX_BROADCAST_WINNERS
-    return chunks.join(F.broadcast(topk) if small else topk, "chunk_id")
+    mark = F.broadcast if bound is not None and bound <= MAX_BROADCAST_WINNERS else (lambda df: df)
+    ids = mark(topk.select("chunk_id").distinct())
+    found = chunks.join(ids, "chunk_id", "left_semi").dropDuplicates(["chunk_id"])
+    return found.join(mark(topk), "chunk_id")
 
 
 def in_blocks(queries: DataFrame, block, search) -> DataFrame:
@@ -54,7 +56,9 @@ def in_blocks(queries: DataFrame, block, search) -> DataFrame:
         return search(first)
 
     spark = queries.sparkSession
-    source = scratch_path(spark, "queries")
+    # Stored before they are counted, so that embedding runs once.
+    queries = write_and_read(queries, "queries")
+    source = scratch_path(spark, "blocks")
     parts = -(-queries.count() // max(block // 2, 1))
     spread = queries.withColumn("_part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
     spread.repartition("_part").write.partitionBy("_part").parquet(source)

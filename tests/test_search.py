@@ -166,6 +166,17 @@ def test_attach_keeps_every_winner(spark, data):
     for bound in (None, 15):
         out = topk.attach_chunks(top, chunks.drop("embedding"), bound=bound)
         assert out.count() == top.count() and "text" in out.columns
+    # A second row under an id does not multiply the winners.
+    twice = chunks.drop("embedding").unionByName(chunks.drop("embedding"))
+    assert topk.attach_chunks(top, twice, bound=15).count() == top.count()
+
+
+def test_copies_without_an_id_stay_apart_from_other_texts(spark):
+    from corpusqa.operators.chunking import chunk_documents
+
+    df = spark.createDataFrame([("", "One text."), ("", "One text."), ("", "Another text.")], "qa_id string, text string")
+    ids = [r["chunk_id"] for r in chunk_documents(df).collect()]
+    assert len(ids) == 3 and len(set(ids)) == 2
 
 
 def test_embedding_runs_in_batches_and_normalises(spark):
