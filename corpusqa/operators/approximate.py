@@ -9,6 +9,8 @@ share of the collection is therefore many tasks, never one.
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -20,6 +22,8 @@ from .dense import QUERY_BLOCK, dense_topk
 
 # Vectors per cell that suffice to place the centroids.
 TRAIN_PER_CELL = 256
+# Entries of the distance matrix held at once by a task.
+DISTANCE_CELLS = 4_000_000
 
 
 @dataclass
@@ -54,24 +58,25 @@ def nearest_cells(vectors: DataFrame, centroids: DataFrame, n) -> DataFrame:
 
     The number of cells is a parameter of the index, so the centroids are small.
     """
-    import numpy as np
-
     rows = sorted(centroids.collect(), key=lambda r: r["cell"])
     numbers = np.asarray([r["cell"] for r in rows], dtype=np.int32)
     matrix = vectors.sparkSession.sparkContext.broadcast(np.asarray([r["embedding"] for r in rows], dtype=np.float64))
+    n = min(n, len(rows))
 
     @F.pandas_udf("array<int>")
-    def nearest(column):
-        import pandas as pd
-
-        points = np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.empty((0, 1))
-        if not len(points):
-            return pd.Series([], dtype=object)
+    def nearest(column: pd.Series) -> pd.Series:
         centres = matrix.value
-        # The squared length of the point is the same for every centroid.
-        distance = (centres ** 2).sum(axis=1) - 2 * points @ centres.T
-        order = np.argsort(distance, axis=1, kind="stable")[:, :n]
-        return pd.Series(list(numbers[order]))
+        lengths = (centres ** 2).sum(axis=1)
+        step = max(DISTANCE_CELLS // len(centres), 1)
+        out = []
+        for start in range(0, len(column), step):
+            points = np.stack(column.iloc[start : start + step].to_numpy()).astype(np.float64)
+            # The squared length of the point is the same for every centroid.
+            distance = lengths - 2 * points @ centres.T
+            closest = np.argpartition(distance, n - 1, axis=1)[:, :n]
+            order = np.argsort(np.take_along_axis(distance, closest, axis=1), axis=1, kind="stable")
+            out.extend(numbers[np.take_along_axis(closest, order, axis=1)])
+        return pd.Series(out, index=column.index, dtype=object)
 
     return vectors.withColumn("cells", nearest("embedding"))
 

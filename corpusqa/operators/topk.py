@@ -107,21 +107,30 @@ class Filters:
         ])
 
     def gates(self, batch):
-        """Boolean matrix, filter number by row of an Arrow batch."""
+        """Boolean matrix, filter number by row of an Arrow batch.
+
+        Conditions run on the distinct values of the batch: the chunks of one
+        document repeat its metadata.
+        """
         import pyarrow.compute as pc
 
-        def true_rows(mask):
-            return pc.fill_null(mask, False).to_numpy(zero_copy_only=False)
+        def distinct(name):
+            encoded = batch.column(name).dictionary_encode()
+            codes = pc.fill_null(encoded.indices, len(encoded.dictionary)).to_numpy(zero_copy_only=False)
+            return encoded.dictionary, codes
+
+        def rows(mask, codes):
+            # The code after the last value stands for null, which passes nothing.
+            return np.append(mask.to_numpy(zero_copy_only=False), False)[codes]
 
+        members, member_of = distinct("members")
+        ministries, ministry_of = distinct("ministry")
         out = np.ones((len(self.distinct), batch.num_rows), dtype=bool)
         for mask, (names, ministry) in zip(out, self.distinct):
             if names:
-                hit = np.zeros(batch.num_rows, dtype=bool)
-                for name in names:
-                    hit |= true_rows(pc.match_substring(batch.column("members"), name))
-                mask &= hit
+                mask &= np.any([rows(pc.match_substring(members, name), member_of) for name in names], axis=0)
             if ministry:
-                mask &= true_rows(pc.equal(batch.column("ministry"), ministry))
+                mask &= rows(pc.equal(ministries, ministry), ministry_of)
         return out
 
 
