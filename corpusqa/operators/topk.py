@@ -198,11 +198,13 @@ def scan_topk(source: DataFrame, rows, id_type, k, score, payload) -> DataFrame:
     else:
         source = source.drop("members", "ministry")
     ids = [row["query_id"] for row in rows]
-    sent = source.sparkSession.sparkContext.broadcast((ids, filters, payload))
+    # Plain values only: broadcasts are pickled by reference to their classes.
+    sent = source.sparkSession.sparkContext.broadcast((ids, filters.distinct, filters.of_query, payload))
     arrow_id, arrow_chunk_id = to_arrow_type(id_type), to_arrow_type(chunk_id_type)
 
     def run(batches):
-        query_ids, limits, data = sent.value
+        query_ids, distinct, of_query, data = sent.value
+        limits = Filters(distinct, of_query)
         best = BestRows(len(query_ids), k)
         for batch in batches:
             if batch.num_rows == 0:
