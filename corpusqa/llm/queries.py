@@ -1,6 +1,6 @@
 """The registered queries over the given tables, with production parameters."""
 
-from . import sharding, url_filter
+from . import exact_dedup, sharding, url_filter
 
 QUERIES, ORACLES = {}, {}
 
@@ -18,6 +18,15 @@ def read(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_exact_dedup", """
+with texts as (select doc_id, coalesce(text, '') t from documents)
+select doc_id, max(doc_id) over same keep_id, count(*) over same group_size,
+       doc_id = max(doc_id) over same kept, sha256(t) text_sha256
+from texts window same as (partition by t)""")
+def op1_exact_dedup(spark, sf_dir):
+    return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
+
+
 @query("op6_shards")
 def op6_shards(spark, sf_dir):
     return sharding.shard_table(read(spark, sf_dir, "documents"), shards=16)
