@@ -1,6 +1,6 @@
 """The registered queries over the given tables, with production parameters."""
 
-from . import exact_dedup, sharding, url_filter
+from . import exact_dedup, sharding, simhash, url_filter
 
 QUERIES, ORACLES = {}, {}
 
@@ -32,6 +32,11 @@ def op6_shards(spark, sf_dir):
     return sharding.shard_table(read(spark, sf_dir, "documents"), shards=16)
 
 
+@query("op7_simhash_groups")
+def op7_simhash_groups(spark, sf_dir):
+    return simhash.near_duplicate_table(read(spark, sf_dir, "documents"))
+
+
 # Fixed values of the query.
 URL_RULES = [
     ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
