@@ -1,6 +1,6 @@
 """The registered queries over the given tables, with production parameters."""
 
-from . import exact_dedup, sharding, simhash, url_filter
+from . import decontaminate, exact_dedup, sharding, simhash, url_filter
 
 QUERIES, ORACLES = {}, {}
 
@@ -27,6 +27,11 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
 
 
+@query("op2_benchmark_leaks")
+def op2_benchmark_leaks(spark, sf_dir):
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 @query("op6_shards")
 def op6_shards(spark, sf_dir):
     return sharding.shard_table(read(spark, sf_dir, "documents"), shards=16)

@@ -27,8 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Sampled sort keys per run when the boundaries are chosen.
-SAMPLES_PER_RUN = 40
+# Sampled sort keys per run when the boundaries are chosen, and of all runs.
+SAMPLES_PER_RUN = 20
+MAX_SAMPLES = 1_000_000
 # After every key that starts with a given prefix, in byte order.
 LAST = "\U0010ffff"
 
@@ -57,9 +58,10 @@ def rule_table(spark, rules) -> DataFrame:
 
 def _runs(keys: DataFrame, runs):
     """Boundaries between runs of about equal size, from a sample of sorted keys."""
-    wanted = runs * SAMPLES_PER_RUN
-    # The rows with the smallest hashes: a uniform sample of fixed size, the same in every run.
-    sample = keys.select("sort_key").orderBy(F.xxhash64("sort_key"), "sort_key").limit(wanted)
+    wanted, rows = min(runs * SAMPLES_PER_RUN, MAX_SAMPLES), keys.count()
+    hashed = keys.select("sort_key").withColumn("hash", F.xxhash64("sort_key").cast("double"))
+    # Hashes are spread evenly from -2^63 to 2^63: about `wanted` rows are below the limit.
+    sample = hashed.where(F.col("hash") <= F.lit(2.0**64 * (wanted / max(rows, wanted)) - 2.0**63)).select("sort_key")
     found = sorted((row[0] for row in sample.collect()), key=lambda k: k.encode("utf-8", "surrogatepass"))
     cuts = [found[i * len(found) // runs] for i in range(1, runs)] if found else []
     return sorted(set(cuts), key=lambda k: k.encode("utf-8", "surrogatepass"))
