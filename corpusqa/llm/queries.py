@@ -1,6 +1,6 @@
 """The registered queries over the given tables, with production parameters."""
 
-from . import decontaminate, exact_dedup, sharding, simhash, url_filter
+from . import decontaminate, exact_dedup, sharding, simhash, toxicity, url_filter
 
 QUERIES, ORACLES = {}, {}
 
@@ -42,6 +42,11 @@ def op7_simhash_groups(spark, sf_dir):
     return simhash.near_duplicate_table(read(spark, sf_dir, "documents"))
 
 
+@query("op9_toxicity")
+def op9_toxicity(spark, sf_dir):
+    return toxicity.toxicity_table(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 # Fixed values of the query.
 URL_RULES = [
     ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
