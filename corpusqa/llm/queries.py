@@ -1,6 +1,6 @@
 """The registered queries over the given tables, with production parameters."""
 
-from . import decontaminate, exact_dedup, sharding, simhash, toxicity, url_filter
+from . import decontaminate, exact_dedup, quality, sharding, simhash, toxicity, url_filter
 
 QUERIES, ORACLES = {}, {}
 
@@ -32,6 +32,11 @@ def op2_benchmark_leaks(spark, sf_dir):
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+@query("op5_quality")
+def op5_quality(spark, sf_dir):
+    return quality.quality_table(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @query("op6_shards")
 def op6_shards(spark, sf_dir):
     return sharding.shard_table(read(spark, sf_dir, "documents"), shards=16)
