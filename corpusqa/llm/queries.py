@@ -1,6 +1,6 @@
 """The registered queries over the given tables, with production parameters."""
 
-from . import decontaminate, exact_dedup, quality, sharding, simhash, toxicity, url_filter
+from . import decontaminate, exact_dedup, mixing, quality, sharding, simhash, toxicity, url_filter
 
 QUERIES, ORACLES = {}, {}
 
@@ -32,6 +32,31 @@ def op2_benchmark_leaks(spark, sf_dir):
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+MIX_SQL = r"""
+with sized as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) size,
+       cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), 'null') || ':11'), 1, 15) as bigint) number from documents),
+sources as (select source, cast(sum(size) as bigint) source_size, 2 * cast(sum(size) as bigint) cap,
+       [3, 1, 2][cast((row_number() over (order by source nulls last) - 1) % 3 + 1 as int)] weight from sized group by source),
+filled as (select *, sum(cap) over below fixed, sum(weight) over () - sum(weight) over below free,
+       1.5 * sum(source_size) over () words, cap / weight ratio from sources window below as (order by cap / weight, source nulls last)),
+levels as (select 0.0::double ratio, (any_value(words) / sum(weight))::double lvl from filled
+       union all select ratio, ((words - fixed) / free)::double from filled where free > 0),
+level as (select max(lvl) lvl from levels where ratio <= lvl),
+targets as (select source, source_size, case when source_size = 0 then 0.0 else least(cap::double, lvl * weight) end target from sources, level),
+plan as (select *, case when source_size = 0 then 0 else floor(target / source_size) end whole from targets),
+ordered as (select *, sum(size) over (partition by source order by number) - sum(size) over (partition by source, number) start,
+       sum(size) over (partition by source, number) tied from sized)
+select doc_id, cast(size as bigint) size, source_size, target,
+       cast(size * (whole + case when 2 * start + tied <= 2 * (target - whole * source_size) then 1 else 0 end) as bigint) taken
+from ordered join plan on ordered.source is not distinct from plan.source
+"""
+
+
+@query("op4_mix_sources", MIX_SQL)
+def op4_mix_sources(spark, sf_dir):
+    return mixing.mix_table(read(spark, sf_dir, "documents"))
+
+
 @query("op5_quality")
 def op5_quality(spark, sf_dir):
     return quality.quality_table(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
