@@ -1,6 +1,6 @@
 """The registered queries over the given tables, with production parameters."""
 
-from . import decontaminate, exact_dedup, mixing, quality, sharding, simhash, toxicity, url_filter
+from . import decontaminate, exact_dedup, licenses, mixing, quality, sharding, simhash, toxicity, url_filter
 
 QUERIES, ORACLES = {}, {}
 
@@ -72,6 +72,11 @@ def op7_simhash_groups(spark, sf_dir):
     return simhash.near_duplicate_table(read(spark, sf_dir, "documents"))
 
 
+@query("op8_license_scan")
+def op8_license_scan(spark, sf_dir):
+    return licenses.license_table(read(spark, sf_dir, "documents"))
+
+
 @query("op9_toxicity")
 def op9_toxicity(spark, sf_dir):
     return toxicity.toxicity_table(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
