@@ -1,6 +1,6 @@
 """The registered queries over the given tables, with production parameters."""
 
-from . import decontaminate, exact_dedup, licenses, mixing, quality, sharding, simhash, toxicity, url_filter
+from . import decontaminate, exact_dedup, licenses, mixing, quality, secrets, sharding, simhash, toxicity, url_filter
 
 QUERIES, ORACLES = {}, {}
 
@@ -32,6 +32,11 @@ def op2_benchmark_leaks(spark, sf_dir):
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+@query("op3_secret_scan")
+def op3_secret_scan(spark, sf_dir):
+    return secrets.find_secrets(read(spark, sf_dir, "documents"))
+
+
 MIX_SQL = r"""
 with sized as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) size,
        cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), 'null') || ':11'), 1, 15) as bigint) number from documents),
