@@ -22,10 +22,12 @@ their verdict. Empty tables, and an empty rule list, give what follows from it.
 
 from bisect import bisect_right
 
-import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Sampled sort keys per run when the boundaries are chosen.
 SAMPLES_PER_RUN = 40
@@ -71,9 +73,7 @@ def _run_of(column, cuts):
 
     @F.pandas_udf("int")
     def number(keys):
-        import pandas as pd
-
-        return pd.Series(np.fromiter((bisect_right(cuts, k.encode("utf-8", "surrogatepass")) for k in keys), dtype=np.int32, count=len(keys)))
+        return pd.Series([bisect_right(cuts, k.encode("utf-8", "surrogatepass")) for k in keys], dtype="int32")
 
     return number(column)
 
@@ -109,11 +109,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key="page_id", url="url", def
         T.StructField("path", T.StringType()), T.StructField("rule", T.StringType()),
         T.StructField("verdict", T.StringType()),
     ])
-    judged = swept.mapInPandas(_sweep(default), out)
+    judged = swept.mapInArrow(_sweep(default, to_arrow_schema(out)), out)
     return judged.withColumnRenamed("id", key)
 
 
-def _sweep(default):
+def _sweep(default, schema):
     """Sweep over rows sorted by run and key, rules before addresses of the same key."""
 
     def best(stack, path):
@@ -128,8 +128,8 @@ def _sweep(default):
         run, stack = None, []
         for batch in batches:
             names, verdicts, keep = [], [], []
-            columns = zip(batch["run"], batch["host_key"], batch["kind"], batch["host"], batch["path"], batch["verdict"])
-            for i, (at, key, kind, host, path, verdict) in enumerate(columns):
+            columns = (batch.column(c).to_pylist() for c in ("run", "host_key", "kind", "host", "path", "verdict"))
+            for i, (at, key, kind, host, path, verdict) in enumerate(zip(*columns)):
                 if at != run:
                     run, stack = at, []
                 while stack and not key.startswith(stack[-1][0]):
@@ -146,7 +146,9 @@ def _sweep(default):
                 names.append(found[1] if found else None)
                 verdicts.append(found[2] if found else default)
                 keep.append(i)
-            part = batch.iloc[keep]
-            yield part[["id", "host", "path"]].assign(rule=names, verdict=verdicts)
+            part = batch.take(pa.array(keep, type=pa.int64()))
+            columns = [part.column(c) for c in ("id", "host", "path")]
+            columns += [pa.array(names, type=pa.string()), pa.array(verdicts, type=pa.string())]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return sweep
