@@ -49,6 +49,42 @@ def all_of(conditions) -> Column:
     return reduce(lambda a, b: a & b, conditions) if conditions else F.lit(True)
 
 
+def fixed(value, digits) -> Column:
+    """A number with fixed decimals, rounded half to even on its exact binary value.
+
+    `format_string` rounds the shortest decimal form half up, which differs for
+    ties such as 0.125 and for values beside them. The product with a power of
+    ten is split into its rounded value and the exact error (Dekker, 1971), which
+    tells on which side of a tie the number is. There are no ties beyond 2^52 steps.
+    """
+    signed = (F.col(value) if isinstance(value, str) else value).cast("double")
+    scale, limit = float(10**digits), float(2**52 // 10**digits)
+    small = F.abs(signed) < F.lit(limit)
+    x = F.when(small, F.abs(signed)).otherwise(F.lit(0.0))
+    product = x * F.lit(scale)
+
+    def halves(v):
+        wide = v * F.lit(134217729.0)
+        high = wide - (wide - v)
+        return high, v - high
+
+    (a, b), (c, d) = halves(x), halves(F.lit(scale))
+    error = ((a * c - product) + a * d + b * c) + b * d
+    whole = F.floor(product).cast("long")
+    past = product - whole.cast("double") - F.lit(0.5)
+    odd = whole % 2 == 1
+    steps = whole + ((past > 0) | ((past == 0) & ((error > 0) | ((error == 0) & odd)))).cast("long")
+    rest = steps % (10**digits)
+    text = ((steps - rest) / F.lit(10**digits)).cast("long").cast("string")
+    if digits:
+        text = F.concat(text, F.lit("."), F.lpad(rest.cast("string"), digits, "0"))
+    text = F.concat(F.when(F.startswith(signed.cast("string"), F.lit("-")), "-").otherwise(""), text)
+    return (
+        F.when(F.isnan(signed), "nan").when(small, text)
+        .when(signed.isNotNull(), F.lower(F.regexp_replace(F.format_string(f"%.{digits}f", signed), "inity$", "")))
+    )
+
+
 def session_label(lok="lok_no", session="session_no") -> Column:
     return F.format_string("Lok %d Session %d", F.col(lok), F.col(session))
 
@@ -57,7 +93,7 @@ def size_label(kilobytes) -> Column:
     """KB, MB or GB with steps of 1024, one decimal from MB on."""
     kb = F.col(kilobytes) if isinstance(kilobytes, str) else kilobytes
     return (
-        F.when(kb >= 1024 * 1024, F.format_string("%.1f GB", kb / (1024.0 * 1024.0)))
-        .when(kb >= 1024, F.format_string("%.1f MB", kb / 1024.0))
+        F.when(kb >= 1024 * 1024, F.concat(fixed(kb / (1024.0 * 1024.0), 1), F.lit(" GB")))
+        .when(kb >= 1024, F.concat(fixed(kb / 1024.0, 1), F.lit(" MB")))
         .otherwise(F.format_string("%d KB", kb))
     )

@@ -143,13 +143,13 @@ def report_rows(scores: DataFrame) -> DataFrame:
     """Per-query report, each case with its unfiltered row first."""
     columns = [
         F.col("test_id"), F.col("category"), F.col("mode"),
-        F.format_string("%.2f", "precision_at_k").alias("p_at_k"),
+        tx.fixed("precision_at_k", 2).alias("p_at_k"),
         F.when(F.col("hit_at_1"), "Y").otherwise("N").alias("hit_1"),
         F.when(F.col("hit_at_k"), "Y").otherwise("N").alias("hit_k"),
         F.col("unique_docs").alias("docs"),
     ]
     if "latency_ms" in scores.columns:
-        columns.append(F.format_string("%.0fms", "latency_ms").alias("latency"))
+        columns.append(F.concat(tx.fixed("latency_ms", 0), F.lit("ms")).alias("latency"))
     return scores.select(*columns).orderBy("test_id", F.desc("mode"))
 
 

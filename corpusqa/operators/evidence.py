@@ -174,7 +174,7 @@ def source_rows(retrieved: DataFrame) -> DataFrame:
     return retrieved.select(
         "query_id", "rank", "qa_id",
         F.when(F.col("score").isNull(), F.lit("n/a"))
-        .otherwise(F.format_string("%.3f", F.col("score").cast("double"))).alias("score_text"),
+        .otherwise(tx.fixed("score", 3)).alias("score_text"),
         F.coalesce("ministry", F.lit("")).alias("ministry"),
         F.coalesce("subject", F.lit("unknown")).alias("subject"),
         # The layout shows the first 200 characters.
