@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
+from ..session import write_and_read
 from .dense import QUERY_BLOCK, dense_topk
 
-# Vectors per cell that suffice to place the centroids.
-TRAIN_PER_CELL = 256
+# Vectors that one local centre stands for when the centroids are placed.
+SUMMARY_ROWS = 16
 # Entries of the distance matrix held at once by a task.
 DISTANCE_CELLS = 4_000_000
 
@@ -34,17 +35,50 @@ class IvfIndex:
     centroids: DataFrame
 
 
-def train_centroids(chunks: DataFrame, cells, *, seed=42, max_iter=10, train_rows=None) -> DataFrame:
-    """Centroids `(cell, embedding)` by k-means.
-
-    Training reads at most about `train_rows` vectors, since more do not move
-    the centroids; the assignment later covers every vector.
+def _summaries(seed):
+    """Reduce each Arrow batch of vectors to weighted local centres."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            column = batch.column("embedding")
+            if batch.num_rows == 0:
+                continue
+            points = np.stack(column.to_numpy(zero_copy_only=False)).astype(np.float64)
+            points = points[np.isfinite(points).all(axis=1)]
+            if len(points) == 0:
+                continue
+            picked = np.random.default_rng(seed).choice(len(points), -(-len(points) // SUMMARY_ROWS), replace=False)
+            centres = points[picked]
+            for _ in range(2):
+                nearest = np.empty(len(points), dtype=np.int64)
+                step = max(DISTANCE_CELLS // len(centres), 1)
+                for at in range(0, len(points), step):
+                    part = points[at : at + step]
+                    nearest[at : at + step] = ((centres ** 2).sum(axis=1) - 2 * part @ centres.T).argmin(axis=1)
+                weights = np.bincount(nearest, minlength=len(centres))
+                sums = np.zeros_like(centres)
+                np.add.at(sums, nearest, points)
+                used = weights > 0
+                centres, weights = sums[used] / weights[used, None], weights[used]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(centres), type=pa.list_(pa.float64())), pa.array(weights.astype(np.float64))], names=["embedding", "weight"])
+
+    return run
+
+
+def train_centroids(chunks: DataFrame, cells, *, seed=42, max_iter=10) -> DataFrame:
+    """Centroids `(cell, embedding)` by k-means over all vectors.
+
+    Each task reduces its vectors to local centres in one pass, one for every
+    `SUMMARY_ROWS` of them and weighted by their number; k-means runs over
+    these. Every vector counts, whatever their number.
     """
-    train_rows = train_rows or cells * TRAIN_PER_CELL
-    total = chunks.count()
-    sample = chunks if total <= train_rows else chunks.sample(train_rows / total, seed=seed)
-    data = sample.select(array_to_vector(F.col("embedding")).alias("features"))
-    model = KMeans(k=cells, seed=seed, maxIter=max_iter, initSteps=2).fit(data)
+    vectors = chunks.where(F.col("embedding").isNotNull()).select("embedding")
+    local = vectors.mapInArrow(_summaries(seed), "embedding array<double>, weight double")
+    local = write_and_read(local.withColumn("features", array_to_vector("embedding")).drop("embedding"), "centres")
+    model = KMeans(k=cells, seed=seed, maxIter=max_iter, initSteps=2, weightCol="weight").fit(local)
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     schema = T.StructType([
         T.StructField("cell", T.IntegerType()),
@@ -108,6 +142,24 @@ def read_ivf(spark, path) -> IvfIndex:
 
 
 def ivf_topk(index: IvfIndex, queries: DataFrame, k=schemas.TOP_K, *, nprobe=8, block=QUERY_BLOCK) -> DataFrame:
-    """As `dense_topk`, over the `nprobe` cells nearest to each query."""
-    probing = nearest_cells(queries.where(F.col("embedding").isNotNull()), index.centroids, nprobe)
-    return dense_topk(index.collection, probing, k, block=block, cell_col="cell", probes_col="cells")
+    """As `dense_topk`, over the `nprobe` cells nearest to each query.
+
+    A query that finds fewer than `k` chunks there, as under a filter that its
+    near cells don't meet, is searched again over twice as many cells, until it
+    has `k` or no cell is left.
+    """
+    waiting = queries.where(F.col("embedding").isNotNull())
+    cells, done = index.centroids.count(), None
+    while True:
+        probing = nearest_cells(waiting, index.centroids, nprobe)
+        found = dense_topk(index.collection, probing, k, block=block, cell_col="cell", probes_col="cells")
+        if nprobe >= cells:
+            return found if done is None else done.unionByName(found)
+        found = write_and_read(found, "probed")
+        full = found.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
+        waiting = write_and_read(waiting.join(full, "query_id", "left_anti"), "waiting")
+        kept = found.join(full, "query_id", "left_semi")
+        done = kept if done is None else done.unionByName(kept)
+        if waiting.isEmpty():
+            return done
+        nprobe *= 2

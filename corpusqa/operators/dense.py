@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
-from .topk import SCORE_DIGITS, in_blocks, scan_topk
+from .topk import SCORE_DIGITS, by_filter, in_blocks, scan_topk
 
 # Queries scored per pass over the collection.
 QUERY_BLOCK = 1024
+# Entries of the score matrix held at once by a task.
+SCORE_CELLS = 1_000_000
 
 
 def dense_topk(
@@ -50,7 +52,7 @@ def dense_topk(
         }
         return scan_topk(pruned, rows, queries.schema["query_id"].dataType, k, _inner_products, payload)
 
-    return in_blocks(queries, block, search)
+    return in_blocks(queries, block, lambda rows: by_filter(rows, search))
 
 
 def _inner_products(data, batch):
@@ -69,6 +71,9 @@ def _inner_products(data, batch):
         cell = batch.column(data["cell_col"]).to_numpy(zero_copy_only=False)
         parts = [(data["probed"][c], np.nonzero(cell == c)[0]) for c in np.unique(cell) if c in data["probed"]]
     for queries, index in parts:
-        part = matrix if index is None else matrix[index]
-        # Adding zero turns a negative zero into a plain one.
-        yield queries, index, np.round(vectors[queries] @ part.T, SCORE_DIGITS) + 0.0
+        index = np.arange(batch.num_rows) if index is None else index
+        step = max(SCORE_CELLS // max(len(queries), 1), 1)
+        for start in range(0, len(index), step):
+            some = index[start : start + step]
+            # Adding zero turns a negative zero into a plain one.
+            yield queries, some, np.round(vectors[queries] @ matrix[some].T, SCORE_DIGITS) + 0.0

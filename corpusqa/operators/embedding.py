@@ -41,11 +41,11 @@ def embed(
 
 
 def embed_queries(queries: DataFrame, model_factory, **options) -> DataFrame:
-    """Add `embedding` to the queries, with the query prefix and the same model."""
+    """Add `embedding` to the queries, with the query prefix and the same model; null for a null query."""
     vectors = embed(
         queries, model_factory, id_col="query_id", text_col="query", prefix=schemas.QUERY_PREFIX, **options
     )
-    return queries.join(vectors, "query_id")
+    return queries.join(vectors, "query_id", "left")
 
 
 def hashing_model(dim=schemas.EMBED_DIM):
@@ -56,6 +56,9 @@ def hashing_model(dim=schemas.EMBED_DIM):
     """
 
     def factory():
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         word = re.compile(r"[^\W_]+")
 
         @lru_cache(maxsize=1 << 18)
@@ -64,12 +67,14 @@ def hashing_model(dim=schemas.EMBED_DIM):
             return int(digest[:8], 16) % dim, 1.0 if int(digest[8], 16) % 2 == 0 else -1.0
 
         def model(texts):
-            out = np.zeros((len(texts), dim))
-            for row, text in zip(out, texts):
-                for term in word.findall(text.lower()):
-                    bucket, sign = place(term)
-                    row[bucket] += sign
-            return out
+            found = [word.findall(text.lower()) for text in texts]
+            sizes = [len(terms) for terms in found]
+            coded = pc.dictionary_encode(pa.array([t for terms in found for t in terms], type=pa.string()))
+            # Each distinct term is hashed once per batch.
+            places = np.array([place(t) for t in coded.dictionary.to_pylist()]).reshape(-1, 2)
+            codes = coded.indices.to_numpy()
+            cells = np.repeat(np.arange(len(texts)), sizes) * dim + places[codes, 0].astype(np.int64)
+            return np.bincount(cells, weights=places[codes, 1], minlength=len(texts) * dim).reshape(len(texts), dim)
 
         return model
 

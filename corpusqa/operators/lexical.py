@@ -19,14 +19,15 @@ from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions import text as tx
-from .topk import SCORE_DIGITS, in_blocks, scan_topk
+from .topk import SCORE_DIGITS, by_filter, in_blocks, scan_topk
 
 # The usual BM25 parameters.
 K1 = 1.2
 B = 0.75
 
-# A stored index gathers postings up to this many per chunk of the collection.
-MAX_GATHERED_SHARE = 0.25
+# A stored index gathers postings up to this many per chunk of the collection,
+# where the caller doesn't say otherwise. Either way the result is the same.
+GATHERED_SHARE = 0.25
 # Queries scored per pass over the collection.
 QUERY_BLOCK = 1024
 # Entries of the score matrix, and of the matches behind it, held at once by a task.
@@ -81,6 +82,7 @@ class Bm25Index:
     frequencies: DataFrame
     stats: DataFrame
     documents: DataFrame
+    gathered_share: float = GATHERED_SHARE
 
     def statistics(self, terms):
         stats = self.stats.first()
@@ -95,7 +97,7 @@ class Bm25Index:
         terms of a block match more postings than a share of the chunks, a scan
         of the documents reads more but shuffles nothing.
         """
-        if sum(found.values()) > MAX_GATHERED_SHARE * chunks:
+        if sum(found.values()) > self.gathered_share * chunks:
             return self.documents
         matching = self.postings.join(F.broadcast(self._numbered(terms)), "term")
         gathered = matching.groupBy("chunk_id").agg(
@@ -126,7 +128,9 @@ class Bm25Index:
 
 def _documents(chunks):
     metadata = [c for c in ("members", "ministry") if c in chunks.columns]
-    return chunks.select("chunk_id", tx.terms(F.col("text")).alias("terms"), *metadata)
+    # A chunk without text counts as one without terms, in either form.
+    terms = F.coalesce(tx.terms(F.col("text")), F.array().cast("array<string>"))
+    return chunks.select("chunk_id", terms.alias("terms"), *metadata)
 
 
 def bm25_scan(chunks: DataFrame) -> ChunkScan:
@@ -181,8 +185,9 @@ def _postings(documents):
     return documents.select("chunk_id", "terms").mapInArrow(count, schema)
 
 
-def read_bm25_index(spark, path) -> Bm25Index:
-    return Bm25Index(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "frequencies", "stats", "documents")])
+def read_bm25_index(spark, path, *, gathered_share=GATHERED_SHARE) -> Bm25Index:
+    tables = [spark.read.parquet(f"{path}/{t}") for t in ("postings", "frequencies", "stats", "documents")]
+    return Bm25Index(*tables, gathered_share)
 
 
 def bm25_topk(source, queries: DataFrame, k=schemas.TOP_K, *, block=QUERY_BLOCK) -> DataFrame:
@@ -204,20 +209,25 @@ def bm25_topk(source, queries: DataFrame, k=schemas.TOP_K, *, block=QUERY_BLOCK)
         idf = np.zeros(len(terms))
         for term_no, df in found.items():
             idf[term_no] = np.log(1 + (chunks - df + 0.5) / (df + 0.5))
-        # Queries of each term, term after term.
-        users = [[] for _ in terms]
-        for q, row in enumerate(rows):
-            for t in row["terms"] or ():
-                users[number[t]].append(q)
-        payload = {
-            "terms": terms,
-            "idf": idf,
-            "avgdl": mean_length,
-            "queries": len(rows),
-            "starts": np.cumsum([0] + [len(u) for u in users]),
-            "users": np.asarray([q for u in users for q in u], dtype=np.int64),
-        }
-        return scan_topk(source.hits(terms, chunks, found), rows, queries.schema["query_id"].dataType, k, _bm25, payload)
+        matching = source.hits(terms, chunks, found)
+
+        def scan(part):
+            # Queries of each term, term after term.
+            users = [[] for _ in terms]
+            for q, row in enumerate(part):
+                for t in row["terms"] or ():
+                    users[number[t]].append(q)
+            payload = {
+                "terms": terms,
+                "idf": idf,
+                "avgdl": mean_length,
+                "queries": len(part),
+                "starts": np.cumsum([0] + [len(u) for u in users]),
+                "users": np.asarray([q for u in users for q in u], dtype=np.int64),
+            }
+            return scan_topk(matching, part, queries.schema["query_id"].dataType, k, _bm25, payload)
+
+        return by_filter(rows, scan)
 
     return in_blocks(queries, block, search)
 

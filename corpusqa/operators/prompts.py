@@ -58,11 +58,13 @@ def build_prompts(queries: DataFrame, ranked: DataFrame) -> DataFrame:
         ).alias("_context")
     )
     context = F.coalesce("_context", F.lit(""))
-    plain = _fill(PLAIN_TEMPLATE, context_str=context, query_str=F.col("query"))
+    # A request without a query still gets a prompt, with nothing in its place.
+    query = F.coalesce("query", F.lit(""))
+    plain = _fill(PLAIN_TEMPLATE, context_str=context, query_str=query)
     prompt = plain
     if "evidence" in queries.columns:
         full = _fill(
-            EVIDENCE_TEMPLATE, context_str=context, evidence_str=F.col("evidence"), query_str=F.col("query")
+            EVIDENCE_TEMPLATE, context_str=context, evidence_str=F.col("evidence"), query_str=query
         )
         has_evidence = F.col("evidence").isNotNull() & (F.col("evidence") != "")
         prompt = F.when(has_evidence, full).otherwise(plain)

@@ -11,6 +11,8 @@ shared storage before the next starts, so memory never grows with the batch.
 """
 
 from dataclasses import dataclass
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -26,8 +28,6 @@ from .documents import members_filter
 SCORE_DIGITS = 9
 # Above this many result rows the chunk columns come by shuffle join.
 MAX_BROADCAST_WINNERS = 1_000_000
-# Above this many distinct filters no predicate is pushed into the scan.
-MAX_PUSHED_FILTERS = 32
 
 
 def rank_by_score(scored: DataFrame, k, by="query_id", tie="chunk_id") -> DataFrame:
@@ -39,39 +39,46 @@ def rank_by_score(scored: DataFrame, k, by="query_id", tie="chunk_id") -> DataFr
 def attach_chunks(topk: DataFrame, chunks: DataFrame, *, bound=None) -> DataFrame:
     """Join the winners to the columns of the chunk table.
 
-    `bound` is an upper bound on the winners, queries times `k`, where the
-    caller knows it. While it is small they are broadcast and the chunk table
-    is not shuffled. Should rows share an id, one of them gives the columns.
+    The winners are stored first, so that the search runs once. While they are
+    few they are broadcast and the chunk table is not shuffled. `bound` is an
+    upper bound on their number, where the caller knows it and a count can be
+    spared. Should rows share an id, one of them gives the columns.
     """
-    mark = F.broadcast if bound is not None and bound <= MAX_BROADCAST_WINNERS else (lambda df: df)
+    topk = write_and_read(topk, "topk")
+    few = (topk.count() if bound is None else bound) <= MAX_BROADCAST_WINNERS
+    mark = F.broadcast if few else (lambda df: df)
     ids = mark(topk.select("chunk_id").distinct())
     found = chunks.join(ids, "chunk_id", "left_semi").dropDuplicates(["chunk_id"])
     return found.join(mark(topk), "chunk_id")
 
 
 def in_blocks(queries: DataFrame, block, search) -> DataFrame:
-    """Run `search(rows)` over blocks of at most `block` query rows and unite the results."""
-    first = queries.limit(block + 1).collect()
-    if len(first) <= block:
-        return search(first)
-
-    spark = queries.sparkSession
-    # Stored before they are counted, so that embedding runs once.
-    queries = write_and_read(queries, "queries")
-    source = scratch_path(spark, "blocks")
-    parts = -(-queries.count() // max(block // 2, 1))
-    spread = queries.withColumn("_part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
-    spread.repartition("_part").write.partitionBy("_part").parquet(source)
-    stored = spark.read.schema(spread.schema).parquet(source)
-    out = scratch_path(spark, "topk")
-    for part in range(parts):
-        rows = stored.where(F.col("_part") == part).drop("_part").orderBy("query_id")
-        # Hash parts hold about half a block; a larger one is taken in slices.
-        offset = 0
-        while batch := rows.offset(offset).limit(block).collect():
-            search(batch).write.mode("append").parquet(out)
-            offset += block
-    return spark.read.parquet(out)
+    """Run `search(rows)` over blocks of at most `block` query rows and unite the results.
+
+    The queries are read once, one partition after another, so that each row is in
+    one block whatever its id, and only a partition and two blocks are held.
+    """
+    rows = queries.toLocalIterator(prefetchPartitions=True)
+    block_rows, ahead = list(islice(rows, block)), list(islice(rows, block))
+    if not ahead:
+        return search(block_rows)
+    out = scratch_path(queries.sparkSession, "topk")
+    while block_rows:
+        search(block_rows).write.mode("append").parquet(out)
+        block_rows, ahead = ahead, list(islice(rows, block))
+    return queries.sparkSession.read.parquet(out)
+
+
+def by_filter(rows, search) -> DataFrame:
+    """Search the rows that name a ministry apart from the others.
+
+    Their ministries become a predicate of the scan; one row without a ministry
+    would take it away from all.
+    """
+    named = [row for row in rows if row.asDict().get("ministry")]
+    others = [row for row in rows if not row.asDict().get("ministry")]
+    found = [search(part) for part in (others, named) if part] or [search(rows)]
+    return reduce(DataFrame.unionByName, found)
 
 
 @dataclass
@@ -95,16 +102,9 @@ class Filters:
         return any(f != ((), None) for f in self.distinct)
 
     def pushed(self):
-        """Union of the filters as a scan predicate; true when one lets everything pass."""
-        if len(self.distinct) > MAX_PUSHED_FILTERS or ((), None) in self.distinct:
-            return F.lit(True)
-        return tx.any_of([
-            tx.all_of(
-                ([members_filter(names)] if names else [])
-                + ([F.col("ministry") == F.lit(ministry)] if ministry else [])
-            )
-            for names, ministry in self.distinct
-        ])
+        """What all filters agree on as a scan predicate: any of the ministries, where each has one."""
+        ministries = sorted({ministry for _, ministry in self.distinct if ministry})
+        return F.col("ministry").isin(ministries) if all(m for _, m in self.distinct) else F.lit(True)
 
     def gates(self, batch):
         """Boolean matrix, filter number by row of an Arrow batch.
@@ -148,6 +148,10 @@ class BestRows:
         Rows come sorted by id, so among equal scores the first are kept.
         """
         room, top = self.scores[queries, -1], scores.max(axis=1)
+        if np.isnan(top).any():
+            # A vector that is not a number matches nothing.
+            scores = np.where(np.isnan(scores), -np.inf, scores)
+            top = scores.max(axis=1)
         for i in np.nonzero((top >= room) & (top > -np.inf))[0]:
             q, row = queries[i], scores[i]
             keep = np.nonzero((row >= room[i]) & (row > -np.inf))[0]

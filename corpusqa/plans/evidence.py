@@ -6,10 +6,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..operators import profiles as pr
 from ..operators.evidence import evidence_packets
-from ..session import broadcast_within
-
-# Above this many distinct filters the row filters run as shuffle joins.
-MAX_BROADCAST_FILTERS = 1_000_000
+from ..session import write_and_read
 
 
 def evidence_for(
@@ -17,20 +14,27 @@ def evidence_for(
 ) -> DataFrame:
     """Add `evidence` to the requests, profiling only what they ask for.
 
-    Rows of other members, ministries and pairs drop out before any counting.
-    Where stored profiles exist, `evidence_packets` reads these instead.
+    Rows of other members, ministries and pairs drop out before any counting. The
+    rows that stay are stored once: both inputs are read once, whatever number of
+    breakdowns follows. The filters are stored too, so that their size decides
+    how they are joined. Where stored profiles exist, `evidence_packets` reads
+    these instead.
     """
     mp, ministry = F.nullif(F.col("mp"), F.lit("")), F.nullif(F.col("ministry"), F.lit(""))
-    filters = requests.select(mp.alias("mp_name"), ministry.alias("ministry")).distinct()
-
-    def only(rows, *keys):
-        wanted = filters.select(*keys).dropna().distinct()
-        return rows.join(broadcast_within(wanted, MAX_BROADCAST_FILTERS), list(keys), "left_semi")
-
+    filters = write_and_read(requests.select(mp.alias("mp_name"), ministry.alias("ministry")).distinct(), "filters")
+    members = filters.select("mp_name").dropna().distinct().withColumn("_by_member", F.lit(True))
+    ministries = filters.select("ministry").dropna().distinct().withColumn("_by_ministry", F.lit(True))
+    pairs = filters.dropna()
+
+    rows = asked.join(members, "mp_name", "left").join(ministries, "ministry", "left")
+    rows = write_and_read(rows.where("_by_member or _by_ministry"), "asked")
+    named = write_and_read(questions.join(ministries.select("ministry"), "ministry", "left_semi"), "questions")
+    by_member = rows.where("_by_member").drop("_by_member", "_by_ministry")
+    by_ministry = rows.where("_by_ministry").drop("_by_member", "_by_ministry")
     return evidence_packets(
         requests,
-        pr.member_profiles(only(asked, "mp_name"), top_q=top_q),
-        pr.ministry_profiles(only(questions, "ministry"), only(asked, "ministry"), top_q=top_q),
-        pr.overlap_profiles(only(asked, "mp_name", "ministry"), top_q=top_q),
+        pr.member_profiles(by_member, top_q=top_q),
+        pr.ministry_profiles(named, by_ministry, top_q=top_q),
+        pr.overlap_profiles(by_member.join(pairs, ["mp_name", "ministry"], "left_semi"), top_q=top_q),
         top_q=top_q,
     )

@@ -47,16 +47,22 @@ def retrieve(
     rows = requests
     if aliases is not None and "mp" in rows.columns and "names" not in rows.columns:
         rows = resolve_requests(rows, aliases)
-    embedded = embed_queries(rows, model_factory)
+    if options.get("mode") != "lexical":
+        # Stored, so that the model sees each query once, whatever reads the vectors.
+        rows = write_and_read(embed_queries(rows, model_factory), "queries")
     chunks = collection.collection if isinstance(collection, IvfIndex) else collection
-    # The result is a few rows per query. Written once, it spares every later
-    # use the search, and its exact number is known.
-    topk = write_and_read(search(embedded, collection, k, **options), "topk")
-    return attach_chunks(topk, chunks.drop("embedding", "cell"), bound=topk.count())
+    return attach_chunks(search(rows, collection, k, **options), chunks.drop("embedding", "cell"))
 
 
-def run_eval(cases: DataFrame, collection, model_factory, *, aliases: DataFrame, k=schemas.TOP_K, **options):
-    """Scores and judged chunks of all cases, unfiltered and filtered, as one batch."""
+def run_eval(cases: DataFrame, collection, model_factory, *, aliases: DataFrame, k=schemas.TOP_K, latency=None, **options):
+    """Scores and judged chunks of all cases, unfiltered and filtered, as one batch.
+
+    `latency` (`query_id`, `latency_ms`), measured by whoever sends single
+    requests, is carried into the scores and from there into summary and report.
+    """
     requests = ev.eval_requests(ev.effective_expected(cases, aliases))
     judged = ev.judge(requests, retrieve(requests, collection, model_factory, k=k, **options))
-    return ev.score_retrieval(requests, judged), judged
+    scores = ev.score_retrieval(requests, judged)
+    if latency is not None:
+        scores = scores.join(latency.select("query_id", "latency_ms"), "query_id", "left")
+    return scores, judged

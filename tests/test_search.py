@@ -104,8 +104,9 @@ def test_a_probe_reads_only_its_cells(spark, data):
     _, chunks = data
     index = ann.write_ivf(ann.build_ivf(chunks, 8), scratch_path(spark, "test-ivf"))
     query = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0])], "query_id int, embedding array<float>")
-    plan = ann.ivf_topk(index, query, 5, nprobe=1)._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(cell" in plan
+    probing = ann.nearest_cells(query, index.centroids, 1)
+    found = dense.dense_topk(index.collection, probing, 5, cell_col="cell", probes_col="cells")
+    assert "PartitionFilters: [isnotnull(cell" in found._jdf.queryExecution().executedPlan().toString()
 
 
 def bm25_truth(rows, queries, k):
@@ -135,12 +136,13 @@ TEXTS = [
 
 @pytest.mark.parametrize("block", [1024, 2])
 @pytest.mark.parametrize("stored", [None, "documents", "postings"])
-def test_bm25_equals_brute_force(spark, data, block, stored, monkeypatch):
+def test_bm25_equals_brute_force(spark, data, block, stored):
     rows, chunks = data
     source = lexical.bm25_scan(chunks)
     if stored:
-        monkeypatch.setattr(lexical, "MAX_GATHERED_SHARE", 100 if stored == "postings" else 0)
-        source = lexical.bm25_index(chunks).write(scratch_path(spark, "test-bm25"))
+        path = scratch_path(spark, "test-bm25")
+        lexical.bm25_index(chunks).write(path)
+        source = lexical.read_bm25_index(spark, path, gathered_share=100 if stored == "postings" else 0)
     queries = spark.createDataFrame(TEXTS, "query_id int, query string, names array<string>, ministry string")
     assert by_query(lexical.bm25_topk(source, queries, 10, block=block)) == bm25_truth(rows, TEXTS, 10)
 
@@ -215,4 +217,49 @@ def test_collection_is_scanned_by_needed_columns_only(spark, data):
     assert "text" not in text.split("ReadSchema: ")[1].split("\n")[0]
     only = query_frame(spark).where(F.col("ministry").isNotNull())
     filtered = dense.dense_topk(spark.read.parquet(path), only)._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [" in filtered and "EqualTo(ministry,src1)" in filtered
+    assert "PushedFilters: [" in filtered and "In(ministry, [src1,src2])" in filtered
+
+
+def test_cells_that_hold_too_little_are_widened(spark, data):
+    rows, chunks = data
+    index = ann.write_ivf(ann.build_ivf(chunks, 8), scratch_path(spark, "test-ivf"))
+    got = by_query(ann.ivf_topk(index, query_frame(spark), 10, nprobe=1))
+    matching = {q: sum(allowed(r, names, ministry) for r in rows) for q, _, names, ministry in QUERIES}
+    assert {q: len(got.get(q, [])) for q in matching} == {q: min(n, 10) for q, n in matching.items()}
+
+
+def test_every_vector_counts_in_the_centroids(spark):
+    rows = [("a", [0.0, 0.0])] * 900 + [("b", [10.0, 10.0])] * 90 + [("n", [float("nan"), 1.0]), ("z", None)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, embedding array<float>").repartition(3)
+    local = chunks.where("embedding is not null").select("embedding").mapInArrow(ann._summaries(1), "embedding array<double>, weight double")
+    assert local.agg(F.sum("weight")).first()[0] == 990
+    centres = sorted(r["embedding"] for r in ann.train_centroids(chunks, 2).collect())
+    assert centres == [[0.0, 0.0], [10.0, 10.0]]
+
+
+def test_vectors_that_are_not_numbers_hide_no_others(spark):
+    rows = [(f"c{i}", [float(i), 1.0]) for i in range(5)] + [("bad", [float("nan"), 1.0])]
+    chunks = spark.createDataFrame(rows, "chunk_id string, embedding array<float>").coalesce(1)
+    queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, embedding array<float>")
+    assert by_query(dense.dense_topk(chunks, queries, 3))[1] == [("c4", 4.0), ("c3", 3.0), ("c2", 2.0)]
+
+
+def test_chunks_without_text_count_alike_in_both_forms(spark):
+    rows = [("a", "rail road"), ("b", None), ("c", "rail"), ("d", "")]
+    chunks = spark.createDataFrame(rows, "chunk_id string, text string")
+    queries = spark.createDataFrame([(1, "rail"), (2, None)], "query_id int, query string")
+    stored = lexical.bm25_index(chunks).write(scratch_path(spark, "test-bm25"))
+    assert by_query(lexical.bm25_topk(stored, queries)) == by_query(lexical.bm25_topk(lexical.bm25_scan(chunks), queries))
+
+
+def test_repeated_query_ids_are_all_read_once(spark, data):
+    _, chunks = data
+    seen = []
+    queries = spark.range(50).selectExpr("cast(id % 3 as int) query_id", "id n").repartition(4)
+
+    def search(rows):
+        seen.append(sorted(r["n"] for r in rows))
+        return spark.createDataFrame([(r["n"],) for r in rows], "n long")
+
+    assert sorted(r["n"] for r in topk.in_blocks(queries, 7, search).collect()) == list(range(50))
+    assert all(len(block) <= 7 for block in seen) and len(seen) == 8
