@@ -42,7 +42,8 @@ def embed_step(chunks: DataFrame, path, model_factory, **options) -> DataFrame:
 def index_step(chunks, embeddings, path, *, centroids=None, granularity="chunk", recreate=False) -> DataFrame:
     """Append the embedded chunks the collection lacks; with centroids, by cell."""
     spark = chunks.sparkSession
-    ready = inc.with_embeddings(chunks, embeddings)
+    # Copies that share an id are indexed once.
+    ready = inc.with_embeddings(chunks.dropDuplicates(["chunk_id"]), embeddings)
     partition_by = ()
     if centroids is not None:
         ready, partition_by = assign_cells(ready, centroids), ("cell",)

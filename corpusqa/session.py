@@ -72,13 +72,3 @@ def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Repartition a scan that has fewer splits than the session has cores.
-
-    One unsplittable file would otherwise keep the work after it in one task.
-    A large table has more splits than that and is returned unchanged.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -1,11 +1,10 @@
 """Readers. All take paths any Hadoop file system can open."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
-from ..session import spread
 
 
 def conform(df: DataFrame, schema: T.StructType = schemas.CORPUS) -> DataFrame:
@@ -24,18 +23,31 @@ def conform(df: DataFrame, schema: T.StructType = schemas.CORPUS) -> DataFrame:
     return df.select(*columns)
 
 
-def read_corpus(spark: SparkSession, path, *, rename=None, limit=None, order_cols=None) -> DataFrame:
+def first_rows(df: DataFrame, limit) -> DataFrame:
+    """The first rows of a Parquet scan in the order of files and of rows in them.
+
+    Rows are counted per file, and every file gives those that are still within
+    the limit: no text is sorted or gathered. One row per file is all that moves.
+    """
+    at = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_index"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = at.groupBy("_file").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0)))
+    files = files.where(F.col("_before") < limit).select("_file", (F.lit(limit) - F.col("_before")).alias("_room"))
+    return at.join(F.broadcast(files), "_file").where(F.col("_index") < F.col("_room")).drop("_file", "_index", "_room")
+
+
+def read_corpus(spark: SparkSession, path, *, rename=None, limit=None, order_cols=None, partitions=None) -> DataFrame:
     """Read question documents from Parquet.
 
     `rename` maps source columns to corpus fields. `limit` keeps the first
     documents in `order_cols` order, by default the order of rows in the files.
+    `partitions` deals the rows out anew, for a small file that can't be split.
     """
     df = spark.read.parquet(path)
     if limit is not None:
-        order = order_cols or [F.col("_metadata.file_path"), F.col("_metadata.row_index")]
-        df = df.orderBy(*order).limit(limit)
-    else:
-        df = spread(df)
+        df = df.orderBy(*order_cols).limit(limit) if order_cols else first_rows(df, limit)
+    if partitions is not None:
+        df = df.repartition(partitions)
     for source, target in (rename or {}).items():
         df = df.withColumnRenamed(source, target)
     return conform(df)

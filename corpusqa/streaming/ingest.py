@@ -24,7 +24,7 @@ STORED = T.StructType(COLLECTION.fields + [T.StructField("batch_id", T.LongType(
 def ingest_batch(corpus: DataFrame, batch_id: int, target, model_factory, *, skip_known=True, **chunking) -> None:
     """Chunk, embed and store one batch of documents as `target/batch_id=N`."""
     spark = corpus.sparkSession
-    chunks = corpus_to_chunks(corpus, **chunking)
+    chunks = corpus_to_chunks(corpus, **chunking).dropDuplicates(["chunk_id"])
     if skip_known:
         # Only earlier batches count, so that a repeated batch is whole again.
         known = read_or_empty(spark, target, STORED).where(F.col("batch_id") < batch_id)

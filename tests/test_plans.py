@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from corpusqa import schemas
-from corpusqa.operators import chunking
+from corpusqa.operators import chunking, dense
 from corpusqa.operators import documents as docs
 from corpusqa.operators import entities as ent
-from corpusqa.session import broadcast_within, scratch_path, spread
+from corpusqa.session import broadcast_within, scratch_path
 
 SF_DIR = "/root/testdata/sf0.001"
 PYTHON_NODES = ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "MapInArrow", "FlatMapGroups")
@@ -42,7 +42,9 @@ def test_relational_queries_have_no_python_and_no_cross_join(spark, name):
 
 
 def test_a_first_rows_read_keeps_only_these(spark):
-    assert "TakeOrderedAndProject" in planned(spark, "first_documents")
+    text = planned(spark, "first_documents")
+    assert "TakeOrderedAndProject" not in text and "Sort [text" not in text
+    assert text.count("Exchange SinglePartition") == 1  # one row per file
 
 
 def test_the_splitter_runs_once(spark):
@@ -74,8 +76,13 @@ def test_broadcasts_are_bounded(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
-def test_only_small_scans_are_spread(spark):
-    cores = spark.sparkContext.defaultParallelism
-    assert spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() == cores
-    wide = spark.range(100).repartition(cores + 1)
-    assert spread(wide) is wide
+def test_ministries_are_pushed_whatever_their_number(spark):
+    path = scratch_path(spark, "plan")
+    rows = [("c", [1.0], "m", f"src{i}") for i in range(60)]
+    spark.createDataFrame(rows, "chunk_id string, embedding array<float>, members string, ministry string").write.parquet(path)
+    chunks = spark.read.parquet(path)
+    queries = [(i, [1.0], f"src{i}" if i else None) for i in range(41)]
+    found = dense.dense_topk(chunks, spark.createDataFrame(queries, "query_id int, embedding array<float>, ministry string"))
+    text = plan(found)
+    assert "PushedFilters" in text and "In(ministry, [" in text
+    assert found.where("query_id > 0").count() == 40 and found.where("query_id = 0").count() == 10

@@ -306,22 +306,28 @@ union all select s_name, n_name from supplier join nation on s_nationkey = n_nat
 union all select cast(null as string), cast(null as string) from region"""
 
 
-@query("evidence_packets", PROFILES + "," + text_ctes("", 10) + "," + text_ctes("5", 5) + "," + OVERLAP_CTE + f""",
-requests as ({REQUESTS})
-select q.mp, q.ministry,
+EVIDENCE_CTES = PROFILES + "," + text_ctes("", 10) + "," + text_ctes("5", 5) + "," + OVERLAP_CTE + f""",
+requests as ({REQUESTS}),
+packets as (select q.mp, q.ministry,
        nullif(concat_ws({NL} || {NL}, o.body,
                         case when q.ministry is null then m.body else m5.body end,
                         case when q.mp is null then d.body else d5.body end), '') as evidence
 from requests q left join ot o on o.mp_name = q.mp and o.ministry = q.ministry
      left join mt m on m.mp_name = q.mp left join mt5 m5 on m5.mp_name = q.mp
-     left join dt d on d.ministry = q.ministry left join dt5 d5 on d5.ministry = q.ministry""")
-def evidence_packets(spark, sf_dir):
+     left join dt d on d.ministry = q.ministry left join dt5 d5 on d5.ministry = q.ministry)"""
+
+
+def evidence_requests(spark, sf_dir):
     frames = {t: table(spark, sf_dir, t) for t in ("supplier", "nation", "region")}
     sql = REQUESTS
     for t in frames:
         sql = sql.replace(f"from {t}", "from {" + t + "}").replace(f"join {t} ", "join {" + t + "} ")
-    requests = spark.sql(sql, **frames)
-    return evidence_for(requests, view(spark, sf_dir, "questions"), stored_asked(spark, sf_dir))
+    return spark.sql(sql, **frames)
+
+
+@query("evidence_packets", EVIDENCE_CTES + " select mp, ministry, evidence from packets")
+def evidence_packets(spark, sf_dir):
+    return evidence_for(evidence_requests(spark, sf_dir), view(spark, sf_dir, "questions"), stored_asked(spark, sf_dir))
 
 
 @query("build_metadata", with_views("corpus", "registry") + "," + aliases_of_registry_sql() + "," + LATEST + f"""

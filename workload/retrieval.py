@@ -14,6 +14,7 @@ from corpusqa.sources import readers, writers
 from corpusqa.streaming import ingest as streaming
 
 from .registry import registry
+from .relational import EVIDENCE_CTES, evidence_requests, stored_asked
 from .texts import CHUNK_SQL, CORPUS_NAMES, HASH_DIM, corpus_of, hashed_documents, hashed_sql
 from .views import TERM_RE, collapse_sql, strip_sql, table, view, with_views
 
@@ -120,11 +121,71 @@ def ivf_topk_full_probe(spark, sf_dir):
     return ranked(ann.ivf_topk(index, label_means(spark, sf_dir), nprobe=16))
 
 
-# Rows only: the cells depend on the partitioning of the training data.
-@query("ivf_topk")
+# Cells around the label means: centroids that both engines can compute. A query
+# without ten matches reads twice as many cells.
+CELLS_SQL = f"""{MEANS_SQL},
+centres as (select query_id as cell, cast(embedding as float[]) as centre from means),
+celled as (select vec_id, embedding, arg_min(cell, (d, cell)) as cell from (
+  select vec_id, embedding, cell, round(list_sum(list_transform(list_zip(cast(embedding as double[]), cast(centre as double[])), lambda p: (p[1] - p[2]) ** 2)), 9) as d
+  from embeddings, centres) group by all),
+probes as (select query_id, cell, row_number() over (partition by query_id order by d, cell) as place from (
+  select query_id, cell, round(list_sum(list_transform(list_zip(cast(embedding as double[]), cast(centre as double[])), lambda p: (p[1] - p[2]) ** 2)), 9) as d
+  from queries, centres)),
+scored as (select q.query_id, vec_id as chunk_id, place, round(list_inner_product(q.embedding, cast(e.embedding as double[])), 9) as score
+  from queries q join probes p using (query_id) join celled e using (cell) WHERE),
+rounds as (select query_id, n, count(*) filter (place <= n) as matches from scored, (values (3), (6), (12)) r(n) group by all),
+width as (select query_id, coalesce(min(n) filter (matches >= 10), 12) as n from rounds group by query_id),
+probed as (select s.* from scored s join width using (query_id) where place <= n)
+""" + RANKED.format(source="probed", k=10)
+
+
+def celled_index(chunks, spark, sf_dir):
+    """The collection stored by cell, with the label means as centroids."""
+    centroids = label_means(spark, sf_dir).select(
+        F.col("query_id").cast("int").alias("cell"), F.col("embedding").cast("array<float>").alias("embedding"))
+    index = ann.IvfIndex(ann.assign_cells(chunks, centroids), centroids)
+    return ann.write_ivf(index, session.scratch_path(spark, "ivf"))
+
+
+def mixed_means(spark, sf_dir):
+    """Queries between the cells: sums of the mean of a label and half the next one's."""
+    means = label_means(spark, sf_dir)
+    after = means.select((F.col("query_id") - 1).alias("query_id"), F.col("embedding").alias("next"))
+    mixed = F.zip_with("embedding", "next", lambda a, b: a + b / 2)
+    return means.join(after, "query_id").select("query_id", mixed.alias("embedding"))
+
+
+MIXED_SQL = """queries as (select a.query_id, list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1] + p[2] / 2) as embedding
+  from means a join means b on b.query_id = a.query_id + 1)"""
+
+
+def cells_sql(where, views=""):
+    return f"with {views}" + CELLS_SQL.replace(MEANS_SQL, f"{MEANS_SQL}, {MIXED_SQL}").replace("WHERE", where)
+
+
+@query("ivf_topk", cells_sql(""))
 def ivf_topk(spark, sf_dir):
-    index = ann.build_ivf(vectors(spark, sf_dir), 16)
-    return ranked(ann.ivf_topk(index, label_means(spark, sf_dir), nprobe=4))
+    index = celled_index(vectors(spark, sf_dir), spark, sf_dir)
+    return ranked(ann.ivf_topk(index, mixed_means(spark, sf_dir), nprobe=3))
+
+
+# Ministries are spread over all cells: three cells rarely hold ten of one.
+@query("ivf_topk_filtered", cells_sql(
+    "join doc_chunks d on e.vec_id = d.doc_id where d.ministry = 'src' || q.query_id", with_views("doc_chunks").removeprefix("with ") + ", "))
+def ivf_topk_filtered(spark, sf_dir):
+    index = celled_index(vector_chunks(spark, sf_dir), spark, sf_dir)
+    queries = mixed_means(spark, sf_dir).withColumn("ministry", F.concat(F.lit("src"), "query_id"))
+    return ranked(ann.ivf_topk(index, queries, nprobe=3))
+
+
+# More queries than one block holds: every vector asks for its neighbours, or every document for its like.
+@query("dense_topk_many", """with scored as (
+  select q.vec_id as query_id, e.vec_id as chunk_id,
+         round(list_inner_product(cast(q.embedding as double[]), cast(e.embedding as double[])), 9) as score from embeddings q, embeddings e)
+""" + RANKED.format(source="scored", k=10))
+def dense_topk_many(spark, sf_dir):
+    queries = vectors(spark, sf_dir).withColumnRenamed("chunk_id", "query_id")
+    return ranked(dense.dense_topk(vectors(spark, sf_dir), queries, block=400))
 
 
 # ---- lexical and hybrid ------------------------------------------------
@@ -265,7 +326,7 @@ def bm25_candidates(spark, sf_dir):
     chunks = doc_chunks(spark, sf_dir)
     queries = passages(spark, sf_dir)
     top = retrieve.search(queries, None, mode="lexical", lexical=lexical.bm25_scan(chunks))
-    return topk.attach_chunks(top, chunks, bound=queries.count() * 10).join(queries, "query_id")
+    return topk.attach_chunks(top, chunks).join(queries, "query_id")
 
 
 @query("source_rows", TOP_BM25 + f"""
@@ -280,7 +341,7 @@ def rerank(spark, sf_dir):
     return ranked(rr.rerank(bm25_candidates(spark, sf_dir)))
 
 
-# The two templates with the context and the query in place.
+# The two templates with the context and the query in place.
 CONTEXT = "string_agg(text, chr(10) || chr(10) order by rank) as context"
 HEAD = "'Context information is below.' || chr(10) || '---------------------' || chr(10) || context || chr(10) || '---------------------' || chr(10)"
 PLAIN = HEAD + " || 'Given the context information and not prior knowledge, answer the query.' || chr(10) || 'Query: ' || query || chr(10) || 'Answer:'"
@@ -316,6 +377,21 @@ def ask(spark, sf_dir):
     return answers.select("query_id", F.md5("answer").alias("answer"), ids.alias("sources"))
 
 
+@query("ask_with_evidence", EVIDENCE_CTES + f""",
+filled as (select concat_ws('|', coalesce(mp, ''), coalesce(ministry, '')) as query_id, 'Questions of ' || coalesce(mp, 'all') as query,
+                  '' as context, evidence from packets where mp is not null or ministry is not null)
+select query_id, md5(case when evidence is null then {PLAIN} else {FULL} end) as answer from filled""")
+def ask_with_evidence(spark, sf_dir):
+    """Requests that name members and ministries of the question tables; no document has these, so statistics stand alone."""
+    named = evidence_requests(spark, sf_dir).where("mp is not null or ministry is not null").select(
+        F.concat_ws("|", F.coalesce("mp", F.lit("")), F.coalesce("ministry", F.lit(""))).alias("query_id"),
+        F.concat(F.lit("Questions of "), F.coalesce("mp", F.lit("all"))).alias("query"), "mp", "ministry")
+    none = member_aliases(spark, sf_dir).where("false")
+    answers = ask_plan.ask(
+        named, hashed_collection(spark, sf_dir), MODEL, aliases=none, tables=(view(spark, sf_dir, "questions"), stored_asked(spark, sf_dir)))
+    return answers.select("query_id", F.md5("answer").alias("answer"))
+
+
 # ---- evaluation --------------------------------------------------------
 
 def cases(spark, sf_dir):
@@ -368,9 +444,9 @@ DENSE_FOUND = """found as (select * from (
 EVAL_DENSE = EVAL.replace("LEGS", DENSE_FOUND)
 
 
-def evaluated(spark, sf_dir, **options):
-    return retrieve.run_eval(
-        cases(spark, sf_dir), hashed_collection(spark, sf_dir), MODEL, aliases=member_aliases(spark, sf_dir), **options)
+def evaluated(spark, sf_dir, collection=None, **options):
+    collection = hashed_collection(spark, sf_dir) if collection is None else collection
+    return retrieve.run_eval(cases(spark, sf_dir), collection, MODEL, aliases=member_aliases(spark, sf_dir), **options)
 
 
 @query("eval_scores", EVAL_DENSE + """
@@ -396,6 +472,25 @@ def eval_report(spark, sf_dir):
     return ev.report_rows(evaluated(spark, sf_dir)[0])
 
 
+# Scores of eighths and sixteenths, where rounding meets ties.
+@query("eval_report_ties", """select 'd' || doc_id as test_id, lang as category, source as mode,
+       printf('%.2f', (n_chars % 9) / 8.0::double) as p_at_k, case when n_chars % 2 = 0 then 'Y' else 'N' end as hit_1,
+       'N' as hit_k, n_chars as docs, printf('%.0fms', (n_chars % 32) / 2.0::double) as latency from documents""")
+def eval_report_ties(spark, sf_dir):
+    return ev.report_rows(table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("d"), "doc_id").alias("test_id"), F.col("lang").alias("category"), F.col("source").alias("mode"),
+        (F.col("n_chars") % 9 / 8.0).alias("precision_at_k"), (F.col("n_chars") % 2 == 0).alias("hit_at_1"),
+        F.lit(False).alias("hit_at_k"), F.col("n_chars").alias("unique_docs"), (F.col("n_chars") % 32 / 2.0).alias("latency_ms")))
+
+
+@query("source_rows_ties", f"""select doc_id as query_id, 1 as rank, 'q' as qa_id, printf('%.3f', n_chars / 16.0::double) as score_text,
+       source as ministry, lang as subject, {strip_sql('substring(text, 1, 200)')} || '...' as excerpt from documents""")
+def source_rows_ties(spark, sf_dir):
+    return display_rows(table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("query_id"), F.lit(1).alias("rank"), F.lit("q").alias("qa_id"), (F.col("n_chars") / 16.0).alias("score"),
+        F.col("source").alias("ministry"), F.col("lang").alias("subject"), "text"))
+
+
 @query("eval_failures", EVAL_DENSE + """
 select 'b' || item as test_id, mode, rank, qa_id,
   case when member_ok and ministry_ok and text_ok then 'PASS' else 'FAIL' end as verdict,
@@ -420,9 +515,9 @@ found as (select * from (
        + EVAL_DENSE + " select mode, avg(p) as p from scores group by mode) d join ("
        + EVAL.replace("LEGS", HYBRID_FOUND) + " select mode, avg(p) as p from scores group by mode) h on d.mode = h.mode")
 def compare_searches(spark, sf_dir):
-    scan = lexical.bm25_scan(doc_chunks(spark, sf_dir))
-    dense_scores = evaluated(spark, sf_dir)[0].withColumn("search", F.lit("dense"))
-    hybrid_scores = evaluated(spark, sf_dir, mode="hybrid", lexical=scan)[0].withColumn("search", F.lit("hybrid"))
+    scan, collection = lexical.bm25_scan(doc_chunks(spark, sf_dir)), hashed_collection(spark, sf_dir)
+    dense_scores = evaluated(spark, sf_dir, collection)[0].withColumn("search", F.lit("dense"))
+    hybrid_scores = evaluated(spark, sf_dir, collection, mode="hybrid", lexical=scan)[0].withColumn("search", F.lit("hybrid"))
     table_ = ev.compare_searches(dense_scores.unionByName(hybrid_scores))
     return table_.select("mode", *[F.round(c, 6).alias(c) for c in ("dense", "hybrid", "delta")])
 
@@ -485,6 +580,31 @@ def alias_map_roundtrip(spark, sf_dir):
     return readers.read_alias_map(spark, path).select("canonical", F.array_join("aliases", "|").alias("aliases"))
 
 
+@query("registry_json_roundtrip", with_views("registry") + " select lok, mpNo, mpName from registry")
+def registry_json_roundtrip(spark, sf_dir):
+    """One JSON array per term, in a directory named by the term."""
+    root = session.scratch_path(spark, "registry")
+    rows = view(spark, sf_dir, "registry")
+    for lok in (16, 17, 18):
+        entries = F.collect_list(F.struct("mpNo", "mpName"))
+        rows.where(F.col("lok") == lok).agg(F.to_json(entries).alias("value")).write.text(f"{root}/{lok}")
+    return readers.read_registry(spark, f"{root}/*/*").select("lok", "mpNo", "mpName")
+
+
+@query("eval_cases_json_roundtrip", """
+select 'b' || item_id as id, text as query, case when length(text) > 200 then 'member' else 'topic' end as category,
+       case when length(text) > 200 then 'Shri Member ' || item_id % 37 end as mp, case when length(text) < 260 then 'src' || item_id % 20 end as ministry,
+       case when length(text) > 200 then 'Member ' || item_id % 37 end as members, '' as notes from benchmark""")
+def eval_cases_json_roundtrip(spark, sf_dir):
+    path = session.scratch_path(spark, "cases")
+    written = cases(spark, sf_dir)
+    entry = F.struct(*[c for c in written.columns if c != "notes"])
+    written.agg(F.to_json(F.collect_list(entry)).alias("value")).write.text(path)
+    back = readers.read_eval_cases(spark, path)
+    members = F.array_join("expected.members_contains_any", "|")
+    return back.select("id", "query", "category", "mp", "ministry", members.alias("members"), "notes")
+
+
 @query("collection_append", "select count(*) * 2 as rows, count(distinct label) as labels from embeddings")
 def collection_append(spark, sf_dir):
     path = session.scratch_path(spark, "collection")
