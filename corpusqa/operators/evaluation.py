@@ -154,10 +154,14 @@ def report_rows(scores: DataFrame) -> DataFrame:
 
 
 def failures(scores: DataFrame, judged: DataFrame) -> DataFrame:
-    """Every chunk of the queries below full precision, with pass or fail and reasons."""
+    """Every chunk of the queries below full precision, with pass or fail and reasons.
+
+    The layout shows the ministry and the first 60 characters of the members.
+    """
     imperfect = scores.where(F.col("precision_at_k") < 1).select("query_id")
     return judged.join(imperfect, "query_id", "left_semi").select(
-        F.col("id").alias("test_id"), "mode", "rank", "qa_id",
+        F.col("id").alias("test_id"), "mode", "rank", "qa_id", _filled("ministry").alias("ministry"),
+        F.substring(_filled("members"), 1, 60).alias("members"),
         F.when(F.col("matched"), "PASS").otherwise("FAIL").alias("verdict"),
         failure_reasons().alias("reasons"),
     )

@@ -10,8 +10,10 @@ from ..functions import text as tx
 DENSE_FACTOR = 4 * 2.5
 SPARSE_BYTES = 300
 META_BYTES = 500
-# Fixed value: extractions under this many characters count as empty.
+# Extractions under this many characters count as empty; the preview's length, and its text for none.
 EMPTY_CHARS = 50
+PREVIEW_CHARS = 300
+NO_PREVIEW = "(empty)"
 
 
 def storage_bytes(rows: Column, dim, has_sparse) -> Column:
@@ -49,6 +51,7 @@ def extraction_rows(extractions: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return extractions.withColumns({
         "char_count": F.length(text), "word_count": tx.word_count(text), "is_empty": F.length(text) < EMPTY_CHARS,
+        "preview": F.when(text == "", F.lit(NO_PREVIEW)).otherwise(F.substring(text, 1, PREVIEW_CHARS)),
     }).drop("text")
 
 

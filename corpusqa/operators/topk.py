@@ -142,11 +142,16 @@ class BestRows:
         self.scores = np.full((queries, k), -np.inf)
         self.ids = np.empty((queries, k), dtype=object)
 
-    def merge(self, queries, scores, ids):
+    def merge(self, queries, scores, rows, ids, places):
         """Fold in a block of scores, query by row; `-inf` never enters.
 
-        Rows come sorted by id, so among equal scores the first are kept.
+        `rows` are the rows of the batch behind the columns of `scores`, `ids` the
+        ids of the batch, and `places` their places in the order of ids: among
+        equal scores the smallest ids are kept. Only ids that enter become
+        Python objects.
         """
+        import pyarrow as pa
+
         room, top = self.scores[queries, -1], scores.max(axis=1)
         if np.isnan(top).any():
             # A vector that is not a number matches nothing.
@@ -158,10 +163,15 @@ class BestRows:
             if len(keep) > self.k:
                 cut = np.partition(row[keep], -self.k)[-self.k]
                 above, equal = keep[row[keep] > cut], keep[row[keep] == cut]
-                keep = np.concatenate([above, equal[: self.k - len(above)]])
+                room_left = self.k - len(above)
+                if len(equal) > room_left:
+                    equal = equal[np.argpartition(places[rows[equal]], room_left - 1)[:room_left]]
+                keep = np.concatenate([above, equal])
             old = self.scores[q] > -np.inf
             all_scores = np.concatenate([self.scores[q][old], row[keep]])
-            all_ids = np.concatenate([self.ids[q][old], ids[keep]])
+            new_ids = np.empty(len(keep), dtype=object)
+            new_ids[:] = ids.take(pa.array(rows[keep])).to_pylist()
+            all_ids = np.concatenate([self.ids[q][old], new_ids])
             pick = sorted(range(len(all_scores)), key=lambda j: (-all_scores[j], all_ids[j]))[: self.k]
             self.scores[q, : len(pick)] = all_scores[pick]
             self.ids[q, : len(pick)] = all_ids[pick]
@@ -184,7 +194,7 @@ def scan_topk(source: DataFrame, rows, id_type, k, score, payload) -> DataFrame:
     """One pass over `source` for one block of query rows.
 
     `score(payload, batch)` yields `(queries, index, scores)` for parts of an
-    Arrow batch sorted by chunk id: query numbers, row numbers (or None for all
+    Arrow batch: query numbers, row numbers (or None for all
     rows), and a score matrix with `-inf` for what cannot match. Filters are
     applied to the scores before any row is dropped.
     """
@@ -207,21 +217,25 @@ def scan_topk(source: DataFrame, rows, id_type, k, score, payload) -> DataFrame:
     arrow_id, arrow_chunk_id = to_arrow_type(id_type), to_arrow_type(chunk_id_type)
 
     def run(batches):
+        import pyarrow.compute as pc
+
         query_ids, distinct, of_query, data = sent.value
         limits = Filters(distinct, of_query)
         best = BestRows(len(query_ids), k)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            batch = batch.sort_by("chunk_id")
-            chunk_ids = np.array(batch.column("chunk_id").to_pylist(), dtype=object)
+            ids = batch.column("chunk_id")
+            order = pc.array_sort_indices(ids).to_numpy()
+            places = np.empty(batch.num_rows, dtype=np.int64)
+            places[order] = np.arange(batch.num_rows)
             gates = limits.gates(batch) if limits.active else None
             for queries, index, scores in score(data, batch):
-                part_ids = chunk_ids if index is None else chunk_ids[index]
+                at = np.arange(batch.num_rows) if index is None else index
                 if gates is not None:
                     gate = gates if index is None else gates[:, index]
                     scores[~gate[limits.of_query[queries]]] = -np.inf
-                best.merge(queries, scores, part_ids)
+                best.merge(queries, scores, at, ids, places)
         yield best.to_batch(query_ids, arrow_id, arrow_chunk_id)
 
     return rank_by_score(source.mapInArrow(run, out), k)

@@ -62,7 +62,4 @@ def run_eval(cases: DataFrame, collection, model_factory, *, aliases: DataFrame,
     """
     requests = ev.eval_requests(ev.effective_expected(cases, aliases))
     judged = ev.judge(requests, retrieve(requests, collection, model_factory, k=k, **options))
-    scores = ev.score_retrieval(requests, judged)
-    if latency is not None:
-        scores = scores.join(latency.select("query_id", "latency_ms"), "query_id", "left")
-    return scores, judged
+    return ev.score_retrieval(requests, judged, latency), judged

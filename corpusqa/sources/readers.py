@@ -89,7 +89,3 @@ def read_eval_cases(spark: SparkSession, path) -> DataFrame:
 
 def read_alias_map(spark: SparkSession, path) -> DataFrame:
     return spark.read.schema(schemas.ALIASES).json(path)
-
-
-def read_extractions(spark: SparkSession, path) -> DataFrame:
-    return spark.read.schema(schemas.EXTRACTION).json(path)

@@ -492,7 +492,7 @@ def source_rows_ties(spark, sf_dir):
 
 
 @query("eval_failures", EVAL_DENSE + """
-select 'b' || item as test_id, mode, rank, qa_id,
+select 'b' || item as test_id, mode, rank, qa_id, ministry, substring(members, 1, 60) as members,
   case when member_ok and ministry_ok and text_ok then 'PASS' else 'FAIL' end as verdict,
   concat_ws('; ', case when not member_ok then 'members=''' || members || '''' end,
                   case when not ministry_ok then 'ministry=''' || ministry || '''' end,
@@ -559,16 +559,13 @@ def stream_ingest(spark, sf_dir):
 
 
 @query("metadata_tables_roundtrip", with_views("questions", "question_mps") + """
-select 'questions' as name, type, count(*) as rows from questions group by type
-union all select 'question_mps', type, count(*) from question_mps group by type""")
+select 'questions' as name, lok_no, session_no, ques_no, type, date, ministry, subject, cast(null as varchar) as mp_name from questions
+union all select 'question_mps', lok_no, session_no, ques_no, type, null, null, null, mp_name from question_mps""")
 def metadata_tables_roundtrip(spark, sf_dir):
     root = session.scratch_path(spark, "metadata")
     writers.write_metadata(view(spark, sf_dir, "questions"), view(spark, sf_dir, "question_mps"), root)
-    counts = [
-        spark.read.parquet(f"{root}/{t}").groupBy(F.lit(t).alias("name"), "type").agg(F.count("*").alias("rows"))
-        for t in ("questions", "question_mps")
-    ]
-    return counts[0].unionByName(counts[1])
+    tables = [spark.read.parquet(f"{root}/{t}").withColumn("name", F.lit(t)) for t in ("questions", "question_mps")]
+    return tables[0].unionByName(tables[1], allowMissingColumns=True)
 
 
 @query("alias_map_roundtrip", with_views("doc_chunks") + """
@@ -605,11 +602,14 @@ def eval_cases_json_roundtrip(spark, sf_dir):
     return back.select("id", "query", "category", "mp", "ministry", members.alias("members"), "notes")
 
 
-@query("collection_append", "select count(*) * 2 as rows, count(distinct label) as labels from embeddings")
+@query("collection_append", """select vec_id, label, round(cast(embedding[1] as double), 6) as first, len(embedding) as dim
+from (select * from embeddings union all select * from embeddings)""")
 def collection_append(spark, sf_dir):
     path = session.scratch_path(spark, "collection")
     rows = table(spark, sf_dir, "embeddings")
     writers.drop_and_write_collection(rows, path, partition_by=("label",))
     writers.write_collection(rows, path, partition_by=("label",))
     stored = spark.read.parquet(path)
-    return stored.agg(F.count("*").alias("rows"), F.countDistinct("label").alias("labels"))
+    return stored.select(
+        "vec_id", F.col("label").cast(rows.schema["label"].dataType), F.round(F.col("embedding")[0].cast("double"), 6).alias("first"),
+        F.size("embedding").cast("bigint").alias("dim"))

@@ -301,21 +301,21 @@ def pending_chunks(spark, sf_dir):
 
 # Each document counts as two chunks here, of which the first is indexed.
 @query("unindexed_chunks", """
-select granularity, count(*) as chunks from (
-  select 'chunk' as granularity from documents d, (select 0 as part union all select 1) p
+select granularity, 'D' || doc_id || '#' || part as chunk_id from (
+  select 'chunk' as granularity, doc_id, part from documents d, (select 0 as part union all select 1) p
   where part = 1 or doc_id not in (select vec_id from embeddings)
-  union all select 'document' from documents d, (select 0 as part union all select 1) p
-  where doc_id not in (select vec_id from embeddings)) group by granularity""")
+  union all select 'document', doc_id, part from documents d, (select 0 as part union all select 1) p
+  where doc_id not in (select vec_id from embeddings))""")
 def unindexed_chunks(spark, sf_dir):
     chunks, vectors = halves(spark, sf_dir)
     parts = chunks.select("qa_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("part"))
     parts = parts.withColumn("chunk_id", F.concat("qa_id", F.lit("#"), F.col("part").cast("string")))
     indexed = vectors.select("qa_id", F.concat("qa_id", F.lit("#0")).alias("chunk_id"))
-    counts = [
-        inc.unindexed_chunks(parts, indexed, granularity=g).groupBy(F.lit(g).alias("granularity")).agg(F.count("*").alias("chunks"))
+    left = [
+        inc.unindexed_chunks(parts, indexed, granularity=g).select(F.lit(g).alias("granularity"), "chunk_id")
         for g in ("chunk", "document")
     ]
-    return counts[0].unionByName(counts[1])
+    return left[0].unionByName(left[1])
 
 
 @query("with_embeddings", """
@@ -338,7 +338,7 @@ def run_counts(spark, sf_dir):
 
 EXTRACTED = f"""extracted as (
   select source as engine, cast(doc_id as varchar) as stem, length(text) / 1000.0::double as time_sec,
-         doc_id % 7 + 0.5::double as mem, length(text) as char_count,
+         doc_id % 7 + 0.5::double as mem, length(text) as char_count, case when text = '' then '(empty)' else substring(text, 1, 300) end as preview,
          len(regexp_extract_all(text, '{NON_WS_RE}+')) as word_count, lang = 'de' as failed from documents)"""
 
 
@@ -351,11 +351,11 @@ def extractions(spark, sf_dir):
 
 
 @query("extraction_rows", "with " + EXTRACTED + """
-select engine, stem, char_count, word_count, char_count < 50 as is_empty,
+select engine, stem, char_count, word_count, char_count < 50 as is_empty, preview,
        case when failed then 'ParseError: unreadable' end as error from extracted""")
 def extraction_rows(spark, sf_dir):
     rows = reports.extraction_rows(extractions(spark, sf_dir))
-    return rows.select("engine", "stem", F.col("char_count").cast("bigint"), F.col("word_count").cast("bigint"), "is_empty", "error")
+    return rows.select("engine", "stem", F.col("char_count").cast("bigint"), F.col("word_count").cast("bigint"), "is_empty", "preview", "error")
 
 
 @query("engine_totals", "with " + EXTRACTED + """
