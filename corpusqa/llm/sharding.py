@@ -53,9 +53,11 @@ def assign_shards(df: DataFrame, key="doc_id", shards=16, weights=None, seed=SEE
 def number_slots(df: DataFrame, by="shard") -> DataFrame:
     """Add `slot`, a number from 0 without gaps within each value of `by`.
 
-    `df` has to be stored, as from `write_and_read`: its partitions are read twice.
+    Rows are stored with the partition they came from and their place in it, so
+    that both stay the same for counts and numbers.
     """
     rows = df.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.spark_partition_id())
+    rows = write_and_read(rows, "shards")
     before = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         rows.groupBy(by, "_part").agg(F.count(F.lit(1)).alias("_n"))
@@ -83,7 +85,7 @@ def shard_table(docs: DataFrame, shards=16, weights=None) -> DataFrame:
     """One row per document: where it goes, and its slot there."""
     rows = assign_shards(docs.select("doc_id", "text"), shards=shards, weights=weights)
     narrow = rows.withColumns(shard_sizes(F.col("text"))).drop("text").withColumn("law", F.lit("key"))
-    return number_slots(write_and_read(narrow, "shards")).select(
+    return number_slots(narrow).select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
