@@ -334,4 +334,5 @@ def keep_one(docs: DataFrame, shingle=SHINGLE_WORDS, most=MAX_BITS) -> DataFrame
     narrow = stored.select(at.alias("at"), F.col("_print").alias("fingerprint"))
     found = near_duplicates(narrow, "at", most)
     kept = write_and_read(found.where(F.col("at") == F.col("component_id")).select(F.col("at._row").alias("_row")), "kept")
-    return stored.join(kept, "_row", "left_semi").select(*docs.columns)
+    # Kept rows grow with the table: the join is by shuffle at every size, whatever a small table would allow.
+    return stored.join(kept.hint("merge"), "_row", "left_semi").select(*docs.columns)
