@@ -178,14 +178,15 @@ def ivf_topk_filtered(spark, sf_dir):
     return ranked(ann.ivf_topk(index, queries, nprobe=3))
 
 
-# More queries than one block holds: every vector asks for its neighbours, or every document for its like.
+# More queries than one block holds: every vector asks for its neighbours.
 @query("dense_topk_many", """with scored as (
   select q.vec_id as query_id, e.vec_id as chunk_id,
          round(list_inner_product(cast(q.embedding as double[]), cast(e.embedding as double[])), 9) as score from embeddings q, embeddings e)
-""" + RANKED.format(source="scored", k=10))
+select query_id, chunk_id, rank from (
+  select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from scored) where rank <= 10""")
 def dense_topk_many(spark, sf_dir):
     queries = vectors(spark, sf_dir).withColumnRenamed("chunk_id", "query_id")
-    return ranked(dense.dense_topk(vectors(spark, sf_dir), queries, block=400))
+    return ranked(dense.dense_topk(vectors(spark, sf_dir), queries, block=400)).drop("score")
 
 
 # ---- lexical and hybrid ------------------------------------------------
