@@ -42,16 +42,15 @@ def embed_step(chunks: DataFrame, path, model_factory, **options) -> DataFrame:
 def index_step(chunks, embeddings, path, *, centroids=None, granularity="chunk", recreate=False) -> DataFrame:
     """Append the embedded chunks the collection lacks; with centroids, by cell."""
     spark = chunks.sparkSession
-    # Copies that share an id are indexed once.
-    ready = inc.with_embeddings(chunks.dropDuplicates(["chunk_id"]), embeddings)
+    ready = inc.with_embeddings(chunks, embeddings)
     partition_by = ()
     if centroids is not None:
         ready, partition_by = assign_cells(ready, centroids), ("cell",)
     if recreate:
-        writers.drop_and_write_collection(ready, path, partition_by=partition_by)
+        writers.drop_and_write_collection(ready.dropDuplicates(["chunk_id"]), path, partition_by=partition_by)
     else:
         known = read_or_empty(spark, path, ready.schema)
-        writers.write_collection(
-            inc.unindexed_chunks(ready, known, granularity=granularity), path, partition_by=partition_by
-        )
+        # Copies that share an id are indexed once.
+        left = inc.unindexed_chunks(ready, known, granularity=granularity).dropDuplicates(["chunk_id"])
+        writers.write_collection(left, path, partition_by=partition_by)
     return spark.read.schema(ready.schema).parquet(path)

@@ -327,7 +327,7 @@ def evidence_requests(spark, sf_dir):
 
 @query("evidence_packets", EVIDENCE_CTES + " select mp, ministry, evidence from packets")
 def evidence_packets(spark, sf_dir):
-    return evidence_for(evidence_requests(spark, sf_dir), view(spark, sf_dir, "questions"), stored_asked(spark, sf_dir))
+    return evidence_for(evidence_requests(spark, sf_dir), view(spark, sf_dir, "questions"), asked(spark, sf_dir))
 
 
 @query("build_metadata", with_views("corpus", "registry") + "," + aliases_of_registry_sql() + "," + LATEST + f"""

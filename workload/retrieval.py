@@ -14,7 +14,7 @@ from corpusqa.sources import readers, writers
 from corpusqa.streaming import ingest as streaming
 
 from .registry import registry
-from .relational import EVIDENCE_CTES, evidence_requests, stored_asked
+from .relational import EVIDENCE_CTES, asked, evidence_requests
 from .texts import CHUNK_SQL, CORPUS_NAMES, HASH_DIM, corpus_of, hashed_documents, hashed_sql
 from .views import TERM_RE, collapse_sql, strip_sql, table, view, with_views
 
@@ -389,7 +389,7 @@ def ask_with_evidence(spark, sf_dir):
         F.concat(F.lit("Questions of "), F.coalesce("mp", F.lit("all"))).alias("query"), "mp", "ministry")
     none = member_aliases(spark, sf_dir).where("false")
     answers = ask_plan.ask(
-        named, hashed_collection(spark, sf_dir), MODEL, aliases=none, tables=(view(spark, sf_dir, "questions"), stored_asked(spark, sf_dir)))
+        named, hashed_collection(spark, sf_dir), MODEL, aliases=none, tables=(view(spark, sf_dir, "questions"), asked(spark, sf_dir)))
     return answers.select("query_id", F.md5("answer").alias("answer"))
 
 
