@@ -1,18 +1,20 @@
 """Benchmark decontamination by spaced-seed hashing.
 
+A document leaks a passage if, laid side by side at some offset, some stretch of
+both holds at least `coverage` of the passage's words as equal ones, and `identity`
+of the words in the stretch are equal.
+
 A mask marks which words of a window count. Windows of the test passages are
-hashed under every mask, and so is every window of every document: a replaced
-word leaves the hash of a mask that ignores it unchanged. Where hashes meet, the
-document and the passage are laid side by side at that offset and compared word
-by word; the best stretch, a match counting +1 and a replaced word -4, decides.
+hashed under the masks of their length, and so is every window of every document:
+a replaced word leaves the hash of a mask that ignores it unchanged. The masks are
+such that every leak by the standard `coverage` and `identity`, or by stricter ones,
+has a hit. Where hashes meet, the document and the passage are compared word by word
+over the whole overlap, and of all stretches that meet both conditions the one with
+the most equal words is taken, of these the shortest and then the first.
 
 The hashed passages are the stated query set. They go to the tasks in blocks of
 at most `BLOCK_BYTES` of text, each block with one pass over the documents;
 documents are never shuffled, and rows come only from documents with a leak.
-Passages with fewer words than a mask spans are matched as a whole, word for word.
-
-A document leaks a passage if the stretch holds at least `coverage` of its words
-and `identity` of the words in the stretch are equal.
 
 Defined results: passages without words, or null, leak nowhere; null or empty
 documents leak nothing. Repeated documents and repeated passages each get their
@@ -30,15 +32,30 @@ from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 from ..session import write_and_read
 from .words import scramble, slices, words_of
 
-# Which of twelve words count. Any two replaced words in a window of fourteen leave a hit.
-MASKS = ("111000011011", "101101101001", "100100111011", "110011000111")
+# Which words of a window count, for passages of at least `LONG` words.
+MASKS = ("110111100000", "111010000011", "110100011100", "000111011100")
 SPAN = 12
+LONG = 16
+# The same by the number of words of shorter passages.
+_SEVEN = ("11111", "101111", "110111", "111011", "111101")
+_TWELVE = ("1101111", "11110011", "110011011", "10101111", "11110101")
+SHORT_MASKS = {
+    1: ("1",), 2: ("11",), 3: ("11",), 4: ("111",), 5: ("111", "1011"), 6: ("1111", "10111", "11011", "11101"),
+    7: _SEVEN, 8: _SEVEN, 9: ("111111", "1011111", "1101111", "1110111", "1111011", "1111101"),
+    10: ("110111", "11111", "1101011", "1001111"),
+    11: ("1011111", "11100111", "1100101011", "11101101", "1101010011", "1111011"),
+    12: _TWELVE, 13: _TWELVE, 14: ("1101111", "111010011", "1010011011", "111111"),
+    15: ("1101111", "11100010011", "110100111", "111111"),
+}
 COVERAGE = 0.6
 IDENTITY = 0.8
+# What a replaced word costs against an equal one where `IDENTITY` of a stretch is equal.
 MISMATCH = -4
 BLOCK_BYTES = 8 << 20
-# Bits of the table that is asked before the exact search.
+# Most bits of the table that is asked before the exact search.
 FILTER_BITS = 22
+# Words that are compared at once.
+COMPARED = 1 << 22
 
 
 def _words(texts):
@@ -46,24 +63,23 @@ def _words(texts):
     return words_of(pc.utf8_lower(texts))
 
 
-def _mix(words, places, salt):
-    """One hash for the chosen words of every window."""
-    n = len(words) - max(places)
+def masks_of(size):
+    """The masks for passages of so many words."""
+    return tuple(m.strip("0") for m in MASKS) if size >= LONG else SHORT_MASKS.get(size, ())
+
+
+def _mix(words, mask):
+    """One hash for the words of every window that the mask counts."""
+    n = len(words) - len(mask) + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    out = np.full(n, salt, dtype=np.uint64)
-    for turn, place in enumerate(places):
+    out = np.zeros(n, dtype=np.uint64)
+    for turn, place in enumerate(i for i, c in enumerate(mask) if c == "1"):
         out = (out ^ words[place: place + n]) * np.uint64(0x9E3779B97F4A7C15 + 2 * turn)
         out ^= out >> np.uint64(31)
     return scramble(out)
 
 
-def _shapes(short):
-    """(words spanned, places that count, salt): the masks, and the whole of each short length."""
-    masks = [(SPAN, [i for i, c in enumerate(m) if c == "1"], 1 + k) for k, m in enumerate(MASKS)]
-    return masks + [(size, list(range(size)), 1000 + size) for size in short]
-
-
 class Passages:
     """The hashed windows of a block of test passages."""
 
@@ -71,65 +87,101 @@ class Passages:
         found = _words(pa.array(texts, type=pa.string()))
         self.words = found.hashes
         self.bounds = found.bounds
-        sizes = np.diff(found.bounds)
-        self.short = sorted({int(s) for s in sizes if 0 < s < SPAN})
-        hashes, items, offsets = [], [], []
-        for span, places, salt in _shapes(self.short):
-            mixed = _mix(self.words, places, salt)
-            mixed = np.append(mixed, np.zeros(len(self.words) - len(mixed), dtype=np.uint64))
-            # Short shapes stand for passages of exactly that length.
-            fits = np.nonzero(sizes == span if span in self.short else sizes >= span)[0]
-            last = sizes[fits] - span + 1
-            item = np.repeat(fits, last)
-            offset = np.arange(last.sum()) - np.repeat(np.cumsum(last) - last, last)
-            hashes.append(mixed[found.bounds[item] + offset])
-            items.append(item)
-            offsets.append(offset)
-        hashes, self.item, self.offset = np.concatenate(hashes), np.concatenate(items), np.concatenate(offsets)
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.item, self.offset = hashes[order], self.item[order], self.offset[order]
-        self.filter = np.zeros(1 << FILTER_BITS, dtype=bool)
-        self.filter[self.hashes >> np.uint64(64 - FILTER_BITS)] = True
+        self.sizes = np.diff(found.bounds)
+        sizes_of = {}
+        for size in np.unique(np.minimum(self.sizes, LONG)).tolist():
+            for mask in masks_of(size):
+                sizes_of.setdefault(mask, []).append(size)
+        # Per mask: sorted hashes of windows, the word each begins with, and the table asked before.
+        self.tables = []
+        for mask, sizes in sizes_of.items():
+            fits = np.nonzero(np.isin(np.minimum(self.sizes, LONG), sizes))[0]
+            last = self.sizes[fits] - len(mask) + 1
+            at = np.arange(last.sum()) + np.repeat(found.bounds[fits] - (np.cumsum(last) - last), last)
+            hashes = _mix(self.words, mask)[at]
+            order = np.argsort(hashes, kind="stable")
+            hashes, at = hashes[order], at[order].astype(np.int32)
+            shift = np.uint64(64 - min(FILTER_BITS, len(at).bit_length() + 4))
+            table = np.zeros(1 << (64 - int(shift)), dtype=bool)
+            table[hashes >> shift] = True
+            self.tables.append((mask, hashes, at, shift, table))
 
     def hits(self, words, bounds):
         """Distinct (text, item, first word) where a passage lies by a window hit; the first may be before the text."""
-        out = [np.zeros((0, 3), dtype=np.int64)]
-        if len(self.hashes) == 0 or len(words) == 0:
-            return out[0]
+        out = [np.zeros((3, 0), dtype=np.int64)]
         text_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        for span, places, salt in _shapes(self.short):
-            mixed = _mix(words, places, salt)
-            at = np.nonzero(self.filter[mixed >> np.uint64(64 - FILTER_BITS)])[0]
-            at = at[at + span <= bounds[text_of[at] + 1]]
-            low = np.searchsorted(self.hashes, mixed[at], "left")
-            size = np.searchsorted(self.hashes, mixed[at], "right") - low
+        for mask, hashes, starts, shift, table in self.tables:
+            mixed = _mix(words, mask)
+            at = np.nonzero(table[mixed >> shift])[0]
+            at = at[at + len(mask) <= bounds[text_of[at] + 1]]
+            low = np.searchsorted(hashes, mixed[at], "left")
+            size = np.searchsorted(hashes, mixed[at], "right") - low
             entry = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
             at = np.repeat(at, size)
-            out.append(np.stack([text_of[at], self.item[entry], at - self.offset[entry]], axis=1))
-        return np.unique(np.concatenate(out), axis=0)
-
-    def best_stretch(self, words, low, high, item, first):
-        """(start, end, equal words) of the best stretch of an item laid at `first` in words[low:high]."""
-        passage = self.words[self.bounds[item]: self.bounds[item + 1]]
-        skip, stop = max(0, low - first), min(len(passage), high - first)
-        equal = words[first + skip: first + stop] == passage[skip:stop]
-        total = np.r_[0, np.cumsum(np.where(equal, 1, MISMATCH))]
-        floor = np.minimum.accumulate(total)
-        end = int(np.argmax(total - floor))
-        start = int(np.argmin(total[: end + 1]))
-        return first + skip + start, first + skip + end, int(equal[start:end].sum()), len(passage)
+            start = starts[entry].astype(np.int64)
+            item = np.searchsorted(self.bounds, start, "right") - 1
+            out.append(np.stack([text_of[at], item, at - (start - self.bounds[item])]))
+        found = np.concatenate(out, axis=1)
+        found = found[:, np.lexsort(found[::-1])]
+        fresh = np.ones(found.shape[1], dtype=bool)
+        fresh[1:] = (found[:, 1:] != found[:, :-1]).any(axis=0)
+        return found[:, fresh]
+
+    def _compared(self, words, bounds, coverage):
+        """(text, item, first, equal) of the hits whose overlap holds enough equal words."""
+        found = self.hits(words, bounds)
+        size = self.sizes[found[1]]
+        # Passages of like size are compared at once.
+        order = np.argsort(size, kind="stable")
+        start = 0
+        while start < len(order):
+            stop = min(len(order), start + max(1, COMPARED // int(size[order[start]])))
+            while stop > start + 1 and (stop - start) * int(size[order[stop - 1]]) > 2 * COMPARED:
+                stop = start + (stop - start + 1) // 2
+            mine = order[start:stop]
+            text, item, first = found[:, mine]
+            place = np.arange(int(size[mine].max()))
+            at = first[:, None] + place
+            inside = (at >= bounds[text][:, None]) & (at < bounds[text + 1][:, None]) & (place < size[mine][:, None])
+            mate = np.minimum(self.bounds[item][:, None] + place, len(self.words) - 1)
+            equal = inside & (words[np.clip(at, 0, len(words) - 1)] == self.words[mate])
+            for i in np.nonzero(equal.sum(axis=1) >= coverage * size[mine] - 1e-9)[0]:
+                yield int(text[i]), int(item[i]), int(first[i]), equal[i, : size[mine][i]]
+            start = stop
 
     def leaks(self, words, bounds, coverage, identity):
         """(text, item, start, end, equal, size): the best leak of each item in each text."""
         best = {}
-        for text, item, first in self.hits(words, bounds).tolist():
-            low, high = int(bounds[text]), int(bounds[text + 1])
-            start, end, equal, size = self.best_stretch(words, low, high, item, first)
-            if equal >= coverage * size and equal >= identity * (end - start):
-                key, found = (text, item), (equal, start - low, end - low, size)
-                if key not in best or (found[0], -found[1]) > (best[key][0], -best[key][1]):
-                    best[key] = found
-        return [(t, i, s, e, n, size) for (t, i), (n, s, e, size) in sorted(best.items())]
+        for text, item, first, equal in self._compared(words, bounds, coverage):
+            stretch = best_stretch(equal, coverage, identity)
+            if stretch:
+                start, end, number = stretch
+                low = first - int(bounds[text])
+                key, found = (text, item), (number, start - end, -low - start, start + low, end + low)
+                best[key] = max(best.get(key, found), found)
+        return [(t, i, s, e, n, int(self.sizes[i])) for (t, i), (n, _, _, s, e) in sorted(best.items())]
+
+
+def best_stretch(equal, coverage, identity):
+    """(start, end, equal words) of the stretch that meets both conditions with the most equal words, or None."""
+    total = np.r_[0, np.cumsum(equal)]
+    # A stretch has enough equal words if this does not fall along it.
+    lead = total - identity * np.arange(len(total))
+    floor = np.minimum.accumulate(lead)
+    # For every end the first start that will do; it has the most equal words.
+    start = np.searchsorted(-floor, -(lead + 1e-9), "left")
+    number = total - total[np.minimum(start, np.arange(len(total)))]
+    most = int(number.max())
+    if most == 0 or most < coverage * len(equal) - 1e-9:
+        return None
+    ends = np.nonzero(number == most)[0]
+    # Replaced words at either side don't belong to it.
+    spans = []
+    for end in ends.tolist():
+        places = np.nonzero(equal[start[end]: end])[0]
+        spans.append((int(places[-1] - places[0] + 1), int(start[end] + places[0])))
+    length, first = min(spans)
+    return first, first + length, most
 
 
 def _blocks(items: DataFrame, text):

@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from corpusqa.llm import decontaminate, licenses, queries, secrets, url_filter
@@ -97,6 +98,88 @@ def test_masks_hit_with_any_two_words_of_fourteen_replaced():
                 for m in decontaminate.MASKS for shift in range(14 - span + 1)), (a, b)
 
 
+def rule_leaks(docs, items, coverage=decontaminate.COVERAGE, identity=decontaminate.IDENTITY):
+    """{(doc, item): (equal, -length, -start)} by coverage and identity alone: every stretch at every offset."""
+    found = {}
+    for d, text in docs:
+        words = re.findall(WORD, (text or "").lower())
+        for i, passage in [(i, re.findall(WORD, (t or "").lower())) for i, t in items]:
+            for first in range(-len(passage) + 1, len(words)):
+                low, high = max(first, 0), min(first + len(passage), len(words))
+                same = [words[p] == passage[p - first] for p in range(low, high)]
+                if sum(same) < coverage * len(passage) - 1e-9:
+                    continue
+                for a in range(len(same)):
+                    for b in range(a + 1, len(same) + 1):
+                        equal = sum(same[a:b])
+                        if equal and equal >= coverage * len(passage) - 1e-9 and equal >= identity * (b - a) - 1e-9:
+                            found[d, i] = max(found.get((d, i), (0, 0, 0)), (equal, a - b, -low - a))
+    return found
+
+
+def test_leaks_equal_coverage_and_identity(spark):
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(300)]
+    items, docs = [], []
+    for i in range(150):
+        n = [18, 16, 20, 20, 40][i] if i < 5 else rng.randint(1, 30)
+        words = rng.choices(vocabulary, k=n)
+        items.append((i, " ".join(words)))
+        # Words in the middle, every fifth word, then as many as the rule allows at any places.
+        bad = [(8, 9), (7, 8), (10, 11), range(4, 20, 5), range(4, 40, 5)][i] if i < 5 else rng.sample(range(n), rng.randint(0, n // 5 + 1))
+        for at in bad:
+            words[at] = "other"
+        cut = rng.randint(0, n // 3) if i >= 5 else 0
+        docs.append((i, " ".join([*rng.choices(vocabulary, k=8), *words[cut:], *rng.choices(vocabulary, k=8)])))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.equal_words, r.start_word - r.end_word, -r.start_word) for r in decontaminate.leaks(d, b).collect()}
+    want = rule_leaks(docs, items)
+    assert got == want
+    assert {(i, i) for i in range(5)} <= set(want)
+
+
+def accepted(bits, n):
+    return any(
+        sum(bits[a:b]) >= decontaminate.COVERAGE * n - 1e-9 and sum(bits[a:b]) >= decontaminate.IDENTITY * (b - a) - 1e-9
+        for a in range(n) for b in range(a + 1, n + 1))
+
+
+@pytest.mark.parametrize("n", range(1, 16))
+def test_masks_of_short_passages_hit_every_leak(n):
+    masks = [[i for i, c in enumerate(m) if c == "1"] for m in decontaminate.masks_of(n)]
+    for number in range(1, 1 << n):
+        bits = [number >> i & 1 for i in range(n)]
+        if sum(bits) >= decontaminate.COVERAGE * n - 1e-9 and not any(
+                all(bits[s + i] for i in m) for m in masks for s in range(n - m[-1])):
+            assert not accepted(bits, n), bits
+
+
+def test_masks_of_long_passages_hit_every_leak():
+    """The best score of any stretch without a hit, whatever its length, by the last words and the number of equal ones."""
+    span, least = decontaminate.SPAN, 10
+    masks = [sum(1 << (len(m) - 1 - i) for i, c in enumerate(m) if c == "1") for m in map(str, decontaminate.masks_of(16))]
+    tails = np.arange(1 << (span - 1))
+    score = np.full((least + 1, len(tails)), -np.inf)
+    score[0, 0] = 0
+    for _ in range(400):
+        new = score.copy()
+        for bit, gain in ((0, decontaminate.MISMATCH), (1, 1)):
+            window = tails << 1 | bit
+            free = ~np.any([(window & m) == m for m in masks], axis=0)
+            moved = np.full_like(score, -np.inf)
+            np.maximum.at(moved.T, (window & (len(tails) - 1))[free], score.T[free] + gain)
+            if bit:
+                moved = np.vstack([np.full((1, len(tails)), -np.inf), moved[:-2], np.maximum(moved[-2:-1], moved[-1:])])
+            new = np.maximum(new, moved)
+        if (new == score).all():
+            break
+        score = new
+    else:
+        raise AssertionError("scores still grow")
+    assert score[least].max() < 0
+
+
 def test_leaks_on_edges(spark, edge_docs, no_docs):
     items = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "漢字")], "item_id long, text string")
     got = sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(edge_docs, items).collect())
