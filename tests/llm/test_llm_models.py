@@ -97,3 +97,27 @@ def test_rare_expressions_fall_back(spark):
     assert got[9000] == 1 and got[9001] == 0
     truth = dict(labels)
     assert np.mean([got[i] == truth[i] for i in truth]) > 0.98
+
+
+def test_words_before_are_counted(spark):
+    """Counts of different words before equal brute force however many there are, in classes and in the corpus."""
+    texts = [f"w{i % 3000} common w{i % 7} rare" for i in range(6000)] + ["common", None, ""]
+    docs = spark.createDataFrame([(t, i % 2, i // 2 % 2) for i, t in enumerate(texts)], "text string, label int, fold int").repartition(3)
+    names = ["common", "rare", "w0"]
+    hashes = toxicity._read(pa.array(names))[0]
+    words = np.sort(hashes)
+    sent = spark.sparkContext.broadcast((words, np.zeros(0, dtype=np.uint64)))
+    cut = [(t or "").split() for t in texts]
+    pairs = {(b, a) for w in cut for a, b in zip(["", *w], w)}
+    seen, total = toxicity._shared_counts(docs, "text", sent)
+    place = {n: int(np.searchsorted(words, h)) for n, h in zip(names, hashes)}
+    for n in names:
+        assert seen[place[n]] == len({p for p in pairs if p[0] == n})
+    assert total == len(pairs)
+    counts = toxicity._class_counts(docs, sent)
+    for fold in (0, 1):
+        for label in (0, 1):
+            mine = [w for i, w in enumerate(cut) if (i % 2, i // 2 % 2) == (label, fold)]
+            for n in names:
+                before = {a for w in mine for a, b in zip(["", *w], w) if b == n}
+                assert counts[fold, label, place[n]] == min(sum(n in w for w in mine), len(before))
