@@ -4,9 +4,11 @@ Runs of characters of one class, such as hexadecimal digits, are candidates. A
 window of fixed length slides over each; the counts of its characters change by
 one in and one out per step, and with them the Shannon entropy, kept as a sum of
 whole numbers so that no rounding adds up. Windows above the threshold of their
-class are merged to spans. A span is suppressed where an allow-list fits: examples
-and placeholders, plain words, alphabets in order, identifiers in UUID form, and
-patterns that the caller adds.
+class are merged to spans. An allow-list suppresses examples and placeholders, plain
+words, alphabets in order, identifiers in UUID form, and patterns that the caller
+adds: windows that touch what a pattern matches are not looked at, all others are. A
+pattern that begins with `^` speaks of the whole run or span: it suppresses a run where
+it matches, and a span where it matches all of it.
 
 Three base patterns, assignments, access keys and long hexadecimal numbers, are
 reported besides whatever their entropy. One look per text with a linear-time
@@ -101,7 +103,9 @@ class Scanner:
             for kind, p in BASE]
         self.window = window
         self.classes = [(kind, re.compile(f"[{chars}]{{{window},}}"), least) for kind, chars, least in classes]
-        self.allowed = [re.compile(a) for a in allowed]
+        whole = [bool(re.match(r"(?:\(\?[a-zA-Z]+\))?\^", a)) for a in allowed]
+        self.whole = [re.compile(a) for a, w in zip(allowed, whole) if w]
+        self.parts = [re.compile(a) for a, w in zip(allowed, whole) if not w]
         runs = "|".join(f"[{chars}]{{{window}}}" for _, chars, _ in classes)
         self.gate = f"(?i:password|passwd|secret|token|api_?key)[\"']?[ ]*[:=]|AKIA[A-Z0-9]{{16}}|[0-9a-f]{{24}}|{runs}"
 
@@ -113,16 +117,28 @@ class Scanner:
                     out.append((m.start(), kind, m.end()))
         return out
 
+    def looked_at(self, run):
+        """(start, end) of the parts of a run between what the allow-list matches."""
+        low = 0
+        for start, end in sorted(m.span() for a in self.parts for m in a.finditer(run)):
+            if end > start:
+                if start - low >= self.window:
+                    yield low, start
+                low = max(low, end)
+        if len(run) - low >= self.window:
+            yield low, len(run)
+
     def entropy_spans(self, text):
         out = []
         for kind, pattern, least in self.classes:
             for m in pattern.finditer(text):
                 run = m[0]
-                if any(a.search(run) for a in self.allowed):
+                if any(a.search(run) for a in self.whole):
                     continue
-                for start, end in hot_spans(run, self.window, least):
-                    if not any(a.search(run[start:end]) for a in self.allowed):
-                        out.append((m.start() + start, kind, m.start() + end))
+                for low, high in self.looked_at(run):
+                    for start, end in hot_spans(run[low:high], self.window, least):
+                        if not any(a.fullmatch(run[low + start: low + end]) for a in self.whole):
+                            out.append((m.start() + low + start, kind, m.start() + low + end))
         return out
 
     def scan(self, text):

@@ -249,6 +249,23 @@ def test_secrets_on_planted_texts(spark, edge_docs, edge_rows, no_docs):
     assert allowed.n_entropy < got[8][3]
 
 
+def test_allowed_parts_do_not_hide_the_rest_of_a_run(spark):
+    rng = random.Random(3)
+    key = "".join(rng.choices("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz23456789", k=40))
+    long = "".join(rng.choices("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz23456789", k=1600))
+    texts = [
+        f"/srv/example/{key}", f"{key}/sample_dummy", f"b3BlbnNzaC1rZXktdjEAAAAABG5vbmUAAAAEbm9uZQAAAAAAAAABAAAAMwAAAAtzc2gt{key}",
+        f"{long[:800]}zzzzzzzz{long[800:]}", f"{key}0123456789{key}", f"{key[:15]}example{key[:15]}"]
+    rows = secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    spans = {r.doc_id: [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("entropy_base64")] for r in rows}
+    for i, text in enumerate(texts):
+        runs = [(m.start(), m.end()) for a in ("example", "sample", "dummy", "0123456789", r"(.)\1{7}") for m in re.finditer(a, text)]
+        hot = {p for a in range(len(text) - secrets.WINDOW + 1) for p in range(a, a + secrets.WINDOW)
+               if entropy(text[a: a + secrets.WINDOW]) >= 3.75 - 1e-9 and all(e <= a or s >= a + secrets.WINDOW for s, e in runs)}
+        assert {p for a, b in spans[i] for p in range(a, b)} == hot
+        assert bool(hot) == (i != 5)
+
+
 # Licenses.
 
 def brute_licenses(text):
