@@ -1,5 +1,6 @@
 """Session helpers: shared scratch space and size-checked broadcasts."""
 
+import functools
 import tempfile
 import uuid
 
@@ -40,6 +41,12 @@ def local_session(cpus=8, **conf):
     return builder.getOrCreate()
 
 
+@functools.cache
+def _local_root() -> str:
+    """One temporary folder for sessions of this process on one machine."""
+    return tempfile.mkdtemp(prefix="corpusqa-")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path in the shared folder of the cluster.
 
@@ -50,8 +57,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="corpusqa-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        # The setting can't be changed in a running session.
+        root = _local_root()
     return f"{root.rstrip('/')}/corpusqa-{label}-{uuid.uuid4().hex}"
 
 

@@ -11,9 +11,9 @@ from corpusqa.session import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     # Few partitions: the inputs are tiny, and every task costs the same.
-    session = local_session(4, **{"spark.sql.shuffle.partitions": "3", "spark.default.parallelism": "3"})
+    session = local_session(4, **{
+        "spark.sql.shuffle.partitions": "3", "spark.default.parallelism": "3",
+        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
     session.sparkContext.setLogLevel("ERROR")
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
