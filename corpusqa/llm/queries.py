@@ -1,6 +1,9 @@
 """The registered queries over the given tables, with production parameters."""
 
-from . import decontaminate, exact_dedup, licenses, mixing, quality, secrets, sharding, simhash, toxicity, url_filter
+from . import (
+    decontaminate, exact_dedup, infilling, licenses, minhash, mixing, quality, resampling, secrets, sharding, simhash,
+    toxicity, url_filter,
+)
 
 QUERIES, ORACLES = {}, {}
 
@@ -110,3 +113,18 @@ select page_id, host, path, rule, coalesce(verdict, 'allow') verdict from fits w
 @query("op10_url_filter", URL_SQL)
 def op10_url_filter(spark, sf_dir):
     return url_filter.judge_urls(read(spark, sf_dir, "pages"), url_filter.rule_table(spark, URL_RULES))
+
+
+@query("op11_minhash_groups")
+def op11_minhash_groups(spark, sf_dir):
+    return minhash.near_duplicate_table(read(spark, sf_dir, "documents"))
+
+
+@query("op12_resample")
+def op12_resample(spark, sf_dir):
+    return resampling.resample_table(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op13_infill")
+def op13_infill(spark, sf_dir):
+    return infilling.infill_table(read(spark, sf_dir, "documents"))

@@ -16,8 +16,8 @@ a node keeps the bits that all below it share and that no node above keeps. A
 search carries the differences counted so far from a node to its children and
 drops a whole group as soon as they exceed `d`. All searches of a slice move down
 together as arrays. Links of a bucket are joined on the spot and sent as one row
-per fingerprint, never as all pairs; the components of the whole table follow by
-hooking each fingerprint to its smallest neighbour until nothing changes.
+per fingerprint, never as all pairs; the components of the whole table follow from
+those links.
 
 Defined results: null and empty texts, and texts without words, have fingerprint
 zero, which links like any other. A component is named by its smallest key; null
@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import write_and_read
+from .components import components
 from .words import slices
 
 SHINGLE_WORDS = 3
@@ -280,34 +281,6 @@ def bucket_links(prints: DataFrame, most=MAX_BITS, bucket_rows=BUCKET_ROWS) -> D
     return dealt.mapInArrow(_bucket_links(most), "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of `links` (a, b); equal roots where connected.
-
-    Each round hooks every node to its smallest neighbour, follows two hooks, and
-    goes on with the links that still join different nodes.
-    """
-    maps = []
-    links = write_and_read(links.where("a <> b").distinct(), "links")
-    while not links.isEmpty():
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to"))
-        hook = write_and_read(hook, "hooks")
-        second = hook.select(F.col("a").alias("to"), F.col("to").alias("root"))
-        step = write_and_read(hook.join(second, "to").select(F.col("a").alias("node"), "root"), "roots")
-        maps.append(step)
-        left = step.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-        right = step.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        moved = links.join(left, "a").join(right, "b").where("ra <> rb")
-        links = write_and_read(moved.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "links")
-    if not maps:
-        return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    out = maps[0]
-    for step in maps[1:]:
-        then = step.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        out = write_and_read(out.join(then, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "roots")
-    return out
-
-
 def near_duplicates(prints: DataFrame, key="doc_id", most=MAX_BITS, bucket_rows=BUCKET_ROWS) -> DataFrame:
     """Add `component_id` to a stored table of keys and fingerprints."""
     each = prints.groupBy("fingerprint").agg(F.min(key).alias("smallest"))

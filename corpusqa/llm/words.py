@@ -16,6 +16,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IN_WORD = np.zeros(256, dtype=bool)
 _IN_WORD[48:58] = _IN_WORD[97:123] = _IN_WORD[128:] = True
+# Another law for words: whatever stands between ASCII blanks.
+NO_BLANK = np.ones(256, dtype=bool)
+NO_BLANK[32] = NO_BLANK[9:14] = False
 
 
 def slices(batch, column="text", max_bytes=SLICE_BYTES):
@@ -87,10 +90,10 @@ def _hash_spans(data, starts, ends):
     return scramble(out)
 
 
-def words_of(array) -> Words:
+def words_of(array, in_word=_IN_WORD) -> Words:
     data, offsets = text_bytes(array)
     data = _LOWER[data]
-    inside = _IN_WORD[data]
+    inside = in_word[data]
     before = np.zeros(len(data), dtype=bool)
     before[1:] = inside[:-1]
     after = np.zeros(len(data), dtype=bool)

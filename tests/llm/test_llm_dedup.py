@@ -98,7 +98,7 @@ def test_simhash_on_edges(edge_docs, edge_rows, no_docs):
     assert simhash.near_duplicate_table(no_docs).count() == 0
 
 
-@pytest.mark.parametrize("bucket_rows", [50_000, 200])
+@pytest.mark.parametrize("bucket_rows", [50_000, 200, 30])
 def test_components_of_chains_and_balls(spark, bucket_rows):
     rng = np.random.default_rng(3)
     prints = [int(x) for x in rng.integers(0, 2**63, 200)]
