@@ -16,9 +16,12 @@ full sets of 64-bit hashes.
 A star says nothing of two members that are no copies of its centre. After the first
 components, a bucket is done if its members are in one component. In those left
 open, every member that is not with the centre is held against all members, in
-blocks of `BLOCK` times `BLOCK` whose bins are compared as arrays. What bins don't rule
-out is confirmed as before. So every two texts of a bucket are linked, known to be in
-one component, or found to be different.
+blocks of `BLOCK` times `BLOCK` whose bins are compared as arrays. Pairs that bins don't
+rule out join their texts to a family; a block sends no more of them than it has
+members. Within a family all texts of different components are compared as full sets,
+again in blocks, which send on only what joins two components. So every two texts of
+a bucket are linked, known to be in one component, or found to be different, and no
+step sends pairs that grow with the square of a group.
 
 Bins are taken to rule out the similarity if those that agree are `DEVIATIONS` standard
 deviations below what is expected: at 0.8, where 102 of 128 are expected, below 75.
@@ -40,7 +43,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import write_and_read
 from .components import components
-from .words import NO_BLANK, scramble, slices, words_of
+from .words import NO_BLANK, lengths, scramble, slices, words_of
 
 SHINGLE_WORDS = 5
 PERCENT = 80
@@ -49,8 +52,11 @@ BAND = 4
 DEVIATIONS = 6
 # Below this many runs, agreeing bins don't rule anything out.
 SMALL_SET = 64
-# Members that are compared with one centre, or with one block, by one group.
+# Members that are compared with one centre, or with one block, by one group; and runs of theirs that a task holds.
 BLOCK = 512
+BLOCK_RUNS = 1 << 20
+# Rows of bins that are handled together.
+CHUNK = 1 << 13
 PACKED_BYTES = 1 << 20
 # The number of a row beside a caller's columns.
 ROW = "corpusqa row"
@@ -231,11 +237,11 @@ def _confirmed(edges: DataFrame, texts: DataFrame, shingle, percent) -> DataFram
     return brought.select("a", "group", "role", "row", "bytes", "packed").mapInArrow(run, "a long, b long")
 
 
-def _open_pairs(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, percent) -> DataFrame:
-    """Likely pairs of buckets whose members are in several components, those with the centre left out.
+def _family_ties(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, percent) -> DataFrame:
+    """Ties (a, b) of buckets whose members are in several components: likely pairs, no more than join the members they tie.
 
     Members in the centre's component are known to be in one; every other is held
-    against all members, block by block.
+    against all members but the centre, block by block.
     """
     label = labels.select("node", "root")
     centre = labels.select(F.col("node").alias("centre"), F.col("root").alias("centre_root"))
@@ -253,37 +259,101 @@ def _open_pairs(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, percent
     members = left.select("key", every("s").alias("i"), block(F.col("m")).alias("j"), F.lit(1).alias("role"), "node", "root", "n", "bins")
     dealt = strays.unionByName(members).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "role")
 
-    def pairs(part):
-        role, node, root, n = (np.concatenate([p.column(c).to_numpy() for p in part]) for c in ("role", "node", "root", "n"))
-        bins = np.concatenate([_bins(p.column("bins")) for p in part])
-        member = np.nonzero(role)[0]
-        out = []
-        for q in np.nonzero(role == 0)[0]:
-            near = _may_link(n[q], n[member], _agreeing(bins[q], bins[member]), percent) & (root[member] != root[q])
-            other = node[member[near]]
-            out.append(np.stack([np.minimum(node[q], other), np.maximum(node[q], other)]))
-        found = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), dtype=np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
-
     def run(batches):
-        held, at = [], None
-        for batch in batches:
-            if batch.num_rows == 0:
+        for part, heads in _whole_groups(batches, ("key", "i", "j")):
+            role, node, root, n = (part.column(c).to_numpy() for c in ("role", "node", "root", "n"))
+            bins, out = _bins(part.column("bins")), []
+            for first, last in zip(heads[:-1], heads[1:]):
+                member = first + np.nonzero(role[first:last])[0]
+                joined = np.arange(last - first)
+                for q in first + np.nonzero(role[first:last] == 0)[0]:
+                    near = _may_link(n[q], n[member], _agreeing(bins[q], bins[member]), percent) & (root[member] != root[q])
+                    out += _join(joined, q - first, member[near] - first, node[first:last])
+            yield _links(out)
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _whole_groups(batches, names, column=None, most=PACKED_BYTES):
+    """Tables of whole groups with the bounds of each group; `most` rows, or bytes of a column, or one group."""
+
+    def cut(held):
+        table = pa.Table.from_batches(held).combine_chunks()
+        keys = [table.column(n).to_numpy() for n in names]
+        change = np.any([k[1:] != k[:-1] for k in keys], axis=0) if len(table) > 1 else np.zeros(0, dtype=bool)
+        return table, np.r_[0, np.nonzero(change)[0] + 1, len(table)]
+
+    held, size = [], 0
+    for batch in batches:
+        for part in slices(batch, column, most) if column else [batch]:
+            if part.num_rows == 0:
                 continue
-            key, i, j = (batch.column(c).to_numpy() for c in ("key", "i", "j"))
-            change = np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
-            heads = np.r_[np.nonzero(change)[0], len(key)]
+            held.append(part)
+            size += lengths(part.column(column)).sum() if column else part.num_rows
+            if size >= (most if column else CHUNK):
+                table, heads = cut(held)
+                # The last group may go on.
+                if len(heads) > 2:
+                    yield table.slice(0, heads[-2]), heads[:-1]
+                    held, size = table.slice(heads[-2]).to_batches(), 0
+    if held:
+        yield cut(held)
+
+
+def _join(joined, one, others, node):
+    """Join the groups of `one` and `others`, places in `joined`; the links that did it."""
+    out = []
+    for other in others[joined[others] != joined[one]]:
+        if joined[other] != joined[one]:
+            joined[joined == joined[other]] = joined[one]
+            out.append((node[one], node[other]))
+    return out
+
+
+def _links(pairs):
+    found = np.array(pairs, dtype=np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+
+def _family_links(families: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, shingle, percent) -> DataFrame:
+    """Links (a, b) that join different components within families, found on full sets."""
+    member = families.select("node", F.col("root").alias("family")).join(labels, "node", "left")
+    member = member.select("node", "family", F.coalesce("root", "node").alias("root")).join(nodes.select("node", "n", "bins"), "node")
+    member = write_and_read(member, "families")
+    blocks = member.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_RUNS)).cast("int").alias("blocks"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = member.join(blocks, "family").withColumn("mine", F.pmod(F.xxhash64("node", F.lit(9)), "blocks").cast("int")).withColumn("other", other)
+    dealt = dealt.select(
+        "family", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", F.col("node").alias("row"), "root", "n", "bins")
+    dealt = dealt.join(texts, "row").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "row")
+
+    def run(batches):
+        for part, heads in _whole_groups(batches, ("family", "i", "j"), "packed"):
+            row, root, n, i, j, mine = (part.column(c).to_numpy() for c in ("row", "root", "n", "i", "j", "mine"))
+            bins = _bins(part.column("bins"))
+            values, bounds = shingle_sets(_unpacked(part), shingle)
+            out = []
             for first, last in zip(heads[:-1], heads[1:]):
-                here = (key[first], i[first], j[first])
-                if held and here != at:
-                    yield pairs(held)
-                    held = []
-                at = here
-                held.append(batch.slice(first, last - first))
-        if held:
-            yield pairs(held)
+                joined = np.unique(root[first:last], return_inverse=True)[1]
+                ids = np.unique(values[bounds[first]: bounds[last]], return_inverse=True)[1]
+                ends = bounds[first: last + 1] - bounds[first]
+                size, mark = np.diff(ends), np.zeros(len(ids), dtype=bool)
+                # Two blocks are held against each other, one against itself.
+                left = np.arange(last - first) if i[first] == j[first] else np.nonzero(mine[first:last] == i[first])[0]
+                right = np.arange(last - first) if i[first] == j[first] else np.nonzero(mine[first:last] == j[first])[0]
+                for q in left:
+                    near = right[(joined[right] != joined[q]) & _may_link(n[first + q], n[first + right], _agreeing(bins[first + q], bins[first + right]), percent)]
+                    if not len(near):
+                        continue
+                    mark[ids[ends[q]: ends[q + 1]]] = True
+                    total = np.r_[0, np.cumsum(mark[ids])]
+                    mark[ids[ends[q]: ends[q + 1]]] = False
+                    both = (total[ends[1:]] - total[ends[:-1]])[near]
+                    near = near[100 * both >= percent * (size[near] + size[q] - both)]
+                    out += _join(joined, q, near, row[first:last])
+            yield _links(out)
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.select("family", "i", "j", "mine", "row", "root", "n", "bins", "bytes", "packed").mapInArrow(run, "a long, b long")
 
 
 def _grouped(rows: DataFrame, shingle, percent) -> DataFrame:
@@ -302,8 +372,8 @@ def _grouped(rows: DataFrame, shingle, percent) -> DataFrame:
     stars = write_and_read(_likely(stars, nodes, percent), "stars")
     links = write_and_read(_confirmed(stars, texts, shingle, percent), "links")
     labels = components(links)
-    rest = _open_pairs(buckets, labels, nodes, percent).join(stars, ["a", "b"], "left_anti")
-    rest = write_and_read(_confirmed(write_and_read(rest, "open"), texts, shingle, percent), "links")
+    families = components(_family_ties(buckets, labels, nodes, percent))
+    rest = write_and_read(_family_links(families, labels, nodes, texts, shingle, percent), "links")
     if not rest.isEmpty():
         labels = components(links.unionByName(rest))
     named = nodes.select("sum1", "sum2", "n", "node").join(labels, "node", "left")
