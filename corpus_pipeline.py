@@ -1,5 +1,9 @@
 """The training-data pipeline: documents to shards, one stage after another.
 
+Null texts are kept as empty ones by the first, third and fourth stage and are one
+near-duplicate group for the second; null keys, repeated rows and empty tables have
+the results that the operators state. Other columns are carried along as they are.
+
 Every stage takes the whole table that its predecessor kept and is written as
 Parquet before the next one reads it, so a lost executor costs one stage at most.
 Each calls one operator; documents that a stage rejects are gone from the table.
@@ -44,7 +48,7 @@ STAGES = [
     ("sharding", shard),
 ]
 
-# Fitted models and hashed searches have no SQL; tests compare the stages with brute force.
+# Fitted models and hashed searches have no SQL; tests compare the operators with brute force and the stages with their tables.
 ORACLE_SQL = None
 
 

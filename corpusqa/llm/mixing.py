@@ -141,9 +141,9 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, share=SHARE, epochs=MAX_EPOC
     """The mix itself: each document as often as it is taken."""
     sized = _sized(docs, seed)
     plan = sampling_plan(sized, source_targets(sized, weights, share, epochs))
-    plan = plan.select(F.col("source").alias("_source"), F.col("whole").alias("_whole"), F.col("limit").alias("_limit"))
-    numbered = docs.withColumn("_number", seeded_number(F.col("doc_id"), seed))
-    joined = numbered.join(plan, F.col("source").eqNullSafe(F.col("_source")))
-    times = copies("_whole", "_limit", "_number")
-    joined = joined.withColumn("_times", times).where("_times > 0")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)
+    plan = plan.select(F.col("source").alias("corpusqa source"), F.col("whole").alias("corpusqa whole"), F.col("limit").alias("corpusqa limit"))
+    numbered = docs.withColumn("corpusqa number", seeded_number(F.col("doc_id"), seed))
+    joined = numbered.join(plan, F.col("source").eqNullSafe(F.col("corpusqa source")))
+    times = copies("corpusqa whole", "corpusqa limit", "corpusqa number")
+    joined = joined.withColumn("corpusqa times", times).where(F.col("corpusqa times") > 0)
+    return joined.withColumn("corpusqa copy", F.explode(F.sequence(F.lit(1), F.col("corpusqa times").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -41,6 +41,8 @@ MAX_BITS = 3
 SEED = 42
 BUCKET_ROWS = 50_000
 FANOUT = 8
+# Columns beside a caller's.
+ROW, PRINT = "corpusqa row", "corpusqa print"
 # Shingles, and searches, that are handled together.
 CHUNK = 1 << 16
 # Nodes that searches may visit at one depth together; beyond it fewer go down at a time.
@@ -301,11 +303,11 @@ def near_duplicate_table(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, shingle=SHINGLE_WORDS, most=MAX_BITS) -> DataFrame:
     """The documents with one left of each component: its smallest doc_id, then the row read first."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    stored = write_and_read(with_fingerprint(numbered, shingle=shingle, into="_print"), "fingerprints")
-    at = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
-    narrow = stored.select(at.alias("at"), F.col("_print").alias("fingerprint"))
+    numbered = docs.withColumn(ROW, F.monotonically_increasing_id())
+    stored = write_and_read(with_fingerprint(numbered, shingle=shingle, into=PRINT), "fingerprints")
+    at = F.struct(F.col("doc_id").isNull(), "doc_id", ROW)
+    narrow = stored.select(at.alias("at"), F.col(PRINT).alias("fingerprint"))
     found = near_duplicates(narrow, "at", most)
-    kept = write_and_read(found.where(F.col("at") == F.col("component_id")).select(F.col("at._row").alias("_row")), "kept")
+    kept = write_and_read(found.where(F.col("at") == F.col("component_id")).select(F.col(f"at.`{ROW}`").alias(ROW)), "kept")
     # Kept rows grow with the table: the join is by shuffle at every size, whatever a small table would allow.
-    return stored.join(kept.hint("merge"), "_row", "left_semi").select(*docs.columns)
+    return stored.join(kept.hint("merge"), ROW, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

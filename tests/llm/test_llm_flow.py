@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 
 import corpus_pipeline
-from corpusqa.llm import mixing, sharding
+from corpusqa.llm import decontaminate, minhash, mixing, sharding, simhash, toxicity
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -133,6 +133,33 @@ def test_pipeline_stages_take_effect(spark):
     assert sorted(docs.collect()) == sorted(corpus_pipeline.run(spark, SF_DIR).collect())
 
 
+def test_stages_agree_with_the_tables_of_their_operators(spark):
+    """Each stage keeps what its operator's table says, computed anew from the stage's own input."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    tables = {
+        "toxicity": lambda d: {r.doc_id for r in toxicity.toxicity_table(d, spark.read.parquet(f"{SF_DIR}/labels.parquet")).collect() if not r.predicted},
+        "near_duplicates": lambda d: {r.component_id for r in simhash.near_duplicate_table(d).collect()},
+        "decontamination": lambda d: {r.doc_id for r in d.collect()} - {
+            r.doc_id for r in decontaminate.leaks(d, spark.read.parquet(f"{SF_DIR}/benchmark.parquet")).collect()},
+    }
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        want = tables[name](docs)
+        docs = mixing.write_and_read(stage(spark, docs, SF_DIR), name)
+        assert {r.doc_id for r in docs.collect()} == want, name
+    mixed = Counter(r.doc_id for r in corpus_pipeline.STAGES[3][1](spark, docs, SF_DIR).collect())
+    want = {r.doc_id: r.taken // r.size for r in mixing.mix_table(docs).collect() if r.size}
+    assert mixed == Counter({k: n for k, n in want.items() if n})
+
+
+def test_columns_with_any_name_are_kept(spark):
+    names = ["doc_id", "text", "source", "_source", "_row", "_print", "_toxicity", "_number", "_copy", "a b"]
+    docs = spark.createDataFrame([(i, f"some words of text {i} " * 5, "s", 1, 2, 3, 4, 5, 6, 7) for i in range(5)], names)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id long, toxic int")
+    for kept in (mixing.mix_documents(docs), simhash.keep_one(docs), minhash.keep_one(docs), toxicity.drop_toxic(docs, labels)):
+        assert kept.columns == names
+        assert {tuple(r)[3:] for r in kept.collect()} <= {(1, 2, 3, 4, 5, 6, 7)}
+
+
 def test_pipeline_on_edges(spark, edge_docs, no_docs):
     plain = ["doc_id", "text", "lang", "source", "n_chars"]
     for start in (edge_docs.select(*plain), no_docs.select(*plain)):

@@ -113,7 +113,8 @@ def test_words_before_are_counted(spark):
     place = {n: int(np.searchsorted(words, h)) for n, h in zip(names, hashes)}
     for n in names:
         assert seen[place[n]] == len({p for p in pairs if p[0] == n})
-    assert total == len(pairs)
+    # Words that no model knows are one word.
+    assert total == len({(n if n in names else None, before) for n, before in pairs})
     counts = toxicity._class_counts(docs, sent)
     for fold in (0, 1):
         for label in (0, 1):
@@ -121,3 +122,30 @@ def test_words_before_are_counted(spark):
             for n in names:
                 before = {a for w in mine for a, b in zip(["", *w], w) if b == n}
                 assert counts[fold, label, place[n]] == min(sum(n in w for w in mine), len(before))
+
+
+def test_fixed_phrase_of_toxic_texts(spark):
+    """Every toxic text starts with the same three words, which no ordinary text has."""
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(400)]
+    docs, labels = [], []
+    for i in range(1200):
+        text = list(rng.choice(words, 80))
+        if i % 6 == 0:
+            text = ["zorb", "flim", "quax", *text]
+        docs.append((i, " ".join(text)))
+        labels.append((i, int(i % 6 == 0)))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = toxicity.toxicity_table(d, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    held = [(r.predicted, r.doc_id % 6 == 0) for r in rows if r.held_out]
+    assert np.mean([p for p, t in held if t]) > 0.95
+    assert np.mean([p for p, t in held if not t]) < 0.02
+
+
+def test_codes_survive_packing():
+    rng = np.random.default_rng(0)
+    codes = np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64))
+    batch = toxicity._pack(codes, 7)
+    back = [toxicity._unpack(c.as_py(), p, 7) for p, c in zip(batch.column("part").to_pylist(), batch.column("codes"))]
+    assert (np.sort(np.concatenate(back)) == codes).all()
+    assert toxicity._pack(codes[:0], 7).num_rows == 0
