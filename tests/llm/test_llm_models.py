@@ -142,10 +142,21 @@ def test_fixed_phrase_of_toxic_texts(spark):
     assert np.mean([p for p, t in held if not t]) < 0.02
 
 
-def test_codes_survive_packing():
+@pytest.mark.parametrize("by_slot", [True, False])
+def test_packed_codes_are_counted(spark, by_slot):
+    """Different words beside each expression, over tasks that repeat each other's codes."""
     rng = np.random.default_rng(0)
-    codes = np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64))
-    batch = toxicity._pack(codes, 7)
-    back = [toxicity._unpack(c.as_py(), p, 7) for p, c in zip(batch.column("part").to_pylist(), batch.column("codes"))]
-    assert (np.sort(np.concatenate(back)) == codes).all()
-    assert toxicity._pack(codes[:0], 7).num_rows == 0
+    slots, names = rng.integers(0, 40, 30_000), rng.integers(0, 1 << 39, 3000)[rng.integers(0, 3000, 30_000)].astype(np.uint64)
+    codes = toxicity._codes(slots, names)
+
+    def send(batches):
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                held = toxicity._Held(7, by_slot)
+                yield from held.add(codes[i * 1000: i * 1000 + 4000])
+                yield held.sent()
+
+    got = toxicity._beside_counts(spark.range(0, 30, 1, 3).mapInArrow(send, "part int, codes binary"), 7, 41)
+    want = [len({(s, n) for s, n in zip(slots.tolist(), names.tolist()) if s == slot}) for slot in range(40)]
+    assert got.tolist() == [*want, 0]
+    assert toxicity._pack(codes[:0], 7, by_slot).num_rows == 0
