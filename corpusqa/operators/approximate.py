@@ -73,11 +73,17 @@ def train_centroids(chunks: DataFrame, cells, *, seed=42, max_iter=10) -> DataFr
 
     Each task reduces its vectors to local centres in one pass, one for every
     `SUMMARY_ROWS` of them and weighted by their number; k-means runs over
-    these. Every vector counts, whatever their number.
+    these. Every vector counts, whatever their number. There are no more cells
+    than different vectors.
     """
     vectors = chunks.where(F.col("embedding").isNotNull()).select("embedding")
     local = vectors.mapInArrow(_summaries(seed), "embedding array<double>, weight double")
+    if local.limit(2 * cells).count() < 2 * cells:
+        # Too few vectors to be reduced, some `2 * SUMMARY_ROWS` for each cell.
+        finite = F.forall("embedding", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
+        local = vectors.where(finite).select(F.col("embedding").cast("array<double>").alias("embedding"), F.lit(1.0).alias("weight"))
     local = write_and_read(local.withColumn("features", array_to_vector("embedding")).drop("embedding"), "centres")
+    cells = max(min(cells, local.select("features").distinct().limit(cells).count()), 1)
     model = KMeans(k=cells, seed=seed, maxIter=max_iter, initSteps=2, weightCol="weight").fit(local)
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     schema = T.StructType([

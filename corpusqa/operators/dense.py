@@ -8,9 +8,12 @@ wide columns of the winners afterwards.
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
-from .topk import SCORE_DIGITS, by_filter, in_blocks, scan_topk
+from ..session import write_and_read
+from .paired import paired_topk
+from .topk import SCORE_DIGITS, by_filter, scan_scores, scan_topk
 
 # Queries scored per pass over the collection.
 QUERY_BLOCK = 1024
@@ -52,7 +55,35 @@ def dense_topk(
         }
         return scan_topk(pruned, rows, queries.schema["query_id"].dataType, k, _inner_products, payload)
 
-    return in_blocks(queries, block, lambda rows: by_filter(rows, search))
+    few = queries.limit(block + 1).collect()
+    if len(few) <= block:
+        return by_filter(few, search)
+    # Stored, so that whatever makes the vectors runs once.
+    return paired_topk(
+        source, write_and_read(queries, "queries"), k, _inner_products, block=block, cell_col=cell_col, probes_col=probes_col)
+
+
+def nearest_chunks(chunks: DataFrame, vector, k=schemas.TOP_K, *, names=(), ministry=None) -> DataFrame:
+    """The best `k` chunks for one literal vector, with all columns, `score` and `rank`.
+
+    One job finds them, a scan that ends in an ordered limit; reading the result
+    is a scan for their ids, which reach the files as a predicate.
+    """
+    row = {"query_id": 0, "embedding": list(map(float, vector)), "names": list(names or ()), "ministry": ministry}
+    columns = [c for c in ("chunk_id", "embedding", "members", "ministry") if c in chunks.columns]
+    payload = {"vectors": np.asarray([row["embedding"]], dtype=np.float64), "cell_col": None, "probed": {}}
+    source = chunks.select(*columns).where(F.col("embedding").isNotNull())
+    scored = scan_scores(source, [row], T.IntegerType(), k, _inner_products, payload)
+    best = scored.orderBy(F.desc("score"), "chunk_id").limit(k).select("chunk_id", "score").collect()
+    # Should rows share an id, one of them gives the columns.
+    winners = chunks.where(F.col("chunk_id").isin([r["chunk_id"] for r in best])).dropDuplicates(["chunk_id"])
+
+    def of_id(values, kind):
+        pairs = [F.lit(x) for r, value in zip(best, values) for x in (r["chunk_id"], value)]
+        return F.element_at(F.create_map(*pairs), F.col("chunk_id")) if pairs else F.lit(None).cast(kind)
+
+    return winners.withColumns({
+        "score": of_id([r["score"] for r in best], "double"), "rank": of_id(range(1, len(best) + 1), "int")})
 
 
 def _inner_products(data, batch):

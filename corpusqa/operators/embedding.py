@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import schemas
 
@@ -26,26 +27,39 @@ def embed(
         [df.schema[c] for c in columns] + [T.StructField("embedding", T.ArrayType(T.FloatType(), False))]
     )
 
-    def run(frames):
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        import pyarrow as pa
+
         model = model_factory()
-        for frame in frames:
-            for start in range(0, len(frame), batch_size):
-                part = frame.iloc[start : start + batch_size]
-                vectors = np.asarray(model([prefix + t for t in part[text_col]]), dtype=np.float64)
+        for batch in batches:
+            for start in range(0, batch.num_rows, batch_size):
+                part = batch.slice(start, batch_size)
+                vectors = np.asarray(model([prefix + t for t in part.column(text_col).to_pylist()]), dtype=np.float64)
                 if normalize:
                     length = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
                     vectors = np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 0)
-                yield part[columns].assign(embedding=list(vectors.astype(np.float32)))
+                offsets = np.arange(0, vectors.size + 1, vectors.shape[1], dtype=np.int32)
+                made = pa.ListArray.from_arrays(offsets, vectors.astype(np.float32).reshape(-1), type=arrow.field("embedding").type)
+                kept = [part.column(c) for c in columns]
+                kept = [c if c.type == f.type else c.cast(f.type) for c, f in zip(kept, arrow)]
+                yield pa.RecordBatch.from_arrays([*kept, made], schema=arrow)
 
-    return df.select(*dict.fromkeys([*columns, text_col])).where(F.col(text_col).isNotNull()).mapInPandas(run, schema)
+    return df.select(*dict.fromkeys([*columns, text_col])).where(F.col(text_col).isNotNull()).mapInArrow(run, schema)
 
 
 def embed_queries(queries: DataFrame, model_factory, **options) -> DataFrame:
-    """Add `embedding` to the queries, with the query prefix and the same model; null for a null query."""
-    vectors = embed(
-        queries, model_factory, id_col="query_id", text_col="query", prefix=schemas.QUERY_PREFIX, **options
-    )
-    return queries.join(vectors, "query_id", "left")
+    """Add `embedding` to the queries, with the query prefix and the same model; null for a null query.
+
+    The columns travel with the texts, so rows are never paired by id: repeated
+    and null ids keep their own vectors.
+    """
+    fields = [c for c in queries.columns if c != "embedding"]
+    found = embed(
+        queries, model_factory, id_col=fields[0], keep=fields, text_col="query", prefix=schemas.QUERY_PREFIX, **options)
+    rest = queries.select(*fields).where(F.col("query").isNull()).withColumn("embedding", F.lit(None).cast(found.schema["embedding"].dataType))
+    return found.unionByName(rest)
 
 
 def hashing_model(dim=schemas.EMBED_DIM):

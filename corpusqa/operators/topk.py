@@ -92,7 +92,7 @@ class Filters:
     def of_rows(cls, rows):
         seen, numbers = {}, []
         for row in rows:
-            values = row.asDict()
+            values = row if isinstance(row, dict) else row.asDict()
             key = (tuple(values.get("names") or ()), values.get("ministry") or None)
             numbers.append(seen.setdefault(key, len(seen)))
         return cls(list(seen), np.asarray(numbers, dtype=np.int64))
@@ -190,8 +190,38 @@ class BestRows:
         )
 
 
+def fold_batch(best, limits, batch, parts):
+    """Fold the scored `parts` of an Arrow batch into `best`, filters applied."""
+    import pyarrow.compute as pc
+
+    ids = batch.column("chunk_id")
+    order = pc.array_sort_indices(ids).to_numpy()
+    places = np.empty(batch.num_rows, dtype=np.int64)
+    places[order] = np.arange(batch.num_rows)
+    gates = limits.gates(batch) if limits.active else None
+    for queries, index, scores in parts:
+        at = np.arange(batch.num_rows) if index is None else index
+        if gates is not None:
+            gate = gates if index is None else gates[:, index]
+            scores[~gate[limits.of_query[queries]]] = -np.inf
+        best.merge(queries, scores, at, ids, places)
+
+
+def found_schema(id_type, chunk_id_type):
+    return T.StructType([
+        T.StructField("query_id", id_type),
+        T.StructField("chunk_id", chunk_id_type),
+        T.StructField("score", T.DoubleType()),
+    ])
+
+
 def scan_topk(source: DataFrame, rows, id_type, k, score, payload) -> DataFrame:
-    """One pass over `source` for one block of query rows.
+    """One pass over `source` for one block of query rows, ranked per query."""
+    return rank_by_score(scan_scores(source, rows, id_type, k, score, payload), k)
+
+
+def scan_scores(source: DataFrame, rows, id_type, k, score, payload) -> DataFrame:
+    """The best `k` rows per query and task of one pass over `source` for one block of query rows.
 
     `score(payload, batch)` yields `(queries, index, scores)` for parts of an
     Arrow batch: query numbers, row numbers (or None for all
@@ -199,13 +229,9 @@ def scan_topk(source: DataFrame, rows, id_type, k, score, payload) -> DataFrame:
     applied to the scores before any row is dropped.
     """
     chunk_id_type = source.schema["chunk_id"].dataType
-    out = T.StructType([
-        T.StructField("query_id", id_type),
-        T.StructField("chunk_id", chunk_id_type),
-        T.StructField("score", T.DoubleType()),
-    ])
+    out = found_schema(id_type, chunk_id_type)
     if not rows:
-        return source.sparkSession.createDataFrame([], out).withColumn("rank", F.lit(1))
+        return source.sparkSession.createDataFrame([], out)
     filters = Filters.of_rows(rows)
     if filters.active:
         source = source.where(filters.pushed())
@@ -217,25 +243,12 @@ def scan_topk(source: DataFrame, rows, id_type, k, score, payload) -> DataFrame:
     arrow_id, arrow_chunk_id = to_arrow_type(id_type), to_arrow_type(chunk_id_type)
 
     def run(batches):
-        import pyarrow.compute as pc
-
         query_ids, distinct, of_query, data = sent.value
         limits = Filters(distinct, of_query)
         best = BestRows(len(query_ids), k)
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            ids = batch.column("chunk_id")
-            order = pc.array_sort_indices(ids).to_numpy()
-            places = np.empty(batch.num_rows, dtype=np.int64)
-            places[order] = np.arange(batch.num_rows)
-            gates = limits.gates(batch) if limits.active else None
-            for queries, index, scores in score(data, batch):
-                at = np.arange(batch.num_rows) if index is None else index
-                if gates is not None:
-                    gate = gates if index is None else gates[:, index]
-                    scores[~gate[limits.of_query[queries]]] = -np.inf
-                best.merge(queries, scores, at, ids, places)
+            if batch.num_rows:
+                fold_batch(best, limits, batch, score(data, batch))
         yield best.to_batch(query_ids, arrow_id, arrow_chunk_id)
 
-    return rank_by_score(source.mapInArrow(run, out), k)
+    return source.mapInArrow(run, out)

@@ -1,11 +1,12 @@
 """Retrieval in one call, and evaluation of a search over test cases."""
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from .. import schemas
 from ..operators import evaluation as ev
 from ..operators.approximate import IvfIndex, ivf_topk
-from ..operators.dense import dense_topk
+from ..operators.dense import dense_topk, nearest_chunks
 from ..operators.embedding import embed_queries
 from ..operators.entities import resolve_requests
 from ..operators.hybrid import hybrid_topk
@@ -54,6 +55,22 @@ def retrieve(
     return attach_chunks(search(rows, collection, k, **options), chunks.drop("embedding", "cell"))
 
 
+def retrieve_one(query, collection: DataFrame, model_factory, *, k=schemas.TOP_K, mp=None, ministry=None, aliases=None) -> DataFrame:
+    """The chunks for one request given as values, in rank order.
+
+    The vector is made on the driver; a member is expanded to all its spellings
+    where `aliases` is given. Nothing is stored on the way.
+    """
+    names = [mp] if mp else []
+    if mp and aliases is not None:
+        request = collection.sparkSession.createDataFrame([(0, query, mp, ministry)], "query_id int, query string, mp string, ministry string")
+        names = resolve_requests(request, aliases).first()["names"]
+    vector = np.asarray(model_factory()([schemas.QUERY_PREFIX + query]), dtype=np.float64)[0]
+    length = np.sqrt((vector * vector).sum())
+    vector = (vector / length if length > 0 else vector).astype(np.float32)
+    return nearest_chunks(collection, vector, k, names=names, ministry=ministry).drop("embedding").orderBy("rank").limit(k)
+
+
 def run_eval(cases: DataFrame, collection, model_factory, *, aliases: DataFrame, k=schemas.TOP_K, latency=None, **options):
     """Scores and judged chunks of all cases, unfiltered and filtered, as one batch.
 

@@ -263,3 +263,92 @@ def test_repeated_query_ids_are_all_read_once(spark, data):
 
     assert sorted(r["n"] for r in topk.in_blocks(queries, 7, search).collect()) == list(range(50))
     assert all(len(block) <= 7 for block in seen) and len(seen) == 8
+
+
+def test_queries_keep_their_vectors_whatever_their_ids(spark):
+    """Repeated and null ids, null texts, and columns beside them."""
+    queries = spark.createDataFrame(
+        [(1, "a", ["x"]), (1, "bb", None), (None, "ccc", []), (None, None, ["y"]), (1 << 60, "dddd", None)],
+        "query_id long, query string, names array<string>")
+    made = embedding.embed_queries(queries, lambda: (lambda texts: [[float(len(t)), 0.0] for t in texts]), normalize=False)
+    got = sorted((tuple(r) for r in made.select("query_id", "query", "names", "embedding").collect()), key=repr)
+    size = len("query: ")
+    assert got == sorted([
+        (1, "a", ["x"], [size + 1.0, 0.0]), (1, "bb", None, [size + 2.0, 0.0]), (None, "ccc", [], [size + 3.0, 0.0]),
+        (None, None, ["y"], None), (1 << 60, "dddd", None, [size + 4.0, 0.0])], key=repr)
+
+
+def test_many_queries_run_in_a_constant_number_of_jobs(spark, data):
+    """Beyond one block, queries are a table: more of them are no more jobs, and results stay those of one block."""
+    rows, chunks = data
+    rng = random.Random(3)
+    jobs = []
+    for n in (40, 400):
+        queries = spark.createDataFrame(
+            [(i, [rng.gauss(0, 1) for _ in range(4)], ["Member 3"] if i % 5 == 0 else None, f"src{i % 4}" if i % 3 == 0 else None) for i in range(n)],
+            "query_id int, embedding array<float>, names array<string>, ministry string").repartition(3)
+        spark.sparkContext.setJobGroup(f"many-{n}", "")
+        got = by_query(dense.dense_topk(chunks, queries, 7, block=16))
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"many-{n}")))
+        assert got == by_query(dense.dense_topk(chunks, queries, 7, block=10_000))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs[1] <= jobs[0]
+
+
+def clustered(spark):
+    """Vectors around a hundred centres, as texts of common subjects have them."""
+    rng = np.random.default_rng(0)
+    centres = rng.normal(size=(100, 32))
+    points = centres[rng.integers(0, 100, 3000)] + 0.3 * rng.normal(size=(3000, 32))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    return spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "chunk_id long, embedding array<float>").repartition(3)
+
+
+@pytest.mark.parametrize("given,nprobe", [(False, 8), (True, 32)])
+def test_cell_join_equals_blocks_and_recalls(spark, given, nprobe):
+    """Every twentieth vector against all, 64 cells: joined by cell as in one block, and near the exact lists.
+
+    The given vectors point in all directions alike, which cells serve worst.
+    """
+    vectors = clustered(spark)
+    if given:
+        vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").selectExpr("vec_id chunk_id", "embedding")
+    index = ann.write_ivf(ann.build_ivf(vectors, 64), scratch_path(spark, "test-ivf"))
+    queries = vectors.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id")
+    probing = ann.nearest_cells(queries, index.centroids, nprobe)
+    by_cells = [by_query(dense.dense_topk(index.collection, probing, 10, block=b, cell_col="cell", probes_col="cells")) for b in (16, 10_000)]
+    assert by_cells[0] == by_cells[1]
+    exact = by_query(dense.dense_topk(vectors, queries, 10))
+    found = by_query(ann.ivf_topk(index, queries, 10, nprobe=nprobe, block=16))
+    hits = [len({c for c, _ in found[q]} & {c for c, _ in exact[q]}) / len(exact[q]) for q in exact]
+    assert np.mean(hits) >= 0.9
+
+
+def test_few_vectors_make_few_cells(spark):
+    vectors = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(40)] + [(99, [float("nan"), 1.0])], "chunk_id int, embedding array<float>")
+    assert 1 <= ann.train_centroids(vectors, 16).count() <= 3
+
+
+def test_one_request_equals_a_batch(spark, data):
+    rows, chunks = data
+    for q, vector, names, ministry in QUERIES:
+        got = dense.nearest_chunks(chunks, vector, 10, names=names or (), ministry=ministry).orderBy("rank").collect()
+        assert [(r.chunk_id, round(r.score, 6)) for r in got] == dense_truth(rows, 10).get(q, [])
+        assert all(r.text is not None and r.rank == i + 1 for i, r in enumerate(got))
+
+
+def test_one_request_is_few_jobs(spark, data):
+    from corpusqa.plans.retrieve import retrieve, retrieve_one
+
+    _, chunks = data
+    model = embedding.hashing_model(4)
+    texts = chunks.drop("embedding")
+    stored = scratch_path(spark, "test-one")
+    embedding.embed(texts, model, keep=texts.columns).write.parquet(stored)
+    collection = spark.read.parquet(stored)
+    spark.sparkContext.setJobGroup("one", "")
+    found = [r.chunk_id for r in retrieve_one("rail and road", collection, model, k=5, ministry="src1").collect()]
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("one")) <= 3
+    spark.sparkContext.setJobGroup("", "")
+    batch = spark.createDataFrame([(1, "rail and road", "src1")], "query_id int, query string, ministry string")
+    assert found == [r.chunk_id for r in retrieve(batch, collection, model, k=5).orderBy("rank").collect()]
