@@ -5,7 +5,8 @@ short, or one over a grown corpus, continues where the tables stand.
 """
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators import incremental as inc
@@ -30,27 +31,49 @@ def chunk_step(corpus: DataFrame, path, **chunking) -> DataFrame:
     return corpus.sparkSession.read.schema(schemas.CHUNKS).parquet(path)
 
 
-def embed_step(chunks: DataFrame, path, model_factory, **options) -> DataFrame:
+class Counts(dict):
+    """Rows a step was given, wrote and skipped: filled by the write itself, with no scan of its own."""
+
+    def __init__(self):
+        self._seen = {name: Observation() for name in ("total", "new")}
+
+    def watch(self, df: DataFrame, name) -> DataFrame:
+        return df.observe(self._seen[name], F.count(F.lit(1)).alias("n"))
+
+    def done(self):
+        self.update({name: seen.get["n"] for name, seen in self._seen.items()})
+        self["skipped"] = self["total"] - self["new"]
+
+
+def embed_step(chunks: DataFrame, path, model_factory, *, counts: Counts | None = None, **options) -> DataFrame:
+    """Embed the chunks that have no vector yet; `counts` is filled if given."""
     spark = chunks.sparkSession
+    counts = Counts() if counts is None else counts
     done = read_or_empty(spark, path, schemas.EMBEDDINGS)
     # Copies that share an id are embedded once, and pairing stays one to one.
-    pending = inc.pending_chunks(chunks.select("chunk_id", "text"), done).dropDuplicates(["chunk_id"])
-    writers.append_embeddings(embed(pending, model_factory, **options), path)
+    texts = counts.watch(chunks.select("chunk_id", "text"), "total")
+    pending = inc.pending_chunks(texts, done).dropDuplicates(["chunk_id"])
+    writers.append_embeddings(counts.watch(embed(pending, model_factory, **options), "new"), path)
+    counts.done()
     return spark.read.schema(schemas.EMBEDDINGS).parquet(path)
 
 
-def index_step(chunks, embeddings, path, *, centroids=None, granularity="chunk", recreate=False) -> DataFrame:
-    """Append the embedded chunks the collection lacks; with centroids, by cell."""
+def index_step(
+    chunks, embeddings, path, *, centroids=None, granularity="chunk", recreate=False, counts: Counts | None = None,
+) -> DataFrame:
+    """Append the embedded chunks the collection lacks; with centroids, by cell. `counts` is filled if given."""
     spark = chunks.sparkSession
-    ready = inc.with_embeddings(chunks, embeddings)
+    counts = Counts() if counts is None else counts
+    ready = counts.watch(inc.with_embeddings(chunks, embeddings), "total")
     partition_by = ()
     if centroids is not None:
         ready, partition_by = assign_cells(ready, centroids), ("cell",)
     if recreate:
-        writers.drop_and_write_collection(ready.dropDuplicates(["chunk_id"]), path, partition_by=partition_by)
+        writers.drop_and_write_collection(counts.watch(ready.dropDuplicates(["chunk_id"]), "new"), path, partition_by=partition_by)
     else:
         known = read_or_empty(spark, path, ready.schema)
         # Copies that share an id are indexed once.
         left = inc.unindexed_chunks(ready, known, granularity=granularity).dropDuplicates(["chunk_id"])
-        writers.write_collection(left, path, partition_by=partition_by)
+        writers.write_collection(counts.watch(left, "new"), path, partition_by=partition_by)
+    counts.done()
     return spark.read.schema(ready.schema).parquet(path)

@@ -153,3 +153,18 @@ def test_questions_to_answers(spark, tmp_path, with_cells):
     assert {s["qa_id"] for s in answers[1]["sources"]} <= {"1", "4", "7"} and len(answers[1]["sources"]) == 4
     assert "MP Name: Shri 1" in answers[1]["prompt"] and "Ministry: M" in answers[2]["prompt"]
     assert answers[3]["sources"] is None and "STATISTICS" not in answers[3]["prompt"]
+
+
+def test_steps_count_what_they_do(spark, tmp_path):
+    """Two runs: the second skips what the first has done; copies of an id count as skipped."""
+    made = []
+    for ids in (range(4), range(7)):
+        chunks = corpus_to_chunks(corpus(spark, ids), size=80, overlap=10)
+        chunks = chunks.unionByName(chunks.where("qa_id = '0'"))
+        embedded, indexed = ingest.Counts(), ingest.Counts()
+        vectors = ingest.embed_step(chunks, str(tmp_path / "v"), MODEL, counts=embedded)
+        ingest.index_step(chunks, vectors, str(tmp_path / "c"), counts=indexed)
+        made.append((chunks.count(), chunks.select("chunk_id").distinct().count(), dict(embedded), dict(indexed)))
+    (total, new, *one), (more, all_ids, *two) = made
+    assert one == [{"total": total, "new": new, "skipped": total - new}] * 2
+    assert two == [{"total": more, "new": all_ids - new, "skipped": more - all_ids + new}] * 2

@@ -9,6 +9,7 @@ from corpusqa.operators import evidence as ev
 from corpusqa.operators import profiles as pr
 from corpusqa.plans import metadata
 from corpusqa.plans.evidence import evidence_for
+from corpusqa.sources import merge
 
 from .registry import registry
 from .views import aliases_of_registry_sql, strip_sql, table, view, with_views
@@ -110,6 +111,26 @@ def build_links(spark, sf_dir):
     return ent.build_links(view(spark, sf_dir, "corpus"), names, latest_first())
 
 
+def merged(spark, sf_dir):
+    """The metadata tables after two merges: the older documents, then the newer ones."""
+    corpus, registry = view(spark, sf_dir, "corpus"), view(spark, sf_dir, "registry")
+    root = session.scratch_path(spark, "merged")
+    newer = F.col("ord1") >= F.lit("1995-06-17").cast("date")
+    for part in (corpus.where(~newer), corpus.where(newer)):
+        merge.merge_metadata(part, registry, latest_first(), root)
+    return merge.read_metadata(spark, root)
+
+
+@query("merge_questions", ORACLES["build_questions"])
+def merge_questions(spark, sf_dir):
+    return merged(spark, sf_dir)[0]
+
+
+@query("merge_links", ORACLES["build_links"])
+def merge_links(spark, sf_dir):
+    return merged(spark, sf_dir)[1]
+
+
 @query("build_counts", with_views("corpus", "registry") + "," + aliases_of_registry_sql() + f"""
 select (select count(*) from corpus) as questions, count(*) as links,
        count(*) filter (where canonical is not null and canonical <> mp) as renamed

@@ -189,6 +189,35 @@ def dense_topk_many(spark, sf_dir):
     return ranked(dense.dense_topk(vectors(spark, sf_dir), queries, block=400)).drop("score")
 
 
+# Each passage asks twice under one id, and once without an id.
+@query("embed_repeated_ids", f"""with {HASHED}, asked as (
+  select item_id as query_id, item_id from hq union all select item_id, item_id from hq union all select null, item_id from hq)
+select query_id, count(*) as n, round(sum(embedding[1] + 2 * embedding[2]), 4) as checksum from asked join hq using (item_id) group by query_id""")
+def embed_repeated_ids(spark, sf_dir):
+    rows = passages(spark, sf_dir)
+    asked_rows = rows.unionByName(rows).unionByName(rows.withColumn("query_id", F.lit(None).cast("bigint")))
+    made = embedding.embed_queries(asked_rows, MODEL)
+    checksum = F.col("embedding")[0].cast("double") + 2 * F.col("embedding")[1].cast("double")
+    return made.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.sum(checksum), 4).alias("checksum"))
+
+
+# Two runs of the steps, the first over the documents that have a given vector, the second over all.
+@query("step_counts", """with n as (select count(*) as total, count(vec_id) as known from documents left join embeddings on doc_id = vec_id)
+select run, step, case when run = 1 then known else total end as total, case when run = 1 then known else total - known end as new,
+       case when run = 1 then 0 else known end as skipped
+from n, (select unnest([1, 2]) as run), (select unnest(['embed', 'index']) as step)""")
+def step_counts(spark, sf_dir):
+    chunks = doc_chunks(spark, sf_dir)
+    known = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("D"), F.col("vec_id")).alias("chunk_id"))
+    vectors, collection, rows = session.scratch_path(spark, "vectors"), session.scratch_path(spark, "collection"), []
+    for run, part in enumerate((chunks.join(known, "chunk_id", "left_semi"), chunks), 1):
+        counts = {"embed": ingest.Counts(), "index": ingest.Counts()}
+        made = ingest.embed_step(part, vectors, MODEL, counts=counts["embed"])
+        ingest.index_step(part, made, collection, counts=counts["index"])
+        rows += [(run, step, c["total"], c["new"], c["skipped"]) for step, c in counts.items()]
+    return spark.createDataFrame(rows, "run int, step string, total long, new long, skipped long")
+
+
 # ---- lexical and hybrid ------------------------------------------------
 
 def bm25_ctes(queries, where="true"):
