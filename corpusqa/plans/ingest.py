@@ -13,6 +13,7 @@ from ..operators import incremental as inc
 from ..operators.approximate import assign_cells
 from ..operators.chunking import corpus_to_chunks
 from ..operators.embedding import embed
+from ..session import observed
 from ..sources import writers
 
 
@@ -41,7 +42,7 @@ class Counts(dict):
         return df.observe(self._seen[name], F.count(F.lit(1)).alias("n"))
 
     def done(self):
-        self.update({name: seen.get["n"] for name, seen in self._seen.items()})
+        self.update({name: observed(seen, "n") for name, seen in self._seen.items()})
         self["skipped"] = self["total"] - self["new"]
 
 

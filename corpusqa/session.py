@@ -4,7 +4,8 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # Settings for a cluster, on top of its own sizing of executors. Scans of vectors
@@ -70,6 +71,14 @@ def write_and_read(df: DataFrame, label: str, partition_by=()) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def observed(seen: Observation, name) -> int:
+    """A count that an action has observed; 0 where Spark dropped the node, as no row could reach it."""
+    try:
+        return seen.get[name]
+    except Py4JJavaError:
+        return 0
+
+
 def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:
     """Mark `df` for broadcast if a count shows at most `max_rows` rows.
 

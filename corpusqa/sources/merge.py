@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators import entities as ent
-from ..session import write_and_read
+from ..session import observed, write_and_read
 
 PARTITION = ["lok_no", "session_no"]
 TABLES = {"questions": schemas.QUESTIONS, "question_mps": schemas.LINKS}
@@ -90,8 +90,8 @@ def merge_metadata(corpus: DataFrame, registry: DataFrame, order_cols, root) ->
         both = both.observe(written, F.count(F.lit(1)).alias("n"), F.count_if("is_new").alias("new")).drop("is_new")
         path = f"{root}/{name}/generation={generation}"
         both.hint("rebalance", *PARTITION).write.mode("overwrite").partitionBy(*PARTITION).parquet(path)
-        counts[name] = written.get["new"]
-        counts[f"replaced_{name}"] = found.get["n"] - (written.get["n"] - written.get["new"])
+        counts[name] = observed(written, "new")
+        counts[f"replaced_{name}"] = observed(found, "n") - (observed(written, "n") - counts[name])
     commit = partitions.alias("old").join(F.broadcast(touched.alias("new")), at, "left_anti").unionByName(
         touched.withColumn("generation", F.lit(generation).cast("long")))
     _commit(commit.withColumn("version", F.lit(generation).cast("long")), f"{root}/versions")

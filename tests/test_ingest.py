@@ -168,3 +168,11 @@ def test_steps_count_what_they_do(spark, tmp_path):
     (total, new, *one), (more, all_ids, *two) = made
     assert one == [{"total": total, "new": new, "skipped": total - new}] * 2
     assert two == [{"total": more, "new": all_ids - new, "skipped": more - all_ids + new}] * 2
+
+
+def test_steps_over_nothing(spark, tmp_path):
+    chunks = corpus_to_chunks(corpus(spark, []))
+    counts = ingest.Counts()
+    vectors = ingest.embed_step(chunks, str(tmp_path / "v"), MODEL, counts=counts)
+    assert ingest.index_step(chunks, vectors, str(tmp_path / "c")).count() == 0
+    assert counts == {"total": 0, "new": 0, "skipped": 0}
