@@ -1,5 +1,6 @@
 """Work left to do: joins against what is already embedded or indexed."""
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +10,18 @@ def pending_chunks(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
     return chunks.join(embeddings.select("chunk_id"), "chunk_id", "left_anti")
 
 
+def thin_copies(df: DataFrame, key="chunk_id") -> DataFrame:
+    """Keep one row per key of each Arrow batch, so that a key that many rows share is few rows in a shuffle."""
+
+    def run(batches):
+        for batch in batches:
+            coded = batch.column(key).dictionary_encode(null_encoding="encode")
+            first = np.unique(coded.indices.to_numpy(), return_index=True)[1]
+            yield batch.take(np.sort(first)) if len(first) < batch.num_rows else batch
+
+    return df.mapInArrow(run, df.schema)
+
+
 def unindexed_chunks(chunks: DataFrame, collection: DataFrame, *, granularity="chunk") -> DataFrame:
     """Chunks not in the collection yet.
 

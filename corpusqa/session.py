@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 # Settings for a cluster, on top of its own sizing of executors. Scans of vectors
 # hold a constant amount of memory per task, so larger splits mean fewer partial
 # results; Arrow batches count rows, so documents of megabytes want fewer of them.
+# The ids that a stream has seen are kept on the executors' disks, not in their heap.
 CLUSTER_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -20,6 +21,7 @@ CLUSTER_CONF = {
     "spark.sql.files.maxPartitionBytes": "512MB",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from corpusqa import schemas
 from corpusqa.operators import embedding
+from corpusqa.operators import incremental as inc
 from corpusqa.operators.chunking import corpus_to_chunks
 from corpusqa.operators.entities import asked_questions
-from corpusqa.plans import ask, ingest
+from corpusqa.plans import ask, bucketed, ingest
+from corpusqa.session import CLUSTER_CONF
 from corpusqa.sources import readers, writers
 from corpusqa.streaming import ingest as streaming
 
@@ -176,3 +178,75 @@ def test_steps_over_nothing(spark, tmp_path):
     vectors = ingest.embed_step(chunks, str(tmp_path / "v"), MODEL, counts=counts)
     assert ingest.index_step(chunks, vectors, str(tmp_path / "c")).count() == 0
     assert counts == {"total": 0, "new": 0, "skipped": 0}
+
+
+def test_stream_reads_no_earlier_batch_and_counts(spark, tmp_path, monkeypatch):
+    """Many batches: ids come from keyed state, kept on disk as on a cluster; repeats of a document are skipped."""
+    monkeypatch.setattr(streaming, "read_or_empty", lambda *_: pytest.fail("a batch read the stored ids"))
+    source, target, checkpoint = f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/check"
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(provider)
+    spark.conf.set(provider, CLUSTER_CONF[provider])
+    seen, batches = [], []
+    try:
+        for ids in ([0, 1], [1, 2, 3]):
+            for i in ids:
+                # Document 1 comes in both runs, and twice in a file.
+                corpus(spark, [i, i, 9]).coalesce(1).write.mode("append").parquet(source)
+            counts = streaming.StreamCounts()
+            query = streaming.ingest_stream(
+                spark, source, schemas.CORPUS, target, checkpoint, MODEL, files_per_batch=1, counts=counts, size=20, overlap=4)
+            query.awaitTermination()
+            seen.append(counts.total())
+            batches += counts.batches
+            spark.streams.removeListener(counts)
+    finally:
+        spark.conf.set(provider, old)
+    size = {i: corpus_to_chunks(corpus(spark, [i]), size=20, overlap=4).count() for i in (0, 1, 2, 3, 9)}
+    given = [sum(2 * size[i] + size[9] for i in ids) for ids in ([0, 1], [1, 2, 3])]
+    new = [size[0] + size[1] + size[9], size[2] + size[3]]
+    assert seen == [{"total": t, "new": n, "skipped": t - n} for t, n in zip(given, new)]
+    assert len(batches) == 5 and len({b["batch_id"] for b in batches}) == 5
+    stored = streaming.read_collection(spark, target)
+    assert stored.count() == sum(new) == stored.select("chunk_id").distinct().count()
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_bucketed_steps_shuffle_no_text_and_no_vector(spark, tmp_path):
+    bucketed.create_tables(spark, "ingest_test", buckets=4, location=str(tmp_path))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        done = []
+        for ids in (range(4), range(2, 7), range(7)):
+            # A third of the rows and more repeat one document.
+            docs = corpus(spark, [*ids, *[ids[0]] * len(ids)])
+            counts = [ingest.Counts() for _ in range(3)]
+            bucketed.add_chunks(docs, "ingest_test", counts=counts[0], size=20, overlap=4)
+            assert exchanges(bucketed.pending_texts(spark, "ingest_test", ingest.Counts())) == 0
+            bucketed.embed_pending(spark, "ingest_test", MODEL, counts=counts[1])
+            assert exchanges(bucketed.left_to_index(spark, "ingest_test", ingest.Counts())) == 0
+            bucketed.index_pending(spark, "ingest_test", counts=counts[2])
+            done.append([c["new"] for c in counts])
+        whole = corpus_to_chunks(corpus(spark, range(7)), size=20, overlap=4)
+        first = corpus_to_chunks(corpus(spark, range(4)), size=20, overlap=4).count()
+        assert done == [[first] * 3, [whole.count() - first] * 3, [0] * 3]
+        stored = spark.table("ingest_test_collection")
+        assert sorted(map(tuple, stored.select(*whole.columns).collect()), key=str) == sorted(map(tuple, whole.collect()), key=str)
+        vectors = {r[0]: r[1] for r in embedding.embed(whole, MODEL).collect()}
+        assert {r["chunk_id"]: r["embedding"] for r in stored.collect()} == vectors
+        assert bucketed.add_chunks(corpus(spark, []), "ingest_test").count() == whole.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        for table in bucketed.TABLES:
+            spark.sql(f"drop table if exists ingest_test_{table}")
+
+
+def test_copies_are_thinned_before_a_shuffle(spark):
+    rows = [("a", 1)] * 500 + [(None, 2)] * 300 + [("b", 3)]
+    thin = inc.thin_copies(spark.createDataFrame(rows, "chunk_id string, n int").coalesce(1))
+    assert sorted(map(tuple, thin.collect()), key=str) == [("a", 1), ("b", 3), (None, 2)]
+    assert inc.thin_copies(spark.createDataFrame([], "chunk_id string, n int")).count() == 0

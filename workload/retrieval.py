@@ -9,7 +9,7 @@ from corpusqa.operators import evaluation as ev
 from corpusqa.operators import rerank as rr
 from corpusqa.operators.evidence import source_rows as display_rows
 from corpusqa.plans import ask as ask_plan
-from corpusqa.plans import ingest, retrieve
+from corpusqa.plans import bucketed, ingest, retrieve
 from corpusqa.sources import readers, writers
 from corpusqa.streaming import ingest as streaming
 
@@ -575,6 +575,22 @@ def ingest_steps(spark, sf_dir):
     return chunk_rows(ingest.index_step(chunks, vectors_, f"{root}/collection"))
 
 
+@query("ingest_bucketed", INGESTED_SQL)
+def ingest_bucketed(spark, sf_dir):
+    root = session.scratch_path(spark, "bucketed")
+    name = f"ingest_{root.rsplit('-', 1)[-1]}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bucketed.create_tables(spark, name, buckets=buckets, location=root)
+    corpus = corpus_of(spark, sf_dir)
+    third = F.crc32(F.coalesce("id", F.lit(""))) % 3
+    # The corpus arrives in two parts that overlap.
+    for part in (corpus.where(third < 2), corpus.where(third > 0)):
+        bucketed.add_chunks(part, name)
+        bucketed.embed_pending(spark, name, MODEL)
+        bucketed.index_pending(spark, name)
+    return chunk_rows(spark.table(f"{name}_collection"))
+
+
 @query("stream_ingest", INGESTED_SQL)
 def stream_ingest(spark, sf_dir):
     root = session.scratch_path(spark, "stream")
