@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import functools
 import re
 from collections import Counter
 
@@ -268,6 +269,12 @@ def test_allowed_parts_do_not_hide_the_rest_of_a_run(spark):
 
 # Licenses.
 
+@functools.cache
+def compiled(pattern):
+    """More rules than `re` keeps compiled."""
+    return re.compile(pattern, re.A)
+
+
 def brute_licenses(text):
     words = re.findall(WORD, ascii_lower(text))
     places, base = [], set()
@@ -279,7 +286,7 @@ def brute_licenses(text):
     plain = " " + " ".join(words) + " "
     found = []
     for label, _, priority, confidence, pattern in licenses.RULES:
-        for m in re.finditer(f"(?<= )(?:{pattern})(?= )", plain, re.A):
+        for m in compiled(f"(?<= )(?:{pattern})(?= )").finditer(plain):
             found.append((plain[: m.start()].count(" ") - 1, plain[: m.end()].count(" "), priority, label, confidence))
     kept = [f for f in found if not any(
         g[0] <= f[0] and g[1] >= f[1] and g[2] >= f[2] and (g[:3] != f[:3]) for g in found)]
@@ -313,6 +320,41 @@ def test_licenses_on_planted_texts(spark, edge_docs, edge_rows, no_docs):
     assert len(licenses.RULES) > 300
 
 
+def test_every_license_rule_fits_a_text_as_it_is_written(spark):
+    """Tags, fields, grants and sentences in their written form; what users write for versions and short names."""
+    texts = [(line.split(" | ")[0], f"x\n# {line.split(' | ')[1]}.\ny") for line in licenses.NOTICES.strip().splitlines()]
+    for form in ("// SPDX-License-Identifier: {}", '"license": "{}",', "It is released under the {}."):
+        texts += [(re.sub("[^a-z0-9]+", "-", i.lower()).strip("-"), form.format(i)) for i in licenses.IDENTIFIERS]
+    texts += [
+        ("mit", "License: MIT"), ("mit", "released under MIT"), ("gpl-3", "This is GPLv3 code"), ("gpl-2-or-later", "GPLv2 or later"),
+        ("lgpl-2-1", "LGPLv2.1"), ("agpl-3", "AGPLv3"), ("gpl-3-or-later", "licensed under GPLv3 or any later"), ("apache-2", "Apache 2"),
+        ("cc-by-sa-4-0", "SPDX-License-Identifier: CC-BY-SA-4.0")]
+    docs = spark.createDataFrame(list(enumerate(t for _, t in texts)), "doc_id long, text string")
+    got = {r.doc_id: set(r.labels.split(",")) for r in licenses.license_table(docs).collect()}
+    assert [t for i, t in enumerate(texts) if t[0] not in got[i]] == []
+    sample = [i for i in range(len(texts)) if i % 7 == 0]
+    assert {i: got[i] for i in sample} == {i: set(brute_licenses(texts[i][1])[5].split(",")) for i in sample}
+
+
+def test_a_gate_fits_wherever_a_rule_does():
+    by_keyword = {}
+    for _, keyword, _, _, pattern in licenses.RULES:
+        by_keyword.setdefault(keyword, []).append(pattern)
+    texts = [" " + " ".join(re.findall(WORD, ascii_lower(line))) + " " for line in licenses.NOTICES.splitlines() + [n or "" for n in NOTICES]]
+    texts += [f" a gnu gpl{v} or later licensed under the mit gplv3 bsd 3 clause license {v} z " for v in ("", " version 2 0", " license v 3", "v2 0")]
+    for keyword, patterns in by_keyword.items():
+        one = re.compile(licenses.gate(patterns), re.A)
+        for text in texts:
+            assert bool(one.search(text)) == any(compiled(f" (?:{p}) ").search(text) for p in patterns), (keyword, text)
+    assert not re.search(licenses.gate(["gpl", "lgpl"]), " agpl ") and re.search(licenses.gate(["gpl", "lgpl"]), " lgpl ")
+
+
+def test_licenses_beside_columns_of_any_name(spark):
+    docs = spark.createDataFrame([("License: MIT", 1, 2, 3)], "text string, _words int, _starts int, _method int")
+    row = licenses.scan_licenses(docs).first()
+    assert (row["_words"], row["_starts"], row["_method"]) == (1, 2, 3) and row["license"]["labels"] == "mit"
+
+
 # URL rules.
 
 def brute_verdict(url, rules, default="allow"):
