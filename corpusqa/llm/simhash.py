@@ -43,10 +43,14 @@ BUCKET_ROWS = 50_000
 FANOUT = 8
 # Columns beside a caller's.
 ROW, PRINT = "corpusqa row", "corpusqa print"
+# Bytes of text that are worked on together: other tasks of an executor do so at the same time.
+TEXT_BYTES = 1 << 20
 # Shingles, and searches, that are handled together.
-CHUNK = 1 << 16
+CHUNK = 1 << 14
+# Fingerprints that a task holds before it searches their buckets, unless one bucket has more.
+HELD = 1 << 17
 # Nodes that searches may visit at one depth together; beyond it fewer go down at a time.
-VISITS = 1 << 21
+VISITS = 1 << 18
 
 
 def _fingerprint(text, size):
@@ -80,7 +84,7 @@ def with_fingerprint(df: DataFrame, text="text", shingle=SHINGLE_WORDS, into="fi
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, TEXT_BYTES):
                 texts = part.column(text).cast(pa.binary())
                 values = np.array([_fingerprint(t.as_py() or b"", shingle) for t in texts], dtype=np.uint64)
                 columns = [part.column(n) for n in names]
@@ -192,16 +196,21 @@ def _bucket_links(most):
         # One search per member; as many move down together as there is room for.
         everyone = np.arange(len(prints))
         linked, at, width = everyone, 0, CHUNK
+        found_by, found, waiting = [everyone], [linked], 0
         while at < len(prints):
             stop = min(at + width, len(prints))
             pairs = index.search(prints[at:stop], top[at:stop], most)
             if pairs is None:
                 width = max(1, width // 4)
                 continue
-            query, found = pairs[0] + at, pairs[1]
-            later = found > query
-            linked = _roots(len(prints), np.r_[everyone, query[later]], np.r_[linked, found[later]])
+            later = pairs[1] > pairs[0] + at
+            found_by.append(pairs[0][later] + at)
+            found.append(pairs[1][later])
+            waiting += len(found[-1])
             at, width = stop, min(CHUNK, 2 * width)
+            if waiting >= VISITS or at == len(prints):
+                linked = _roots(len(prints), np.concatenate(found_by), np.concatenate(found))
+                found_by, found, waiting = [everyone], [linked], 0
         keep = linked != np.arange(len(prints))
         return prints[keep], prints[linked[keep]]
 
@@ -213,7 +222,7 @@ def _bucket_links(most):
             held_b.append(batch.column("bucket").to_numpy())
             held_p.append(batch.column("fingerprint").to_numpy().view(np.uint64))
             rows += batch.num_rows
-            if rows < 4 * CHUNK:
+            if rows < HELD:
                 continue
             # The last bucket may go on in the next batch.
             b, p = np.concatenate(held_b), np.concatenate(held_p)

@@ -1,9 +1,11 @@
 """Block naming and SimHash against brute force."""
 
 import hashlib
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -128,3 +130,17 @@ def test_keep_one_leaves_one_row_of_each_component(edge_docs, edge_rows):
 def test_gray_rank_inverts_the_gray_code():
     n = np.arange(5000, dtype=np.uint64)
     assert (simhash.gray_rank(n ^ (n >> np.uint64(1))) == n).all()
+
+
+def test_bucket_search_holds_bounded_arrays():
+    """A crowded bucket, whose members are near many others, is searched in small steps."""
+    prints = np.random.default_rng(3).choice(1 << 18, 30_000, replace=False).astype(np.uint64)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(np.zeros(len(prints), dtype=np.int64)), pa.array(prints.view(np.int64))], names=["bucket", "fingerprint"])
+    tracemalloc.start()
+    found = list(simhash._bucket_links(3)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50 << 20
+    # Every fingerprint has others within three bits, all in one component.
+    assert sum(b.num_rows for b in found) == len(prints) - 1
