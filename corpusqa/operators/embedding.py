@@ -75,7 +75,7 @@ def hashing_model(dim=schemas.EMBED_DIM):
 
         word = re.compile(r"[^\W_]+")
 
-        @lru_cache(maxsize=1 << 18)
+        @lru_cache(maxsize=1 << 16)
         def place(term):
             digest = hashlib.md5(term.encode("utf-8")).hexdigest()
             return int(digest[:8], 16) % dim, 1.0 if int(digest[8], 16) % 2 == 0 else -1.0

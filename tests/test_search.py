@@ -6,9 +6,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from corpusqa.functions.batches import parts
 from corpusqa.operators import approximate as ann
 from corpusqa.operators import dense, embedding, hybrid, lexical, topk
 from corpusqa.session import scratch_path
@@ -352,3 +354,12 @@ def test_one_request_is_few_jobs(spark, data):
     spark.sparkContext.setJobGroup("", "")
     batch = spark.createDataFrame([(1, "rail and road", "src1")], "query_id int, query string, ministry string")
     assert found == [r.chunk_id for r in retrieve(batch, collection, model, k=5).orderBy("rank").collect()]
+
+
+def test_parts_of_a_batch():
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(["a" * 9, None, "b", "c" * 50, "d"]), pa.array([[1], None, [], [2, 3, 4], [5]])], names=["text", "list"])
+    assert [p.num_rows for p in parts(batch, "text", 10)] == [3, 1, 1]
+    assert [p.num_rows for p in parts(batch, "list", 2)] == [3, 1, 1]
+    assert [p.num_rows for p in parts(batch.slice(3), "text", 10)] == [1, 1]
+    assert not list(parts(batch.slice(0, 0), "text", 10))
