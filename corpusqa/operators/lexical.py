@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions import text as tx
+from ..functions.batches import parts
 from .topk import SCORE_DIGITS, by_filter, in_blocks, scan_topk
 
 # The usual BM25 parameters.
@@ -31,7 +32,9 @@ GATHERED_SHARE = 0.25
 # Queries scored per pass over the collection.
 QUERY_BLOCK = 1024
 # Entries of the score matrix, and of the matches behind it, held at once by a task.
-SCORE_CELLS = 4_000_000
+SCORE_CELLS = 500_000
+# Terms of a batch that are looked up together.
+TERMS = 1 << 17
 
 
 @dataclass
@@ -52,10 +55,11 @@ class ChunkScan:
             found = np.zeros(len(value_set), dtype=np.int64)
             chunks = length = 0
             for batch in batches:
-                rows, numbers, lengths = _lookup(batch.column("terms"), value_set)
-                chunks, length = chunks + batch.num_rows, length + int(lengths.sum())
-                pairs = np.unique(rows * len(value_set) + numbers)
-                found += np.bincount(pairs % max(len(value_set), 1), minlength=len(value_set))
+                for part in parts(batch, "terms", TERMS):
+                    rows, numbers, lengths = _lookup(part.column("terms"), value_set)
+                    chunks, length = chunks + part.num_rows, length + int(lengths.sum())
+                    pairs = np.unique(rows * len(value_set) + numbers)
+                    found += np.bincount(pairs % max(len(value_set), 1), minlength=len(value_set))
             present = np.nonzero(found)[0]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([-2, -1, *present], type=pa.int32()), pa.array([chunks, length, *found[present]], type=pa.int64())],
@@ -160,7 +164,7 @@ def _postings(documents):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        for batch in batches:
+        for batch in (part for batch in batches for part in parts(batch, "terms", TERMS)):
             column = batch.column("terms")
             lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             words = pc.dictionary_encode(column.flatten())
@@ -225,7 +229,7 @@ def bm25_topk(source, queries: DataFrame, k=schemas.TOP_K, *, block=QUERY_BLOCK)
                 "starts": np.cumsum([0] + [len(u) for u in users]),
                 "users": np.asarray([q for u in users for q in u], dtype=np.int64),
             }
-            return scan_topk(matching, part, queries.schema["query_id"].dataType, k, _bm25, payload)
+            return scan_topk(matching, part, queries.schema["query_id"].dataType, k, _bm25, payload, cut=lambda batch: parts(batch, "terms", TERMS))
 
         return by_filter(rows, scan)
 

@@ -215,18 +215,19 @@ def found_schema(id_type, chunk_id_type):
     ])
 
 
-def scan_topk(source: DataFrame, rows, id_type, k, score, payload) -> DataFrame:
+def scan_topk(source: DataFrame, rows, id_type, k, score, payload, cut=None) -> DataFrame:
     """One pass over `source` for one block of query rows, ranked per query."""
-    return rank_by_score(scan_scores(source, rows, id_type, k, score, payload), k)
+    return rank_by_score(scan_scores(source, rows, id_type, k, score, payload, cut), k)
 
 
-def scan_scores(source: DataFrame, rows, id_type, k, score, payload) -> DataFrame:
+def scan_scores(source: DataFrame, rows, id_type, k, score, payload, cut=None) -> DataFrame:
     """The best `k` rows per query and task of one pass over `source` for one block of query rows.
 
     `score(payload, batch)` yields `(queries, index, scores)` for parts of an
     Arrow batch: query numbers, row numbers (or None for all
     rows), and a score matrix with `-inf` for what cannot match. Filters are
-    applied to the scores before any row is dropped.
+    applied to the scores before any row is dropped. `cut(batch)` yields parts of a
+    batch that are scored one after another, where its rows may be large.
     """
     chunk_id_type = source.schema["chunk_id"].dataType
     out = found_schema(id_type, chunk_id_type)
@@ -248,7 +249,8 @@ def scan_scores(source: DataFrame, rows, id_type, k, score, payload) -> DataFram
         best = BestRows(len(query_ids), k)
         for batch in batches:
             if batch.num_rows:
-                fold_batch(best, limits, batch, score(data, batch))
+                for part in cut(batch) if cut else [batch]:
+                    fold_batch(best, limits, part, score(data, part))
         yield best.to_batch(query_ids, arrow_id, arrow_chunk_id)
 
     return source.mapInArrow(run, out)

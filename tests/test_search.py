@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -356,6 +357,17 @@ def test_one_request_is_few_jobs(spark, data):
     assert found == [r.chunk_id for r in retrieve(batch, collection, model, k=5).orderBy("rank").collect()]
 
 
+def test_terms_are_scored_in_parts_of_bounded_size():
+    words = [f"w{i}" for i in range(100)]
+    batch = pa.RecordBatch.from_arrays([pa.array([words] * 6_000)], names=["terms"])
+    data = {"terms": words, "idf": np.ones(100), "avgdl": 100.0, "queries": 100, "starts": np.arange(101), "users": np.arange(100)}
+    tracemalloc.start()
+    seen = sum(len(index) for part in parts(batch, "terms", lexical.TERMS) for _, index, _ in lexical._bm25(data, part))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == 6_000 and peak < 50 << 20
+
+
 def test_parts_of_a_batch():
     batch = pa.RecordBatch.from_arrays(
         [pa.array(["a" * 9, None, "b", "c" * 50, "d"]), pa.array([[1], None, [], [2, 3, 4], [5]])], names=["text", "list"])
