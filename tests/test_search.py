@@ -357,6 +357,18 @@ def test_one_request_is_few_jobs(spark, data):
     assert found == [r.chunk_id for r in retrieve(batch, collection, model, k=5).orderBy("rank").collect()]
 
 
+def test_many_queries_stay_off_the_driver(spark):
+    """Stored queries look small; the copies of them that meet the collection are not."""
+    rows = [(i, [float((i * j) % 7 - 3) for j in range(1, 9)]) for i in range(300)]
+    points = spark.createDataFrame(rows, "chunk_id long, embedding array<float>")
+    found = dense.dense_topk(points, points.withColumnRenamed("chunk_id", "query_id"), 5, block=20)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    vectors = np.array([v for _, v in rows])
+    scores = vectors @ vectors.T
+    want = {(q, c) for q in range(300) for c in sorted(range(300), key=lambda c: (-scores[q, c], c))[:5]}
+    assert {(r.query_id, r.chunk_id) for r in found.collect()} == want
+
+
 def test_terms_are_scored_in_parts_of_bounded_size():
     words = [f"w{i}" for i in range(100)]
     batch = pa.RecordBatch.from_arrays([pa.array([words] * 6_000)], names=["terms"])
