@@ -160,3 +160,11 @@ def test_packed_codes_are_counted(spark, by_slot):
     want = [len({(s, n) for s, n in zip(slots.tolist(), names.tolist()) if s == slot}) for slot in range(40)]
     assert got.tolist() == [*want, 0]
     assert toxicity._pack(codes[:0], 7, by_slot).num_rows == 0
+
+
+def test_every_labelled_row_teaches_toxicity(spark):
+    docs = spark.range(120_000).selectExpr("id as doc_id", "'a text' as text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id < 10 as int) as toxic")
+    wanted = sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(120_000))
+    assert wanted > 50_000
+    assert toxicity.labelled_rows(docs, labels).count() == wanted
