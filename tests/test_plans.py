@@ -41,6 +41,13 @@ def test_relational_queries_have_no_python_and_no_cross_join(spark, name):
     assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 
+@pytest.mark.parametrize("name", [
+    "member_profile_breakdowns", "member_profile_top_ministries", "overlap_profile_types", "overlap_profile_text",
+])
+def test_profiles_of_many_keys_are_counted_in_bounded_tasks(spark, name):
+    assert "REPARTITION_BY_NUM" in planned(spark, name)
+
+
 def test_a_first_rows_read_keeps_only_these(spark):
     text = planned(spark, "first_documents")
     assert "TakeOrderedAndProject" not in text and "Sort [text" not in text

@@ -1,5 +1,7 @@
 """Profiles and evidence text on hand-made tables."""
 
+from pyspark.sql import functions as F
+
 from corpusqa.operators import evidence as ev
 from corpusqa.operators import entities as ent
 from corpusqa.operators import profiles as pr
@@ -146,3 +148,25 @@ def test_equal_counts_keep_newest_first(spark):
     links = questions.selectExpr("lok_no", "session_no", "ques_no", "type", "'X' mp_name")
     top = pr.member_profiles(ent.asked_questions(questions, links)).first()["by_ministry"]
     assert [t["key"] for t in top] == ["M", "A", "Z"]
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def test_rows_go_to_tasks_of_bounded_size(spark, monkeypatch):
+    """The same profiles, null keys and repeated links included, from as many tasks as the rows ask for."""
+    monkeypatch.setattr(pr, "ROWS_PER_TASK", 2)
+    _, asked = tables(spark)
+    asked = asked.unionByName(asked.withColumn("mp_name", F.lit(None).cast("string")))
+    parts = pr.parts_of(asked)
+    assert parts == 6 and pr.parts_of(asked.limit(0)) == spark.sparkContext.defaultParallelism
+    for keys in (["mp_name"], ["mp_name", "ministry"]):
+        fine = pr.fine_counts(asked, keys, parts=parts)
+        assert fine.rdd.getNumPartitions() == pr.breakdowns(fine, keys, parts=parts).rdd.getNumPartitions() == parts
+        assert rows_of(pr.breakdowns(fine, keys, parts=parts)) == rows_of(pr.breakdowns(pr.fine_counts(asked, keys), keys))
+        assert rows_of(pr.recent_questions(asked, keys, parts=parts)) == rows_of(pr.recent_questions(asked, keys))
+    top = pr.top_categories(asked, ["mp_name"], "ministry", parts=parts)
+    assert rows_of(top) == rows_of(pr.top_categories(asked, ["mp_name"], "ministry"))
+    assert rows_of(pr.member_profiles(asked, parts=parts)) == rows_of(pr.member_profiles(asked))
+    assert rows_of(pr.overlap_profiles(asked, parts=parts)) == rows_of(pr.overlap_profiles(asked))

@@ -22,7 +22,7 @@ def asked(spark, sf_dir):
 
 
 def stored_asked(spark, sf_dir):
-    """The join as a stored table, for profiles that read it several times."""
+    """The join as a stored table, for profiles that read it several times or go by its number of rows."""
     return session.write_and_read(asked(spark, sf_dir), "asked")
 
 
@@ -174,7 +174,9 @@ def breakdown_rows(profile, key):
 
 @query("member_profile_breakdowns", breakdown_sql("asked", "mp_name"))
 def member_profile_breakdowns(spark, sf_dir):
-    return breakdown_rows(pr.breakdowns(pr.fine_counts(asked(spark, sf_dir), ["mp_name"]), ["mp_name"]), "mp_name")
+    rows, keys = stored_asked(spark, sf_dir), ["mp_name"]
+    parts = pr.parts_of(rows)
+    return breakdown_rows(pr.breakdowns(pr.fine_counts(rows, keys, parts=parts), keys, parts=parts), "mp_name")
 
 
 @query("member_profile_top_ministries", PROFILES + """
@@ -183,7 +185,8 @@ select mp_name, rank, ministry as key, count from (
          row_number() over (partition by mp_name order by count(*) desc, max(date || lpad(cast(ques_no as varchar), 12, '0')) desc, ministry) as rank
   from asked group by mp_name, ministry) where rank <= 15""")
 def member_profile_top_ministries(spark, sf_dir):
-    return pr.top_categories(asked(spark, sf_dir), ["mp_name"], "ministry")
+    rows = stored_asked(spark, sf_dir)
+    return pr.top_categories(rows, ["mp_name"], "ministry", parts=pr.parts_of(rows))
 
 
 RECENT_SQL = """
@@ -222,8 +225,9 @@ select mp_name, ministry, cast(sum(count(*)) over (partition by mp_name, ministr
        type as key, count(*) as count
 from asked group by mp_name, ministry, type""")
 def overlap_profile_types(spark, sf_dir):
-    keys = ["mp_name", "ministry"]
-    rows = pr.breakdowns(pr.fine_counts(asked(spark, sf_dir), keys), keys)
+    rows, keys = stored_asked(spark, sf_dir), ["mp_name", "ministry"]
+    parts = pr.parts_of(rows)
+    rows = pr.breakdowns(pr.fine_counts(rows, keys, parts=parts), keys, parts=parts)
     return rows.select(*keys, "total_questions", F.inline("by_type"))
 
 
@@ -297,7 +301,8 @@ ot as (select a.mp_name, a.ministry, '=== OVERLAP: ' || a.mp_name || ' × ' || a
 
 @query("member_profile_text", PROFILES + "," + text_ctes("", 10) + " select mp_name, body as profile from mt")
 def member_profile_text(spark, sf_dir):
-    return pr.member_profiles(stored_asked(spark, sf_dir)).select("mp_name", ev.member_text().alias("profile"))
+    rows = stored_asked(spark, sf_dir)
+    return pr.member_profiles(rows, parts=pr.parts_of(rows)).select("mp_name", ev.member_text().alias("profile"))
 
 
 @query("ministry_profile_text", PROFILES + "," + text_ctes("", 10) + " select ministry, body as profile from dt")
@@ -308,7 +313,9 @@ def ministry_profile_text(spark, sf_dir):
 
 @query("overlap_profile_text", PROFILES + "," + OVERLAP_CTE + " select mp_name, ministry, body as profile from ot")
 def overlap_profile_text(spark, sf_dir):
-    return pr.overlap_profiles(asked(spark, sf_dir)).select("mp_name", "ministry", ev.overlap_text().alias("profile"))
+    rows = stored_asked(spark, sf_dir)
+    profiles = pr.overlap_profiles(rows, parts=pr.parts_of(rows))
+    return profiles.select("mp_name", "ministry", ev.overlap_text().alias("profile"))
 
 
 @query("question_list_text", PROFILES + f"""
