@@ -31,9 +31,10 @@ def evidence_for(
     named = write_and_read(questions.join(ministries.select("ministry"), "ministry", "left_semi"), "questions")
     by_member = rows.where("_by_member").drop("_by_member", "_by_ministry")
     by_ministry = rows.where("_by_ministry").drop("_by_member", "_by_ministry")
+    parts = pr.parts_of(rows)
     return evidence_packets(
         requests,
-        pr.member_profiles(by_member, top_q=top_q),
+        pr.member_profiles(by_member, top_q=top_q, parts=parts),
         pr.ministry_profiles(named, by_ministry, top_q=top_q),
         pr.overlap_profiles(by_member.join(pairs, ["mp_name", "ministry"], "left_semi"), top_q=top_q),
         top_q=top_q,
