@@ -52,15 +52,22 @@ def keyed_questions(df: DataFrame) -> DataFrame:
 
 def member_array(df: DataFrame, col="members") -> Column:
     """Member names, stripped, blanks dropped, from an array or a comma-joined string."""
+    return F.filter(F.transform(_listed(df, col), tx.strip), lambda name: name != "")
+
+
+def _listed(df: DataFrame, col) -> Column:
+    """The members as listed, from an array or a comma-joined string."""
     names = F.col(col)
-    if not isinstance(df.schema[col].dataType, T.ArrayType):
-        names = F.split(names, ",")
-    return F.filter(F.transform(names, tx.strip), lambda name: name != "")
+    return names if isinstance(df.schema[col].dataType, T.ArrayType) else F.split(names, ",")
 
 
 def explode_members(df: DataFrame, col="members", out="mp") -> DataFrame:
-    """One row per named member; documents without members drop out."""
-    return df.withColumn(out, F.explode(member_array(df, col))).drop(col)
+    """One row per named member; documents without members drop out.
+
+    Names are stripped as rows: functions over arrays are interpreted, not compiled.
+    """
+    rows = df.withColumn(out, F.explode(_listed(df, col))).drop(col)
+    return rows.withColumn(out, tx.strip_short(F.col(out))).where(F.col(out) != "")
 
 
 def members_filter(names, col="members") -> Column:

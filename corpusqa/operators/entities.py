@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import text as tx
 from ..session import broadcast_within
-from .documents import clean_question_fields, keyed_questions, member_array
+from .documents import clean_question_fields, explode_members, keyed_questions
 
 KEY = schemas.QUESTION_KEY
+# For sorts: Spark compares the first column fast, and the other way round it is the same in most rows.
+SORT_KEY = ["ques_no", "session_no", "lok_no", "type"]
 
 # Above this many names the lookup runs as a shuffle join instead.
 MAX_BROADCAST_NAMES = 500_000
@@ -81,7 +83,7 @@ def latest_questions(corpus: DataFrame, order_cols) -> DataFrame:
     key repeated in many rows sends one row per task.
     """
     rows = keyed_questions(corpus)
-    window = Window.partitionBy(*KEY).orderBy(*order_cols)
+    window = Window.partitionBy(*SORT_KEY).orderBy(*order_cols)
     winners = (
         rows.where(F.col("type").isNotNull())
         .withColumn("_rank", F.row_number().over(window))
@@ -114,7 +116,7 @@ def build_links(corpus: DataFrame, names: DataFrame, order_cols) -> DataFrame:
 
 
 def links_of(latest: DataFrame, names: DataFrame) -> DataFrame:
-    mentions = latest.select(*KEY, F.explode(member_array(latest)).alias("mp"))
+    mentions = explode_members(latest.select(*KEY, "members"))
     return _with_canonical(mentions, names).select("lok_no", "session_no", "ques_no", "type", "mp_name")
 
 
@@ -123,7 +125,7 @@ def build_counts(corpus: DataFrame, names: DataFrame) -> DataFrame:
     rows = keyed_questions(corpus)
     # Counted per name before the lookup, so a frequent name is one row in it.
     mentions = _with_canonical(
-        rows.select(F.explode(member_array(rows)).alias("mp"))
+        explode_members(rows.select("members"))
         .groupBy("mp").agg(F.count("*").alias("mentions")),
         names,
     )

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusqa import schemas
+from corpusqa.operators import documents as docs
 from corpusqa.operators import entities as ent
 from corpusqa.sources import merge
 
@@ -93,3 +94,28 @@ def test_a_merge_writes_what_it_touches(spark, names, tmp_path):
 def test_no_tables_yet(spark, tmp_path):
     questions, links = merge.read_metadata(spark, str(tmp_path / "none"))
     assert questions.count() == links.count() == 0 and links.columns == schemas.LINKS.fieldNames()
+
+
+def plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_links_are_made_in_compiled_code(spark, names):
+    """Functions over arrays are interpreted, not compiled."""
+    latest = spark.createDataFrame(ROWS, SCHEMA)
+    assert "lambdafunction" not in plan(ent.links_of(latest, ent.canonical_names(names)))
+
+
+def test_ranks_sort_by_the_number_first(spark):
+    """Terms are few, so a sort that starts with them compares whole rows."""
+    sorts = [line for line in plan(ent.latest_questions(spark.createDataFrame(ROWS, SCHEMA), [F.desc("at")])).splitlines() if "Sort [" in line]
+    assert sorts and all("Sort [ques_no" in line for line in sorts)
+
+
+@pytest.mark.parametrize("members", [[" A , \t , B,, C d \x1c"], [None], [""], [" ,\x85,"], ["é é, A\x00"]])
+def test_names_are_stripped_as_before(spark, members):
+    rows = spark.createDataFrame([(m,) for m in members], "members string")
+    want = [name.strip() for m in members if m for name in m.split(",") if name.strip()]
+    assert [r.mp for r in docs.explode_members(rows).collect()] == want
+    listed = spark.createDataFrame([(m.split(",") + [None] if m is not None else None,) for m in members], "members array<string>")
+    assert [r.mp for r in docs.explode_members(listed).collect()] == want
