@@ -69,7 +69,9 @@ def merge_metadata(corpus: DataFrame, registry: DataFrame, order_cols, root) ->
     spark = corpus.sparkSession
     names = ent.canonical_names(registry)
     fields = ["lok_no", "session_no", "ques_no", "type", "date", "ministry", "subject", "members"]
-    latest = write_and_read(ent.latest_questions(corpus, order_cols).select(*fields), "latest")
+    # Gathered by partition once, here: both tables then write few files without a shuffle of their own.
+    latest = ent.latest_questions(corpus, order_cols).select(*fields).hint("rebalance", *PARTITION)
+    latest = write_and_read(latest, "latest")
     fresh = {"questions": ent.questions_of(latest), "question_mps": ent.links_of(latest, names)}
     last, partitions = _current(spark, root)
     generation = last + 1
@@ -79,17 +81,18 @@ def merge_metadata(corpus: DataFrame, registry: DataFrame, order_cols, root) ->
     partitions = write_and_read(partitions, "partitions")
     before = partitions.alias("old").join(F.broadcast(touched.alias("new")), at, "left_semi")
     keys = latest.select(*schemas.QUESTION_KEY).where(F.col("type").isNotNull())
-    same = [F.col(f"old.{c}").eqNullSafe(F.col(f"new.{c}")) for c in schemas.QUESTION_KEY]
+    # Null in none of these keys, so plain equality will do, which sorts four columns and not eight.
+    same = [F.col(f"old.{c}") == F.col(f"new.{c}") for c in ent.SORT_KEY]
     counts = {}
     for name, rows in fresh.items():
         # Counted by the write itself.
         found, written = Observation(), Observation()
         old = _stored(spark, root, name, before).observe(found, F.count(F.lit(1)).alias("n"))
-        kept = old.alias("old").join(keys.alias("new"), same, "left_anti").withColumn("is_new", F.lit(False))
-        both = kept.unionByName(rows.withColumn("is_new", F.lit(True)))
+        kept = old.alias("old").join(keys.alias("new"), same, "left_anti").hint("rebalance", *PARTITION)
+        both = kept.withColumn("is_new", F.lit(False)).unionByName(rows.withColumn("is_new", F.lit(True)))
         both = both.observe(written, F.count(F.lit(1)).alias("n"), F.count_if("is_new").alias("new")).drop("is_new")
         path = f"{root}/{name}/generation={generation}"
-        both.hint("rebalance", *PARTITION).write.mode("overwrite").partitionBy(*PARTITION).parquet(path)
+        both.write.mode("overwrite").partitionBy(*PARTITION).parquet(path)
         counts[name] = observed(written, "new")
         counts[f"replaced_{name}"] = observed(found, "n") - (observed(written, "n") - counts[name])
     commit = partitions.alias("old").join(F.broadcast(touched.alias("new")), at, "left_anti").unionByName(

@@ -112,6 +112,23 @@ def test_ranks_sort_by_the_number_first(spark):
     assert sorts and all("Sort [ques_no" in line for line in sorts)
 
 
+def test_new_rows_of_a_merge_are_gathered_once(spark, names, tmp_path, monkeypatch):
+    """New rows of the tables are not shuffled again by partition: only the kept ones are."""
+    root, order, gathered = str(tmp_path), [F.desc("at")], []
+    merge.merge_metadata(spark.createDataFrame(ROWS[:5], SCHEMA), names, order, root)
+    union = type(names).unionByName
+
+    def seen(frame, other, *args, **kwargs):
+        gathered.append("rebalance" in frame._jdf.queryExecution().analyzed().toString().lower())
+        return union(frame, other, *args, **kwargs)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(type(names), "unionByName", seen)
+        merge.merge_metadata(spark.createDataFrame(ROWS[5:], SCHEMA), names, order, root)
+    assert gathered.count(True) == len(merge.TABLES)
+    assert content(merge.read_metadata(spark, root)) == built(spark.createDataFrame(ROWS, SCHEMA), names)
+
+
 @pytest.mark.parametrize("members", [[" A , \t , B,, C d \x1c"], [None], [""], [" ,\x85,"], ["é é, A\x00"]])
 def test_names_are_stripped_as_before(spark, members):
     rows = spark.createDataFrame([(m,) for m in members], "members string")
