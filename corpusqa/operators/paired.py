@@ -7,7 +7,8 @@ adaptive skew handling, as are its packed rows.
 
 If each query asks for all, the queries are cut into groups and the collection into
 stripes, and every group meets every stripe in a task of its own, which keeps the
-group's best rows while the stripe goes by. A group has a bounded size, and the stripe
+group's best rows while the stripe goes by. Queries with filters are scored against the
+rows that pass, found by an index of the group's names. A group has a bounded size, and the stripe
 is read in batches; a query is sent to as many tasks as there are stripes, a chunk to
 as many as there are groups, both about the square root of the number of tasks.
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .topk import BestRows, Filters, fold_batch, found_schema, rank_by_score
+from .topk import BestRows, Filters, fold_batch, fold_parts, found_schema, rank_by_score
 
 # Bytes of vectors and filter columns in one packed row.
 PACKED_BYTES = 4 << 20
@@ -143,10 +144,17 @@ def _grid_scores(chunks: DataFrame, queries: DataFrame, k, score, block) -> Data
                 rows = pa.Table.from_batches(first).combine_chunks().to_batches()[0]
                 group = (*_block(rows), rows.column("query_id").to_pylist(), BestRows(rows.num_rows, k))
             vectors, limits, ids, best = group
-            fold_batch(best, limits, chunk, scored(vectors, chunk))
+            fold_parts(best, chunk, wanted(vectors, limits, chunk) if limits.active else scored(vectors, chunk))
         if group is not None:
             yield group[3].to_batch(group[2], arrow_id, arrow_chunk_id)
 
+    def wanted(vectors, limits, chunk):
+        """The queries of each filter against the rows that pass it, and no others."""
+        for number, passed in limits.matches(chunk):
+            mine = limits.queries[number]
+            for rows, index, scores in scored(vectors[mine], chunk.take(pa.array(passed))):
+                yield mine[rows], passed[index], scores
+
     def scored(vectors, chunk):
         """Few queries at a time, so that all rows of a batch are ranked together."""
         step = max(1, GROUP_CELLS // chunk.num_rows)

@@ -11,7 +11,7 @@ shared storage before the next starts, so memory never grows with the batch.
 """
 
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 from itertools import islice
 
 import numpy as np
@@ -81,6 +81,58 @@ def by_filter(rows, search) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+class NameIndex:
+    """Many names, looked up in texts together: the windows of the texts that are as long as a name are hashed at once.
+
+    The work grows with the bytes of the texts and the number of different lengths of
+    names, not with the number of names. A hit is compared byte by byte.
+    """
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self, names):
+        self.names = [name.encode() for name in names]
+        by_size = {}
+        for number, name in enumerate(self.names):
+            by_size.setdefault(len(name), []).append(number)
+        self.sizes = []
+        for size, numbers in by_size.items():
+            spelled = np.frombuffer(b"".join(self.names[i] for i in numbers), dtype=np.uint8).reshape(len(numbers), size)
+            hashes = (spelled * self._powers(self.BASE, size)).sum(axis=1, dtype=np.uint64)
+            order = np.argsort(hashes, kind="stable")
+            self.sizes.append((size, hashes[order], np.asarray(numbers)[order]))
+
+    @staticmethod
+    def _powers(base, n):
+        return np.cumprod(np.r_[np.uint64(1), np.full(n, base, dtype=np.uint64)])[:n]
+
+    def hits(self, texts):
+        """(name, text) numbers where an Arrow array of texts holds a name, each pair once."""
+        import pyarrow as pa
+
+        texts = texts.cast(pa.large_binary())
+        values = texts.to_pylist()
+        data = b"".join(values)
+        ends = np.cumsum([0, *map(len, values)])
+        owner = np.repeat(np.arange(len(values)), np.diff(ends))
+        # A window's sum of byte times power, less the power of its start.
+        sums = np.r_[np.uint64(0), np.cumsum(np.frombuffer(data, dtype=np.uint8) * self._powers(self.BASE, len(data)))]
+        back = self._powers(pow(self.BASE, -1, 1 << 64), len(data))
+        room = ends[owner + 1] - np.arange(len(data))
+        found = set()
+        for size, hashes, numbers in self.sizes:
+            if size == 0:
+                found.update((int(n), i) for n in numbers for i in range(len(values)))
+                continue
+            at = np.nonzero(room >= size)[0]
+            window = (sums[at + size] - sums[at]) * back[at]
+            first, last = np.searchsorted(hashes, window, "left"), np.searchsorted(hashes, window, "right")
+            for i in np.nonzero(last > first)[0]:
+                text = owner[at[i]]
+                found.update((int(n), int(text)) for n in numbers[first[i]: last[i]] if self.names[n] in values[text])
+        return sorted(found)
+
+
 @dataclass
 class Filters:
     """The distinct filters of a block, and the number of each query's filter."""
@@ -106,31 +158,68 @@ class Filters:
         ministries = sorted({ministry for _, ministry in self.distinct if ministry})
         return F.col("ministry").isin(ministries) if all(m for _, m in self.distinct) else F.lit(True)
 
-    def gates(self, batch):
-        """Boolean matrix, filter number by row of an Arrow batch.
+    @cached_property
+    def queries(self):
+        """The numbers of the queries of each filter."""
+        order = np.argsort(self.of_query, kind="stable")
+        return np.split(order, np.searchsorted(self.of_query[order], np.arange(1, len(self.distinct))))
+
+    @cached_property
+    def _lookup(self):
+        """An index of all names, the filters of each name, and the filters without names by their ministry."""
+        numbers, of_name, of_ministry = {}, [], {}
+        for number, (names, ministry) in enumerate(self.distinct):
+            for name in dict.fromkeys(names):
+                if numbers.setdefault(name, len(numbers)) == len(of_name):
+                    of_name.append([])
+                of_name[numbers[name]].append(number)
+            if not names:
+                of_ministry[ministry] = number
+        return NameIndex(list(numbers)), of_name, of_ministry
+
+    def matches(self, batch):
+        """(filter number, rows) of an Arrow batch, for the filters that let any row pass.
 
         Conditions run on the distinct values of the batch: the chunks of one
-        document repeat its metadata.
+        document repeat its metadata. Filters that nothing matches cost no step.
         """
         import pyarrow.compute as pc
 
         def distinct(name):
             encoded = batch.column(name).dictionary_encode()
+            # The code after the last value stands for null, which passes nothing.
             codes = pc.fill_null(encoded.indices, len(encoded.dictionary)).to_numpy(zero_copy_only=False)
-            return encoded.dictionary, codes
+            order = np.argsort(codes, kind="stable")
+            rows = np.split(order, np.searchsorted(codes[order], np.arange(1, len(encoded.dictionary) + 1)))
+            return encoded.dictionary, codes, rows
+
+        index, of_name, of_ministry = self._lookup
+        members, _, with_members = distinct("members")
+        ministries, ministry_of, with_ministry = distinct("ministry")
+        place = {value: code for code, value in enumerate(ministries.to_pylist())}
+        if None in of_ministry:
+            yield of_ministry[None], np.arange(batch.num_rows)
+        for ministry, code in place.items():
+            if ministry in of_ministry:
+                yield of_ministry[ministry], with_ministry[code]
+        held = {}
+        for name, code in index.hits(members):
+            for number in of_name[name]:
+                ministry = self.distinct[number][1]
+                if ministry is None or ministry in place:
+                    held.setdefault(number, set()).add(code)
+        for number, codes in held.items():
+            rows = np.sort(np.concatenate([with_members[code] for code in codes]))
+            if self.distinct[number][1] is not None:
+                rows = rows[ministry_of[rows] == place[self.distinct[number][1]]]
+            if len(rows):
+                yield number, rows
 
-        def rows(mask, codes):
-            # The code after the last value stands for null, which passes nothing.
-            return np.append(mask.to_numpy(zero_copy_only=False), False)[codes]
-
-        members, member_of = distinct("members")
-        ministries, ministry_of = distinct("ministry")
-        out = np.ones((len(self.distinct), batch.num_rows), dtype=bool)
-        for mask, (names, ministry) in zip(out, self.distinct):
-            if names:
-                mask &= np.any([rows(pc.match_substring(members, name), member_of) for name in names], axis=0)
-            if ministry:
-                mask &= rows(pc.equal(ministries, ministry), ministry_of)
+    def gates(self, batch):
+        """Boolean matrix, filter number by row of an Arrow batch."""
+        out = np.zeros((len(self.distinct), batch.num_rows), dtype=bool)
+        for number, rows in self.matches(batch):
+            out[number, rows] = True
         return out
 
 
@@ -192,19 +281,30 @@ class BestRows:
 
 def fold_batch(best, limits, batch, parts):
     """Fold the scored `parts` of an Arrow batch into `best`, filters applied."""
-    import pyarrow.compute as pc
+    if not limits.active:
+        return fold_parts(best, batch, parts)
+    gates = limits.gates(batch)
 
-    ids = batch.column("chunk_id")
-    order = pc.array_sort_indices(ids).to_numpy()
-    places = np.empty(batch.num_rows, dtype=np.int64)
-    places[order] = np.arange(batch.num_rows)
-    gates = limits.gates(batch) if limits.active else None
-    for queries, index, scores in parts:
-        at = np.arange(batch.num_rows) if index is None else index
-        if gates is not None:
+    def gated():
+        for queries, index, scores in parts:
             gate = gates if index is None else gates[:, index]
             scores[~gate[limits.of_query[queries]]] = -np.inf
-        best.merge(queries, scores, at, ids, places)
+            yield queries, index, scores
+
+    return fold_parts(best, batch, gated())
+
+
+def fold_parts(best, batch, parts):
+    """Fold the scored `parts` of an Arrow batch into `best`."""
+    import pyarrow.compute as pc
+
+    ids, places = batch.column("chunk_id"), None
+    for queries, index, scores in parts:
+        if places is None:
+            order = pc.array_sort_indices(ids).to_numpy()
+            places = np.empty(batch.num_rows, dtype=np.int64)
+            places[order] = np.arange(batch.num_rows)
+        best.merge(queries, scores, np.arange(batch.num_rows) if index is None else index, ids, places)
 
 
 def found_schema(id_type, chunk_id_type):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusqa.functions.batches import parts
 from corpusqa.operators import approximate as ann
-from corpusqa.operators import dense, embedding, hybrid, lexical, topk
+from corpusqa.operators import dense, embedding, hybrid, lexical, paired, topk
 from corpusqa.session import scratch_path
 
 CHUNK = "chunk_id string, embedding array<float>, members string, ministry string, text string"
@@ -387,3 +387,37 @@ def test_parts_of_a_batch():
     assert [p.num_rows for p in parts(batch, "list", 2)] == [3, 1, 1]
     assert [p.num_rows for p in parts(batch.slice(3), "text", 10)] == [1, 1]
     assert not list(parts(batch.slice(0, 0), "text", 10))
+
+
+def test_names_are_looked_up_together():
+    """All names at once find what one search after another finds."""
+    rng = np.random.default_rng(3)
+    letters = list("abé漢, ")
+    texts = ["".join(rng.choice(letters, rng.integers(0, 12))) for _ in range(200)]
+    names = ["", "a", "é漢", "abab", *{"".join(rng.choice(letters, rng.integers(1, 5))) for _ in range(80)}]
+    names = list(dict.fromkeys(names))
+    found = topk.NameIndex(names).hits(pa.array(texts))
+    assert found == sorted((n, t) for n, name in enumerate(names) for t, text in enumerate(texts) if name in text)
+    assert topk.NameIndex([]).hits(pa.array(texts)) == [] and topk.NameIndex(names).hits(pa.array([], pa.string())) == []
+
+
+def test_a_grid_scores_only_rows_that_pass_the_filters(spark):
+    rng = np.random.default_rng(5)
+    chunks = spark.createDataFrame(
+        [(f"c{i}", rng.normal(size=4).tolist(), None if i % 9 == 0 else f"Member {i % 13}, Member {i % 5}", None if i % 7 == 0 else f"m{i % 3}")
+         for i in range(300)], "chunk_id string, embedding array<float>, members string, ministry string")
+    queries = spark.createDataFrame(
+        [(i, rng.normal(size=4).tolist(), [None, [], [f"Member {i % 15}"], [f"Member {i % 13}", "ember 4", ""][: i % 3 + 1], ["nobody"]][i % 5],
+          [None, "m1", "", "m2", "none"][i // 5 % 5]) for i in range(60)],
+        "query_id int, embedding array<float>, names array<string>, ministry string")
+
+    def rows(found):
+        return sorted((r.query_id, r["rank"], r.chunk_id) for r in found.collect())
+
+    assert rows(dense.dense_topk(chunks, queries, 5, block=7)) == rows(dense.dense_topk(chunks, queries, 5))
+
+    def score(data, batch):
+        raise ValueError("scored")
+
+    asked = queries.select("query_id", "embedding", F.array(F.lit("nobody")).alias("names"), "ministry")
+    assert paired.paired_topk(chunks, asked, 5, score, block=7).count() == 0
