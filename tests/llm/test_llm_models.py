@@ -168,3 +168,59 @@ def test_every_labelled_row_teaches_toxicity(spark):
     wanted = sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(120_000))
     assert wanted > 50_000
     assert toxicity.labelled_rows(docs, labels).count() == wanted
+
+
+def test_every_expression_is_counted(spark):
+    """Words and pairs of one text, toxic or ordinary, are in the models, and all counts equal brute force."""
+    rng = np.random.default_rng(2)
+    cut = [[f"w{j}" for j in rng.zipf(1.5, rng.integers(1, 30)) % 500] for _ in range(300)]
+    rows = [(" ".join(w), i % 2, i // 2 % 2) for i, w in enumerate(cut)] + [("once toxic", 1, 0), ("once ordinary", 0, 1), (None, 1, 1), ("", 0, 0)]
+    cut += [["once", "toxic"], ["once", "ordinary"], [], []]
+    docs = spark.createDataFrame(rows, "text string, label int, fold int").repartition(3)
+    words = toxicity._vocabulary(docs)
+    names = sorted({w for text in cut for w in text})
+    hashes = toxicity._read(pa.array(names))[0]
+    assert sorted(hashes.tolist()) == words.tolist()
+    place = {n: int(np.searchsorted(words, h)) for n, h in zip(names, hashes)}
+    sent = spark.sparkContext.broadcast((words, np.zeros(0, dtype=np.uint64)))
+    got = {r.code: [r[f"n{g}"] for g in range(4)] for r in toxicity._counted(docs, sent, True, 5).collect()}
+    want = {}
+    for g in range(4):
+        texts, before, after = {}, {}, {}
+        for i, (text, (_, label, fold)) in enumerate(zip(cut, rows)):
+            if fold * 2 + label != g:
+                continue
+            for j in range(1, len(text)):
+                pair = place[text[j - 1]] << toxicity.WORD_BITS | place[text[j]]
+                texts.setdefault(pair, set()).add(i)
+                before.setdefault(pair, set()).add(text[j - 2] if j > 1 else None)
+                after.setdefault(pair, set()).add(text[j + 1] if j + 1 < len(text) else None)
+        for pair in texts:
+            want.setdefault(pair, [0] * 4)[g] = min(len(texts[pair]), max(len(before[pair]), len(after[pair])))
+    assert got == want
+    assert sum(sum(n) == 1 for n in want.values()) > 100
+
+
+def test_scores_equal_brute_force(spark):
+    """Rows of a stored chunk get what all counts at once give, whatever the parts and chunks."""
+    rng = np.random.default_rng(6)
+    docs = [(i, " ".join(f"w{j}" for j in rng.zipf(1.4, 40) % 300) + (" vile foul" if i % 4 == 0 else ""), "x") for i in range(400)]
+    docs += [(None, "vile foul w1", "y")] * 3 + [(1000, None, None), (1001, "never seen", "z")]
+    d = spark.createDataFrame(docs, "doc_id long, text string, codes string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    model = toxicity.train(d, labels)
+    words, (full, gains, curve), pairs, _ = model[0].value, model[1].value, model[2], model[3]
+    stored = pairs.toArrow()
+    code = stored.column("code").to_numpy()
+    counts = np.stack(toxicity._by_class([stored.column(n).to_numpy().astype(float) for n in toxicity.COUNTS]))
+    order = np.argsort(code)
+    weights = toxicity._pair_gains(code[order], counts[:, order], full)
+    want = toxicity._score(toxicity._averages(pa.array([t for _, t, _ in docs], pa.string()), words, gains, code[order].astype(np.uint64), weights), curve)
+    got = toxicity.score_documents(d, model).collect()
+
+    def listed(rows):
+        return sorted((str(i), str(t), str(c), round(float(x), 6)) for i, t, c, x in rows)
+
+    assert listed(got) == listed((*row, x) for row, x in zip(docs, want))
+    # The whole models know words of ordinary texts alone, and say so.
+    assert (gains[0] < 0).any() and (gains[0] > 0).any() and curve[:-1].min() >= 0
