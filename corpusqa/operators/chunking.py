@@ -5,16 +5,17 @@ Tokens are runs of non-whitespace. Sentences longer than a chunk are cut every
 `size` tokens; pieces are then packed in order, and a chunk starts with the last
 pieces of the one before as far as they fit in the overlap.
 
-The packing is sequential within one document, so it runs in tasks over Arrow
-batches, of which a part with a bounded size of text is cut at a time; nothing is shuffled.
+The packing is sequential within one document, so it runs in an Arrow function over
+the text column, which cuts a part with a bounded size of text at a time; metadata columns stay
+in the JVM and nothing is shuffled.
 """
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import schemas
 from ..functions.batches import parts
@@ -62,6 +63,23 @@ def pack(text, size, overlap):
     return chunks
 
 
+def split_text(size, overlap):
+    """Column function: text to its chunks, an array of structs."""
+
+    @F.arrow_udf("array<struct<text:string,n_tokens:int,n_repeated:int>>")
+    def split(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            for part in parts(pa.RecordBatch.from_arrays([column], names=["text"]), "text", TEXT_BYTES):
+                chunks = [[] if t is None else pack(t, size, overlap) for t in part.column("text").to_pylist()]
+                bounds = np.cumsum([0, *map(len, chunks)])
+                found = list(zip(*(c for cut in chunks for c in cut))) or [(), (), ()]
+                made = [pa.array(values, kind) for values, kind in zip(found, (pa.string(), pa.int32(), pa.int32()))]
+                yield pa.ListArray.from_arrays(
+                    pa.array(bounds, pa.int32()), pa.StructArray.from_arrays(made, names=["text", "n_tokens", "n_repeated"]))
+
+    return split
+
+
 def chunk_documents(
     df: DataFrame, text_col="text", *, size=schemas.CHUNK_SIZE, overlap=schemas.CHUNK_OVERLAP, counts=False
 ) -> DataFrame:
@@ -72,34 +90,17 @@ def chunk_documents(
     so documents without an id stay apart. `counts` adds the tokens of a chunk
     and those it repeats.
     """
-    rest = [c for c in df.columns if c != text_col]
+    rest = [F.col(f"`{c}`") for c in df.columns if c != text_col]
     key = F.when(F.col("qa_id") == "", F.md5(text_col)).otherwise(F.col("qa_id"))
-    rows = df.where(F.col(text_col).isNotNull()).select(key.alias("_key"), *rest, F.col(text_col).alias("_text"))
-    made = [T.StructField("chunk_no", T.IntegerType()), T.StructField("_chunk", T.StringType()),
-            T.StructField("n_tokens", T.IntegerType()), T.StructField("n_repeated", T.IntegerType())]
-    kept = [f for f in rows.schema if f.name != "_text"]
-    # What the caller's columns are called doesn't matter: all go by place.
-    schema = T.StructType([T.StructField(f"_{i}", f.dataType) for i, f in enumerate([*kept, *made])])
-    arrow = to_arrow_schema(schema)
-
-    def run(batches):
-        for batch in batches:
-            for part in parts(batch, "_text", TEXT_BYTES):
-                chunks = [pack(t, size, overlap) for t in part.column("_text").to_pylist()]
-                many = np.array([len(c) for c in chunks])
-                row = pa.array(np.repeat(np.arange(len(many)), many))
-                number = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                text, tokens, repeated = zip(*(c for found in chunks for c in found)) if len(row) else ((), (), ())
-                columns = [part.column(i).take(row) for i in range(len(kept))]
-                columns = [c if c.type == f.type else c.cast(f.type) for c, f in zip(columns, arrow)]
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(number, pa.int32()), pa.array(text, arrow.field(len(kept) + 1).type),
-                     pa.array(tokens, pa.int32()), pa.array(repeated, pa.int32())], schema=arrow)
-
-    out = rows.mapInArrow(run, schema).toDF("_key", *rest, "chunk_no", "_chunk", "_tokens", "_repeated")
-    extra = [F.col("_tokens").alias("n_tokens"), F.col("_repeated").alias("n_repeated")] if counts else []
-    chunk_id = F.concat("_key", F.lit("#"), F.col("chunk_no").cast("string"))
-    return out.select(chunk_id.alias("chunk_id"), "chunk_no", *rest, F.col("_chunk").alias("text"), *extra)
+    # What the caller's columns are called doesn't matter.
+    own = ["corpusqa key", "corpusqa chunks", "corpusqa number", "corpusqa chunk"]
+    rows = df.where(F.col(text_col).isNotNull()).withColumns({own[0]: key, own[1]: split_text(size, overlap)(F.col(text_col))})
+    # An outer explode adds no size filter, which would run the splitter twice.
+    out = rows.select(own[0], *rest, F.posexplode_outer(own[1]).alias(*own[2:])).where(F.col(own[2]).isNotNull())
+    chunk = F.col(own[3])
+    extra = [chunk["n_tokens"].alias("n_tokens"), chunk["n_repeated"].alias("n_repeated")] if counts else []
+    chunk_id = F.concat(own[0], F.lit("#"), F.col(own[2]).cast("string"))
+    return out.select(chunk_id.alias("chunk_id"), F.col(own[2]).alias("chunk_no"), *rest, chunk["text"].alias("text"), *extra)
 
 
 def corpus_to_chunks(corpus: DataFrame, *, min_chars=schemas.MIN_CHARS, **chunking) -> DataFrame:
